@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from cartoflux.llm import media, mixing, token_counts, unigram, url_filter
+from cartoflux.llm import jaccard_join, media, mixing, suffix_dedup, token_counts, unigram, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_unigram_codec": unigram.op2_unigram_codec,
     "op3_mixing": mixing.op3_mixing,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_url_filters": url_filter.op5_url_filters,
     "op8_media_columns": media.op8_media_columns,
     "op10_token_counts": token_counts.op10_token_counts,
