@@ -67,16 +67,31 @@ def _first_open_bin(binned: DataFrame, bin_col: str, due: str, out: str) -> Data
     )
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """Adds ``size`` in words and ``u``, a uniform number from the doc_id alone."""
+    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13)
+    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn(
+        "u", (F.conv(digits, 16, 10).cast("double") + 0.5) / 2.0**52
+    )
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """doc_id, size, source_size, target, taken: how many words of each document the mix takes."""
-    stage = Staging(docs.sparkSession, "mix")
-    sized = docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ((F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52).alias("u"),
+    return _with_copies(docs.select("doc_id", "source", "text"), weights, most, stage_rows=True).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
     )
-    sized = stage.table(sized, "sized")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """The mix itself: each document as often as it is taken; documents without a word are not in it."""
+    named = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
+    taken = _with_copies(named, weights, most, stage_rows=False).filter("size > 0 AND copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
+def _with_copies(docs: DataFrame, weights: tuple[int, ...], most: int, stage_rows: bool) -> DataFrame:
+    stage = Staging(docs.sparkSession, "mix")
+    sized = stage.table(_sized(docs.select("doc_id", "source", "text")).drop("text"), "sized")
     sources = stage.table(with_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "sources")
 
     share = (
@@ -91,14 +106,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
         return df.join(side, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
 
     # Pareto order sampling: random odds over inclusion odds, brought to [0, 1) in the same order
-    ranked = (
-        per_source(sized, share)
-        .withColumn("rank", F.expr("CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END"))
-        .withColumn("v", F.col("rank") / (F.col("rank") + 1))
-        .withColumn("bin", F.floor(F.col("v") * (BINS * BINS)))
-        .withColumn("hi", F.expr(f"bin div {BINS}"))
-    )
-    sampled = ranked.filter("chance > 0 AND size > 0")
+    def rank(rows: DataFrame) -> DataFrame:
+        return (
+            per_source(rows, share)
+            .withColumn("rank", F.expr("CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END"))
+            .withColumn("v", F.col("rank") / (F.col("rank") + 1))
+            .withColumn("bin", F.floor(F.col("v") * (BINS * BINS)))
+            .withColumn("hi", F.expr(f"bin div {BINS}"))
+        )
+
+    sampled = rank(sized).filter("chance > 0 AND size > 0")
     first = _first_open_bin(sampled.groupBy("source", "due", "hi").agg(F.sum("size").alias("words")), "hi", "due", "hi_open")
     first = stage.table(first, "first")
     second = per_source(sampled, first).filter("hi = hi_open").withColumn("due2", F.col("due") - F.col("hi_open_before"))
@@ -123,13 +140,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     taken_once = F.expr(
         "chance > 0 AND (bin_open IS NULL OR bin < bin_open OR (bin = bin_open AND end IS NOT NULL AND struct(v, doc_id, size) <= end))"
     )
-    return per_source(ranked, ends, "left").select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("whole") + F.when(taken_once, 1).otherwise(0))).cast("long").alias("taken"),
-    )
+    rows = rank(sized) if stage_rows else rank(_sized(docs))
+    return per_source(rows, ends, "left").withColumn("copies", F.col("whole") + F.when(taken_once, 1).otherwise(0))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

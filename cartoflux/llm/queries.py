@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartoflux.llm import jaccard_join, media, mixing, suffix_dedup, token_counts, unigram, url_filter
+from cartoflux.llm import ann, class_lm, jaccard_join, media, mixing, quality, suffix_dedup, token_counts, unigram, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,7 +10,10 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_url_filters": url_filter.op5_url_filters,
+    "op6_quality": quality.op6_quality,
+    "op7_nearest": ann.op7_nearest,
     "op8_media_columns": media.op8_media_columns,
+    "op9_class_lm": class_lm.op9_class_lm,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
