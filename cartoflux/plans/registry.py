@@ -1,4 +1,6 @@
 """Every query of the library, by name, and the SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from cartoflux.plans import map_queries, network_queries, text_queries
+
+QUERIES: dict = network_queries.QUERIES | map_queries.QUERIES | text_queries.QUERIES
+ORACLE_SQL: dict = network_queries.SQL | map_queries.SQL | text_queries.SQL
