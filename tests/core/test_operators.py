@@ -158,7 +158,7 @@ def test_text(spark):
         text.clean_text(F.lit(" <b>A</b>\n\tb ")).alias("c"), text.title_case(F.lit("deep-learning of x")).alias("t"), text.split_terms(F.lit(" A ;;b\t; ")).alias("s"),
         text.first_doi([F.lit(" ")], [F.lit("no"), F.lit("x 10.1234/ABC.d)")]).alias("d"), text.doi_url(F.lit("PMID_7"), F.lit("x")).alias("u"),
     ).first()
-    assert (r.c, r.t, r.s, r.d, r.u) == ("A b", "Deep-Learning Of X", ["a", "b"], "10.1234/ABC.d)", "https://pubmed.ncbi.nlm.nih.gov/7")
+    assert (r.c, r.t, r.s, r.d, r.u) == ("A b", "Deep-Learning Of X", ["a", "b"], "10.1234/ABC.d", "https://pubmed.ncbi.nlm.nih.gov/7")
 
 
 def test_files(spark, tmp_path):
@@ -200,12 +200,13 @@ def test_keywords(spark):
 
 def test_semantic(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
-    body = "TI <i>A</i> title\nAB Some 10.5555/xyz text\nDE k1; k2\nAU A\n   B\nPY 2001\nSO J\nER\nTI Other\nMH m1\nPMID 12\nER\n"
-    lines = bib.split_lines(spark.createDataFrame([("f", body)], "file string, t string"), "file", "t")
-    a, b = semantic.semantic_records(bib.parse_tagged(lines)).orderBy("row_id").collect()
+    body = "TI <i>A</i> title\nAB Some 10.5555/xyz text\nDE k1; k2\nAU A\n   B\nPY 2001\nSO J\nER\n"
+    other = "PMID- 12\nTI  - Other\nMH  - m1\n\n"
+    lines = bib.split_lines(spark.createDataFrame([("f", body), ("g", other)], "file string, t string"), "file", "t")
+    a, b = semantic.semantic_records(bib.parse_tagged(lines)).orderBy("file").collect()
     assert (a.id, a.title, a.keywords, a.extras["AU"], a.extras["PY"]) == ("10.5555/xyz", "A title", ["k1", "k2"], "A, B", "2001")
     assert a.concatenated_text == "Title: A title | Abstract: Some 10.5555/xyz text | Keywords: k1, k2 | Journal: J"
-    assert b.keywords == ["m1"] and b.doi == ""
+    assert b.keywords == ["m1"] and b.doi == "" and b.id == "PMID_12"
     texts = spark.createDataFrame([(i, ["sea ship sail wind", "code data test loop"][i % 2] + f" w{i}") for i in range(60)], "row_id long, concatenated_text string")
     points = semantic.embed(texts)
     with pytest.raises(ValueError):
