@@ -7,7 +7,8 @@ trees, until it has ``SHARE`` of the leaves; all their vectors are scored in dou
 
 Equal vectors are indexed once, with their smallest ids: no more than ``k`` + 1 of them can be among a
 query's ``k`` nearest. Leaves are packed into blocks of about ``BLOCK_ROWS`` vectors; a larger leaf is split
-over several blocks, which a query that takes the leaf visits all.
+over several blocks, which a query that takes the leaf visits all. Each task has one block and at most about
+``CHUNK_QUERIES`` queries, and gives each query's ``k`` + 1 best of the block.
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do
 those of another length than most (the longer, if two lengths tie); rows repeated with one id are one
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from cartoflux.llm.common import Staging
 
-TREES, SHARE, LEAF_ROWS, SAMPLE, BLOCK_ROWS = 5, 0.3, 128, 20_000, 8192
+TREES, SHARE, LEAF_ROWS, SAMPLE, BLOCK_ROWS = 5, 0.3, 128, 20_000, 65_536
+#: Queries that meet a block in one task.
+CHUNK_QUERIES = 16_384
 
 
 class Forest:
@@ -217,7 +220,10 @@ def nearest(
     budget = max(1, int(np.ceil(share * (trees << depth))))
     visits = asked.select(F.col("vid").alias("qvid"), "vector").dropDuplicates(["qvid"])
     visits = visits.repartition("qvid").mapInArrow(_visits(shared, blocks, budget), "block long, qvid long, vector array<float>, leaves array<long>")
-    found = placed.groupBy("block").cogroup(visits.groupBy("block")).applyInArrow(_scorer(k), _FOUND)
+    chunks = max(1, -(-asked.count() // CHUNK_QUERIES))
+    placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    visits = visits.withColumn("chunk", F.pmod(F.xxhash64("qvid"), F.lit(chunks)).cast("int"))
+    found = placed.groupBy("block", "chunk").cogroup(visits.groupBy("block", "chunk")).applyInArrow(_scorer(k), _FOUND)
     # one vector may come from several trees
     found = found.select("qvid", "score", F.explode("ids").alias("vec_id")).groupBy("qvid", "vec_id").agg(F.max("score").alias("score"))
     best = found.withColumn("rn", F.row_number().over(W.partitionBy("qvid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rn") <= k + 1)

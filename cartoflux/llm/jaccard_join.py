@@ -7,8 +7,9 @@ difference has at most H shingles, and there are more than H segments. (A set wi
 there are to spare is entered under those too.) Sets that agree in a segment of a band form a tile.
 
 In a tile every set is first compared with the tile's smallest; what links is one component. Only tiles that
-still hold several components have their remaining pairs, those across components, compared as well. So a
-tile of copies costs one comparison for each member, and no link between different sets is lost.
+still hold several components have their pairs across components compared as well, signature by signature
+in blocks within tasks; a pair leaves its task only if the bound allows a link, once for all tiles it shares.
+So a tile of copies costs one comparison for each member, and no link between different sets is lost.
 
 Tiles are found in one shuffle: each task sorts its own keys, keeps one set for each of them and passes on
 the others as they are, so that a key that a third of the rows share brings one row for each task's block.
@@ -35,6 +36,8 @@ from cartoflux.llm.components import components
 
 WORDS, PERCENT = 4, 85
 SIGNATURE_BITS = 2048
+#: Sets of a tile that are compared with each other in one task.
+TILE_BLOCK = 1024
 #: Each size band's largest size is so many times its smallest.
 BAND_RATIO = 1.3
 #: Keys that a task sorts at a time.
@@ -89,7 +92,11 @@ class Bands:
         both = high + 100 * high // self.percent
         # of a + b shingles, percent / (100 + percent) at least are common: what differs is at most
         differ = both * (100 - self.percent) // (100 + self.percent)
-        spare = differ // 16
+        # so many are empty by chance that hardly any set has more
+        spare, low = 0, self.lowest[band]
+        for _ in range(3):
+            empty = (differ + 1 + spare) * np.exp(-low / (differ + 1 + spare))
+            spare = int(np.ceil(empty + 3 * np.sqrt(empty))) if differ else 0
         count = differ + 1 + spare
         borders = np.array([(i << 64) // count for i in range(1, count)], np.uint64)
         salts = _mix(np.arange(count, dtype=np.uint64) + np.uint64(band << 32))
@@ -224,10 +231,37 @@ def _prepared(n: int):
 
 def overlap_bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Each bit set on one side only stands for a shingle, at least, that the other side lacks."""
-    alone = lambda x, y: np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+    alone = lambda x, y: np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64)
     return np.minimum(na - alone(a, b), nb - alone(b, a))
 
 
+def _tile_pairs(percent: int):
+    """Pairs of a tile's two blocks that are of different components and may link by the bound. A pair that
+    meets in several tiles is given by the first of those that its sets share."""
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        tile, i, j = (k.as_py() for k in key)
+        ids, block = table.column("m").to_numpy(), table.column("own").to_numpy()
+        part, sizes = table.column("c_m").to_numpy(), table.column("n").to_numpy()
+        marks = np.frombuffer(b"".join(table.column("mark").to_pylist()), "<u8").reshape(len(ids), -1)
+        tiles = table.column("tiles")
+        out: list[tuple[int, int]] = []
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            most = overlap_bound(marks[rows, None], marks[None, right], sizes[rows, None], sizes[None, right])
+            near = 100 * most >= percent * (sizes[rows, None] + sizes[None, right] - most)
+            near &= (part[rows, None] != part[None, right]) & ((i != j) | (ids[rows, None] > ids[None, right]))
+            for a, b in zip(*np.nonzero(near), strict=True):
+                a, b = rows[a], right[b]
+                if min(set(tiles[int(a)].as_py()) & set(tiles[int(b)].as_py())) == tile:
+                    out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
+        columns = zip(*out, strict=True) if out else [[], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return compare
+
+
 def _bounded(percent: int):
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,28 +289,21 @@ def _linked(n: int, percent: int):
     return linked
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, texts: DataFrame, stage: Staging, name: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that link."""
-    pairs = stage.table(pairs.distinct(), f"{name}_pairs")
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    chosen = sets.join(needed, "id").select("id", F.col("doc").alias("__doc"))
-    held = (
-        texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__doc")))
-        .select("id", "text")
-        .mapInArrow(_prepared(n), "id long, n long, mark binary, text binary")
-    )
-    held = stage.table(held, f"{name}_texts")
+def _texts(ids: DataFrame, sets: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(id, n, mark, text) of the sets asked for."""
+    chosen = sets.join(ids, "id").select("id", F.col("doc").alias("__doc"))
+    found = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("id", "text")
+    return found.mapInArrow(_prepared(n), "id long, n long, mark binary, text binary")
 
-    def side(end: str, *columns: str) -> DataFrame:
-        return held.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
 
-    near = pairs.join(side("a", "mark", "n"), "a").join(side("b", "mark", "n"), "b")
-    near = near.select("a", "b", "mark_a", "n_a", "mark_b", "n_b").mapInArrow(_bounded(percent), "a long, b long")
-    near = stage.table(near.distinct(), f"{name}_near")
-    both = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
-    links = stage.table(both.mapInArrow(_linked(n, percent), "a long, b long"), f"{name}_links")
-    stage.drop(f"{name}_pairs", f"{name}_texts", f"{name}_near")
-    return links
+def _side(held: DataFrame, end: str, *columns: str) -> DataFrame:
+    return held.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+
+
+def _links(near: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that link."""
+    both = near.join(_side(held, "a", "text"), "a").join(_side(held, "b", "text"), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_linked(n, percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -287,11 +314,18 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     buckets = max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = texts.mapInArrow(_scanner(n, percent, buckets), _BLOCKS).groupBy("bucket").applyInArrow(_gather, _ROWS)
     found = stage.table(found, "found")
-    own = found.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("id"), F.col("z").alias("n_shingles"))
-    sets = stage.table(own.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("doc")), "sets")
+    listed = found.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("id"), F.col("z").alias("n_shingles"))
+    sets = stage.table(listed.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("doc")), "sets")
     tiles = found.filter("kind = 1").select(F.col("x").alias("tile"), F.col("y").alias("a"), F.col("z").alias("b"))
 
-    links = _compare(tiles.select("a", "b"), sets, texts, stage, "first", n, percent)
+    # every set of a tile against the tile's smallest
+    stars = stage.table(tiles.select("a", "b").distinct(), "stars")
+    needed = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
+    held = stage.table(_texts(needed, sets, texts, n), "texts")
+    near = stars.join(_side(held, "a", "mark", "n"), "a").join(_side(held, "b", "mark", "n"), "b")
+    near = near.select("a", "b", "mark_a", "n_a", "mark_b", "n_b").mapInArrow(_bounded(percent), "a long, b long")
+    near = stage.table(near.distinct(), "near")
+    links = stage.table(_links(near, held, n, percent), "links")
     part = stage.table(components(links, stage, "c"), "part")
 
     def placed(df: DataFrame, end: str) -> DataFrame:
@@ -299,26 +333,29 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
         return df.join(known, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
 
     # a tile hangs together, so it holds several components only if some set does not link with its hub
-    apart = placed(placed(tiles.select("a", "b").distinct(), "a"), "b").filter("c_a <> c_b").select("a", "b")
+    apart = placed(placed(stars, "a"), "b").filter("c_a <> c_b").select("a", "b")
     mixed = tiles.join(apart, ["a", "b"]).select("tile").distinct()
     members = tiles.join(mixed, "tile")
     members = members.select("tile", F.col("a").alias("m")).unionByName(members.select("tile", F.col("b").alias("m"))).distinct()
-    members = stage.table(placed(members, "m"), "members")
-    across = (
-        members.select("tile", F.col("m").alias("b"), F.col("c_m").alias("c_b"))
-        .join(members.select("tile", F.col("m").alias("a"), F.col("c_m").alias("c_a")), "tile")
-        .filter("a > b AND c_a <> c_b")
-        .select("a", "b")
-        .join(tiles.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    )
-    more = _compare(across, sets, texts, stage, "second", n, percent)
+    members = stage.table(members, "members")
+    lists = members.groupBy("m").agg(F.collect_list("tile").alias("tiles"))
+    known = placed(held.select(F.col("id").alias("m"), "n", "mark").dropDuplicates(["m"]).join(lists, "m"), "m")
+    # a large tile is compared block by block, each pair of blocks in a task of its own
+    blocks = members.groupBy("tile").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = members.join(blocks, "tile").withColumn("own", own).withColumn("other", other).join(known, "m")
+    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "m", "own", "c_m", "n", "mark", "tiles")
+    across = rows.groupBy("tile", "i", "j").applyInArrow(_tile_pairs(percent), "a long, b long")
+    across = stage.table(across, "across")
+    more = stage.table(_links(across, held, n, percent), "more")
     edges = part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     whole = stage.table(components(edges, stage, "d"), "whole")
 
     least = sets.join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = least.groupBy("component").agg(F.min("doc").alias("component_id"))
     classes = least.join(smallest, "component").select("id", "component_id")
-    return own.join(classes, "id", "left").select(
+    return listed.join(classes, "id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
