@@ -61,8 +61,10 @@ def test_paths_are_the_best(vocabulary):
     library = as_unigram()
     codec = UnigramCodec(vocabulary, most=50)
 
+    covered = set("".join(vocabulary.pieces[i] for i in vocabulary.normal))
+
     def score(ids):
-        unknown = lambda c: 0 if c in "".join(vocabulary.pieces[i] for i in vocabulary.normal) else codec.lowest
+        unknown = lambda c: 0 if c in covered else codec.lowest
         return sum(vocabulary.scores[i] for i in ids if i in vocabulary.normal) + sum(map(unknown, text.replace(" ", "▁")))
 
     same = 0
