@@ -38,6 +38,8 @@ WORDS, PERCENT = 4, 85
 SIGNATURE_BITS = 2048
 #: Sets of a tile that are compared with each other in one task.
 TILE_BLOCK = 1024
+#: Rows of pairs of blocks that one call compares, on average.
+BUCKET_ROWS = 10_000
 #: Each size band's largest size is so many times its smallest.
 BAND_RATIO = 1.3
 #: Keys that a task sorts at a time.
@@ -236,26 +238,39 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 
 
 def _tile_pairs(percent: int):
-    """Pairs of a tile's two blocks that are of different components and may link by the bound. A pair that
-    meets in several tiles is given by the first of those that its sets share."""
+    """Pairs of two blocks of a tile that are of different components and may link by the bound, for all the
+    pairs of blocks of a bucket. A pair that meets in several tiles is given by the first that its sets share."""
 
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        tile, i, j = (k.as_py() for k in key)
-        ids, block = table.column("m").to_numpy(), table.column("own").to_numpy()
-        part, sizes = table.column("c_m").to_numpy(), table.column("n").to_numpy()
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("tile", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        ids, part, sizes = (table.column(c).to_numpy() for c in ("m", "c_m", "n"))
+        tile, own, first, second = (table.column(c).to_numpy() for c in ("tile", "own", "i", "j"))
         marks = np.frombuffer(b"".join(table.column("mark").to_pylist()), "<u8").reshape(len(ids), -1)
-        tiles = table.column("tiles")
+        listed = table.column("tiles")
+        tiles: dict[int, set[int]] = {}  # of the sets that are asked for
+
+        def of(k: int) -> set[int]:
+            return tiles[ids[k]] if ids[k] in tiles else tiles.setdefault(ids[k], set(listed[k].as_py()))
+
+        new = (np.diff(tile) != 0) | (np.diff(first) != 0) | (np.diff(second) != 0)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]
         out: list[tuple[int, int]] = []
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for at in range(0, len(left), 64):
-            rows = left[at : at + 64]
-            most = overlap_bound(marks[rows, None], marks[None, right], sizes[rows, None], sizes[None, right])
-            near = 100 * most >= percent * (sizes[rows, None] + sizes[None, right] - most)
-            near &= (part[rows, None] != part[None, right]) & ((i != j) | (ids[rows, None] > ids[None, right]))
-            for a, b in zip(*np.nonzero(near), strict=True):
-                a, b = rows[a], right[b]
-                if min(set(tiles[int(a)].as_py()) & set(tiles[int(b)].as_py())) == tile:
-                    out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            i, j = first[low], second[low]
+            left, right = low + np.flatnonzero(own[low:high] == i), low + np.flatnonzero(own[low:high] == j)
+            for at in range(0, len(left), 64):
+                rows = left[at : at + 64]
+                # signatures are compared only for pairs whose sizes and components leave a link possible
+                small = np.minimum(sizes[rows, None], sizes[None, right])
+                near = (100 * small >= percent * np.maximum(sizes[rows, None], sizes[None, right])) & (part[rows, None] != part[None, right])
+                near &= (i != j) | (ids[rows, None] > ids[None, right])
+                a, b = np.nonzero(near)
+                for part_at in range(0, len(a), 16_384):
+                    x, y = rows[a[part_at : part_at + 16_384]], right[b[part_at : part_at + 16_384]]
+                    most = overlap_bound(marks[x], marks[y], sizes[x], sizes[y])
+                    for k in np.flatnonzero(100 * most >= percent * (sizes[x] + sizes[y] - most)).tolist():
+                        if min(of(int(x[k])) & of(int(y[k]))) == tile[low]:
+                            out.append((max(ids[x[k]], ids[y[k]]), min(ids[x[k]], ids[y[k]])))
         columns = zip(*out, strict=True) if out else [[], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
@@ -338,15 +353,21 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     members = tiles.join(mixed, "tile")
     members = members.select("tile", F.col("a").alias("m")).unionByName(members.select("tile", F.col("b").alias("m"))).distinct()
     members = stage.table(members, "members")
+    # sets that agree in many segments meet in as many tiles: of tiles of the same sets one is compared
+    sizes = members.groupBy("tile").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("m")).alias("same"))
+    chosen = stage.table(sizes.groupBy("size", "same").agg(F.min("tile").alias("tile")).select("tile", "size"), "tiles")
+    members = stage.table(members.join(chosen, "tile"), "chosen")
     lists = members.groupBy("m").agg(F.collect_list("tile").alias("tiles"))
     known = placed(held.select(F.col("id").alias("m"), "n", "mark").dropDuplicates(["m"]).join(lists, "m"), "m")
-    # a large tile is compared block by block, each pair of blocks in a task of its own
-    blocks = members.groupBy("tile").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
+    # a large tile is compared block by block; each pair of blocks goes to one bucket, beside others
+    rows = members.withColumn("blocks", F.ceil(F.col("size") / TILE_BLOCK).cast("int"))
+    total = rows.agg(F.sum("blocks")).first()[0] or 0
     own = F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = members.join(blocks, "tile").withColumn("own", own).withColumn("other", other).join(known, "m")
+    rows = rows.withColumn("own", own).withColumn("other", other).join(known, "m")
     rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "m", "own", "c_m", "n", "mark", "tiles")
-    across = rows.groupBy("tile", "i", "j").applyInArrow(_tile_pairs(percent), "a long, b long")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("tile", "i", "j"), F.lit(max(1024, total // BUCKET_ROWS))))
+    across = rows.groupBy("bucket").applyInArrow(_tile_pairs(percent), "a long, b long")
     across = stage.table(across, "across")
     more = stage.table(_links(across, held, n, percent), "more")
     edges = part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
