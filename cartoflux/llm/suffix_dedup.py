@@ -150,6 +150,10 @@ def _scanner(shape: Shape, buckets: int):
             spread = int(tids[0]) % buckets
             if twice.any():
                 stretch = np.unique(np.stack([tid[twice], (at - before)[twice], (at + after)[twice]]), axis=1)
+                # a text's stretches that overlap are one; both ends rise with the anchor
+                begins = np.concatenate([[True], (stretch[0, 1:] != stretch[0, :-1]) | (stretch[1, 1:] > stretch[2, :-1])])
+                ends = np.concatenate([begins[1:], [True]])
+                stretch = np.stack([stretch[0, begins], stretch[1, begins], stretch[2, ends]])
                 rows.append((spread, REPEATED, *(c.astype("<i8").tobytes() for c in stretch), b""))
             # the first of each kind of surroundings stands for it
             kinds_before = (np.cumsum(new_kind) - 1) - (np.cumsum(new_kind) - 1)[np.flatnonzero(new_core)[np.cumsum(new_core) - 1]]
