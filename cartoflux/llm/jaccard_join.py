@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from cartoflux.llm.common import Staging, documents
 from cartoflux.llm.components import components
 
+#: What op4 is asked for; the pipeline's stage takes five words and 80 instead.
 WORDS, PERCENT = 4, 85
 SIGNATURE_BITS = 2048
 #: Sets of a tile that are compared with each other in one task.
@@ -381,7 +382,7 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     )
 
 
-def one_of_each_group(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that link to one of a smaller doc_id; of a doc_id repeated with one text
     one row stays, and rows without a doc_id all stay."""
     found = jaccard_components(docs, n, percent)
@@ -391,4 +392,4 @@ def one_of_each_group(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir), WORDS, PERCENT)

@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays."""
-    return jaccard_join.one_of_each_group(docs)
+    """Of each group of near duplicates, by five words and 0.8, the document of the smallest doc_id stays."""
+    return jaccard_join.one_of_each_group(docs, n=5, percent=80)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,10 @@ def test_rows_that_are_odd(spark):
 
 def test_shingles_split_at_ascii_white_space_only():
     assert len(shingle_set("a b\x0bc d e f".encode(), 4)) == 2 and len(shingle_set(b" \t\r\n\x0c", 4)) == 0
+
+
+def test_five_words_against_brute_force(spark):
+    texts = corpus(4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, 5, 80).collect()}
+    assert found == dict(enumerate(brute(texts, 5, 80)))

@@ -96,3 +96,17 @@ def test_sparse_sites_shrink(spark, strength):
     found = judge(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     rate = {r.source: r.rate for r in found.join(spark.createDataFrame(rows, COLUMNS).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("host_rate").alias("rate")).collect()}
     assert rate["bad"] < min(v for k, v in rate.items() if k != "bad") and (rate["bad"] > 0.1) == (strength == "few")
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark, tmp_path):
+    rows = []
+    for size, changes in ((100, 2), (184, 4), (100, 3)):  # of five words 0.811, 0.800, 0.730; of four 0.848, 0.838, 0.780
+        words = [f"w{size}x{changes}x{i}" for i in range(size)]
+        changed = list(words)
+        for c in range(changes):
+            changed[(2 * c + 1) * size // (2 * changes)] = f"new{c}"
+        rows += [(len(rows) + i, " ".join(w), "en", "s1", 9) for i, w in enumerate((words, changed))]
+    apart = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, COLUMNS), str(tmp_path))
+    groups = brute_components([r[1] for r in rows], 5, 80)
+    assert [g for _, g in groups] == [0, 0, 2, 2, 4, 5]
+    assert sorted(r.doc_id for r in apart.collect()) == [0, 2, 4, 5]
