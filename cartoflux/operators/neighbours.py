@@ -18,17 +18,30 @@ from cartoflux.operators.som import principal_axes
 BLOCK = 2048
 
 
+def block_pairs(points: DataFrame, *columns: str):
+    """Points (id, features, further columns) in blocks, every block cogrouped with every other and itself."""
+    blocks = max(1, -(-points.count() // BLOCK))
+    placed = points.select("id", "features", *columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = placed.select("id", "features", *columns, F.col("block").alias("p"), every.alias("q"))
+    right = placed.select("id", "features", *columns, F.col("block").alias("q"), every.alias("p"))
+    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q"))
+
+
+def apart(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances to all of y) for 256 rows of x at a time."""
+    if metric == "cosine":
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+    for at in range(0, len(x), 256):
+        rows = x[at : at + 256]
+        yield at, 1 - rows @ y.T if metric == "cosine" else np.sqrt(np.maximum(((rows[:, None] - y[None]) ** 2).sum(axis=2), 0)) if x.shape[1] <= 64 else _far(rows, y)
+
+
 def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """(id, rank, neighbour, distance): each point's k nearest others, ties to the smaller id.
 
     Exact, so every block of points meets every other, in tasks of two blocks; each gives its k nearest only.
     """
-    n = points.count()
-    blocks = max(1, -(-n // BLOCK))
-    placed = points.select("id", "features", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.select("id", "features", F.col("block").alias("p"), every.alias("q"))
-    right = placed.select("id", "features", F.col("block").alias("q"), every.alias("p"))
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -38,11 +51,7 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
             ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
             order = np.argsort(ib, kind="stable")
             y, ib = y[order], ib[order]
-            if metric == "cosine":
-                x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-            for at in range(0, len(x), 256):
-                rows = x[at : at + 256]
-                d = 1 - rows @ y.T if metric == "cosine" else np.sqrt(np.maximum(((rows[:, None] - y[None]) ** 2).sum(axis=2), 0)) if width <= 64 else _far(rows, y)
+            for at, d in apart(x, y, metric):
                 d[ia[at : at + 256, None] == ib[None]] = np.inf
                 near = np.argsort(d, axis=1, kind="stable")[:, :k]
                 for i, js in enumerate(near):
@@ -52,7 +61,7 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
                     out[2] += d[i, js].tolist()
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["id", "neighbour", "distance"])
 
-    near = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(pair, "id long, neighbour long, distance double")
+    near = block_pairs(points).applyInArrow(pair, "id long, neighbour long, distance double")
     w = W.partitionBy("id").orderBy("distance", "neighbour")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
 
@@ -109,14 +118,26 @@ def mada(near: DataFrame, k: int) -> DataFrame:
     return found.select("id", (math.log(2) / F.ln(F.col("far") / F.col("half"))).alias("d"))
 
 
-def correlation_dimension(near: DataFrame, k1: int, k2: int, n: int) -> DataFrame:
-    """One row: slope of ln C between the median distances of two neighbour ranks; pairs are counted among the
-    ranks at hand, which reach the larger radius for most points."""
-    radii = near.agg(F.percentile(F.when(F.col("rank") == k1, F.col("distance")), F.lit(0.5)).alias("r1"), F.percentile(F.when(F.col("rank") == k2, F.col("distance")), F.lit(0.5)).alias("r2"))
-    both = near.join(F.broadcast(radii), F.lit(True)).agg(
-        F.sum((F.col("distance") < F.col("r1")).cast("long")).alias("c1"), F.sum((F.col("distance") < F.col("r2")).cast("long")).alias("c2"), F.first("r1").alias("r1"), F.first("r2").alias("r2")
-    )
-    return both.select(F.try_divide(F.ln(F.col("c2") / F.col("c1")), F.ln(F.col("r2") / F.col("r1"))).alias("dimension"))
+def correlation_dimension(points: DataFrame, near: DataFrame, k1: int, k2: int) -> DataFrame:
+    """One row: slope of ln C between the median distances of two neighbour ranks, C(r) being the share of all
+    pairs closer than r; each task of two blocks counts its own pairs."""
+    median = lambda k: F.percentile(F.when(F.col("rank") == k, F.col("distance")), F.lit(0.5))
+    r1, r2 = near.agg(median(k1), median(k2)).first()
+    radii = [r or 0.0 for r in (r1, r2)]
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        counts = [0, 0]
+        if len(a) and len(b):
+            width = len(a.column("features")[0])
+            ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
+            for at, d in apart(matrix(a.column("features"), width), matrix(b.column("features"), width)):
+                d[ia[at : at + 256, None] == ib[None]] = np.inf
+                counts = [c + int((d < r).sum()) for c, r in zip(counts, radii, strict=True)]
+        return pa.table([pa.array([c], pa.int64()) for c in counts], names=["c1", "c2"])
+
+    both = block_pairs(points).applyInArrow(pair, "c1 long, c2 long").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    spread = F.ln(F.try_divide(F.lit(r2).cast("double"), F.lit(r1).cast("double")))
+    return both.select(F.try_divide(F.ln(F.try_divide("c2", "c1")), spread).alias("dimension"))
 
 
 def mind_ml(near: DataFrame, k: int, most: int = 64) -> DataFrame:
@@ -153,7 +174,7 @@ def estimate_dimension(points: DataFrame, name: str, k: int = 20) -> float:
         "MOM": lambda: method_of_moments(upto, k).agg(F.avg("d")),
         "MADA": lambda: mada(upto, k).agg(F.avg("d")),
         "TwoNN": lambda: two_nn(near),
-        "CorrInt": lambda: correlation_dimension(near, max(1, k // 2), k, 0),
+        "CorrInt": lambda: correlation_dimension(points, near, max(1, k // 2), k),
         "MiND_ML": lambda: mind_ml(near, k),
     }[name]().first()[0]
     near.unpersist()

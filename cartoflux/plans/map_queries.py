@@ -369,7 +369,7 @@ def dimension_mada(spark, sf):
     quantile_cont(CASE WHEN rank = 10 THEN distance END, 0.5) AS r2 FROM n)
   SELECT round(ln(sum(CASE WHEN distance < r2 THEN 1 ELSE 0 END) / sum(CASE WHEN distance < r1 THEN 1 ELSE 0 END)) / ln(max(r2) / max(r1)), 5) AS dimension FROM n, r""")
 def dimension_correlation(spark, sf):
-    return neighbours.correlation_dimension(_near(spark, sf, 10), 5, 10, 0).select(F.round("dimension", 5).alias("dimension"))
+    return neighbours.correlation_dimension(_points(spark, sf), _near(spark, sf, 10), 5, 10).select(F.round("dimension", 5).alias("dimension"))
 
 
 @query(f"""WITH {KNN}, r AS (SELECT id, max(CASE WHEN rank = 1 THEN distance END) / max(CASE WHEN rank = 11 THEN distance END) AS rho FROM near GROUP BY 1),
