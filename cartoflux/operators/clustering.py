@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,31 +138,32 @@ def centroids(clustered: DataFrame) -> DataFrame:
 def silhouette(clustered: DataFrame) -> DataFrame:
     """One row: the mean silhouette with Euclidean distances; a cluster of one counts 0.
 
-    Every point meets every other: blocks of rows against a broadcast of at most MOST_POINTS points.
+    Every point meets every other in tasks of two blocks, each of which sums a point's distances by cluster.
     """
-    ids, x = bounded(clustered.select("id", "features"), "the silhouette")
-    of = {r["id"]: r["cluster"] for r in clustered.select("id", "cluster").collect()}
-    labels, which = np.unique([of[i] for i in ids], return_inverse=True) if ids else (np.empty(0), np.empty(0, int))
-    shared = clustered.sparkSession.sparkContext.broadcast((x, which, labels))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, which, labels = shared.value
-        one = np.eye(len(labels))[which]
-        sizes = one.sum(axis=0)
-        for batch in batches:
-            own = np.searchsorted(labels, batch.column(1).to_numpy())
-            rows = matrix(batch.column(0), x.shape[1])
-            values = np.zeros(len(rows))
-            for i, (r, c) in enumerate(zip(rows, own, strict=True)):
-                if sizes[c] < 2:
-                    continue
-                total = np.sqrt(((x - r) ** 2).sum(axis=1)) @ one
-                a = total[c] / (sizes[c] - 1)
-                b = np.delete(total / sizes, c).min() if len(sizes) > 1 else 0.0
-                values[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-            yield pa.RecordBatch.from_arrays([pa.array(values)], names=["s"])
-
-    return clustered.select("features", "cluster").mapInArrow(run, "s double").agg(F.avg("s").alias("silhouette"))
+    from cartoflux.operators.neighbours import apart, block_pairs
+
+    cluster = clustered.schema["cluster"].dataType.simpleString()
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        kind = a.schema.field("cluster").type if len(a) else b.schema.field("cluster").type
+        if not len(a) or not len(b):
+            return pa.table([pa.array([], t) for t in (pa.int64(), kind, kind, pa.float64(), pa.int64())], names=["id", "own", "other", "total", "n"])
+        width = len(a.column("features")[0])
+        labels = pc.unique(b.column("cluster"))
+        of = pc.index_in(b.column("cluster"), labels).to_numpy()
+        one = np.eye(len(labels))[of]
+        total = np.concatenate([d @ one for _, d in apart(matrix(a.column("features"), width), matrix(b.column("features"), width))])
+        every = pa.array(np.repeat(np.arange(len(a)), len(labels)))
+        columns = [a.column("id").take(every), a.column("cluster").take(every), labels.take(pa.array(np.tile(np.arange(len(labels)), len(a))))]
+        return pa.table([*columns, pa.array(total.ravel()), pa.array(np.tile(one.sum(axis=0).astype(np.int64), len(a)))], names=["id", "own", "other", "total", "n"])
+
+    parts = block_pairs(clustered.withColumn("id", F.col("id").cast("long")), "cluster").applyInArrow(pair, f"id long, own {cluster}, other {cluster}, total double, n long")
+    sums = parts.groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    same = F.col("own") == F.col("other")
+    by_point = sums.groupBy("id").agg(
+        F.min(F.when(same & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.coalesce(F.min(F.when(~same, F.col("total") / F.col("n"))), F.lit(0.0)).alias("b")
+    )
+    return by_point.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
 def davies_bouldin(clustered: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import numpy as np
 
-from cartoflux.operators import neighbours
+from cartoflux.operators import clustering, neighbours
 
 
 def test_correlation_dimension_counts_all_pairs(spark, monkeypatch):
@@ -13,3 +13,22 @@ def test_correlation_dimension_counts_all_pairs(spark, monkeypatch):
     want = np.log((d < r2).sum() / (d < r1).sum()) / np.log(r2 / r1)
     assert np.isclose(neighbours.correlation_dimension(points, neighbours.knn(points, 10), 5, 10).first()[0], want)
     assert np.isclose(neighbours.estimate_dimension(points, "CorrInt", 10), want)
+
+
+def test_silhouette_has_no_greatest_number_of_points(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 60)
+    monkeypatch.setattr(clustering, "MOST_POINTS", 100)
+    x = np.random.default_rng(2).normal(size=(151, 3))
+    of = np.array([i % 3 for i in range(150)] + [9])
+    rows = [(i, r.tolist(), int(c)) for i, (r, c) in enumerate(zip(x, of, strict=True))]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    values = []
+    for i, c in enumerate(of):
+        a = d[i, of == c].sum() / max((of == c).sum() - 1, 1)
+        b = min(d[i, of == o].mean() for o in set(of.tolist()) - {c})
+        values.append((b - a) / max(a, b) if (of == c).sum() > 1 else 0.0)
+    schema = "id long, features array<double>, cluster int"
+    assert np.isclose(clustering.silhouette(spark.createDataFrame(rows, schema)).first()[0], np.mean(values))
+    assert clustering.silhouette(spark.createDataFrame(rows, schema).limit(0)).first()[0] is None
+    assert clustering.silhouette(spark.createDataFrame([(1, [0.0], 5), (2, [1.0], 5)], schema)).first()[0] == -1
+    assert clustering.silhouette(spark.createDataFrame([(1, [0.0], 5), (2, [0.0], 5)], schema)).first()[0] == 0
