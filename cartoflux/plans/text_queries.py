@@ -131,7 +131,7 @@ SHORT = "regexp_replace(substr(text, 1, 60), '[^a-zA-Z ]', '', 'g')"
 
 
 def _titles(spark, sf):
-    return t.read(spark, sf, "documents").select("doc_id", "lang", "source", F.trim(F.regexp_replace(F.substring("text", 1, 60), "[^a-zA-Z ]", "")).alias("title"))
+    return t.read(spark, sf, "documents").select("doc_id", "lang", "source", F.trim(F.regexp_replace(F.regexp_extract("text", r"^[^.]*", 0), "[^a-zA-Z ]", "")).alias("title"))
 
 
 @query(f"""SELECT doc_id::VARCHAR AS doi, trim({SHORT}) AS title, (1990 + doc_id % 30)::VARCHAR AS year, source AS journal, 'JOUR' AS doc_type,
@@ -205,14 +205,14 @@ STOPS = ", ".join(f"'{w}'" for w in sorted(set(keywords.STOP_WORDS)))
   l AS (SELECT id, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1)
   SELECT term, round(sum(w / norm), 5) AS score FROM x JOIN l USING (id) GROUP BY 1""")
 def tfidf_keywords(spark, sf):
-    titles = t.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("title"))
+    titles = t.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
     return keywords.term_scores(titles).withColumn("score", F.round("score", 5))
 
 
 @query()
 def top_keywords(spark, sf):
     """By language; the check against redundant terms is a fold over ranked terms, which has no SQL."""
-    titles = t.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("title"), "lang")
+    titles = t.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), "lang")
     return keywords.top_keywords(titles, 5, by="lang")
 
 
@@ -232,5 +232,5 @@ def semantic_topics(spark, sf):
     points = semantic.embed(docs)
     scores = pca(points, 2).select("id", F.col("scores")[0].alias("x"), F.col("scores")[1].alias("y"))
     placed = kmeans(points, 4).select("id", "cluster").join(scores, "id")
-    titles = docs.select(F.col("row_id").alias("id"), F.substring("concatenated_text", 1, 200).alias("title"))
+    titles = docs.select(F.col("row_id").alias("id"), F.col("concatenated_text").alias("title"))
     return semantic.topics(placed, titles, 20, 2)[0].select("path", "level", "label", "size")
