@@ -47,7 +47,7 @@ def test_recall_and_scores(spark):
 def test_all_leaves_give_the_exact_answer(spark):
     rows = rows_of(700, 2)
     vectors = spark.createDataFrame([(i, v, 7) for i, v in rows + rows[:30]], SCHEMA)
-    found = nearest(vectors, vectors.filter("vec_id % 20 = 0"), 5, share=1.0, leaf_rows=16).collect()
+    found = nearest(vectors, vectors.filter("vec_id % 20 = 0"), 5, recall=1.0, leaf_rows=16).collect()
     got = {}
     for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.vec_id)
@@ -57,6 +57,6 @@ def test_all_leaves_give_the_exact_answer(spark):
 def test_few_and_none(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (20, [0.0, 1.0], 1), (40, [1.0, 0.0], 1)]
     vectors = spark.createDataFrame(rows, SCHEMA)
-    found = sorted(tuple(r) for r in nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20, share=1.0).collect())
+    found = sorted(tuple(r) for r in nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20, recall=1.0).collect())
     assert found[:3] == [(0, 1, 40, 1.0), (0, 2, 1, 0.5), (0, 3, 20, 0.0)] and len(found) == 9
     assert nearest(vectors.limit(0), vectors.limit(0), 20).collect() == []
