@@ -33,6 +33,7 @@ def corpus(seed, n=250):
     prose = lambda k: " ".join(word() for _ in range(k))
     shared = [prose(rng.randrange(5, 40)) for _ in range(12)]
     texts = [None, "", "x" * 39, "y" * 40, "z" * 41, "ab" * 100, "ab" * 60 + "c" + "ab" * 60, "q" * 500]
+    texts += ["\0" * 90, "\0" * 30 + "a" + "\0" * 45, "k" * 25 + "\0" * 20, "m" + "k" * 25 + "\0" * 31, "k" * 25 + "\0" * 15]
     for _ in range(n):
         kind = rng.randrange(5)
         if kind == 0 and len(texts) > 20:
@@ -46,11 +47,11 @@ def corpus(seed, n=250):
     return texts
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 10**6), (2, 10**6), (3, 3)])
-def test_against_brute_force(spark, seed, hot):
+@pytest.mark.parametrize("seed,buckets", [(1, 0), (2, 1), (3, 60), (4, 400)])
+def test_against_brute_force(spark, seed, buckets):
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, tid string").repartition(3)
-    found = {r.doc_id: tuple(r)[1:] for r in suffix_dedup(docs, SMALL, hot_core=hot).collect()}
+    found = {r.doc_id: tuple(r)[1:] for r in suffix_dedup(docs, SMALL, buckets=buckets).collect()}
     want = brute(texts, SMALL.length)
     assert [i for i in found if found[i] != want[i]] == [] and len(found) == len(texts)
 
