@@ -1,27 +1,34 @@
 """LM scoring with Brown's class-based bigrams: exchange clustering assigns words to classes; class
 transitions and word emissions give a smoothed perplexity.
 
-The units that are clustered are the ``OWN_UNITS`` most frequent words, and all other words by their last
-letters; so every word, known or not, has a class. A text's probability is the product over its tokens of
+Each of the ``COMMON`` most frequent words is a unit of its own, and the rest are units by their last letters;
+so every word, known or not, has a class. Pairs of neighbouring units are counted over the whole corpus. The
+exchange begins with the ``SEEDS`` most frequent words and the endings, moved one by one on the driver; a
+word then takes its ending's class, and in ``ROUNDS`` rounds each half of the words in turn moves, in Spark,
+to the class whose transitions its own neighbours' classes fit best. The number of classes rises with the
+square root of the number of words that have units. A text's probability is the product over its tokens of
 
     P(class | class before) * P(word | class),   the end of text having a class of its own,
 
 both smoothed by adding one half and one; each class keeps room for one unknown word, so the probabilities
 of all words after any word sum to 1.
 
-All counts cover the whole corpus. Counts of the ``COMMON`` most frequent words are broadcast; the others'
-are joined to the texts they occur in. Words are told apart by 64-bit hashes in that join.
+All counts cover the whole corpus. Counts of the ``COMMON`` words are broadcast; the others' are joined to
+the texts they occur in. Words are told apart by 64-bit hashes in that join.
 
 Edge cases: a null text is an empty one, which is scored as its end alone; a null doc_id counts as an empty
-string in the split; rows repeated are counted each; without training texts every class is uniform; columns
-other than doc_id and text are ignored.
+string in the split; rows repeated are counted each; very long texts are one row's work and nothing is cut;
+without training texts every class is uniform; columns other than doc_id and text are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +38,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoflux.llm.common import Staging, documents
-from cartoflux.llm.pieces import WordCache
 
 FOLDS, HELD_OUT = 7, 2
-COMMON, OWN_UNITS, ENDINGS, CLASSES, SWEEPS = 200_000, 500, 256, 48, 6
+COMMON, SEEDS, ENDINGS, SWEEPS, ROUNDS = 200_000, 500, 256, 6, 4
 LONGEST = 64
+#: Pairs that a task sorts at a time, and units and pairs of a packed block.
+HELD, BLOCK_UNITS, BLOCK_PAIRS = 4_000_000, 8_192, 500_000
+#: Rare words whose endings a task remembers.
+REMEMBERED = 300_000
+
+
+def classes_for(words: int) -> int:
+    """Classes for so many words, the end of text's included."""
+    return 16 + math.isqrt(words) // 4
 
 
 def _plogp(x: np.ndarray) -> np.ndarray:
@@ -85,11 +100,37 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int, fixed: int) -> np.nda
 
 
 def _ending(word: bytes) -> int:
-    return OWN_UNITS + xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS
+    return xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS
+
 
+class Units(dict):
+    """The unit of each word: a frequent word's place, or else that of its ending behind them; the end of text
+    is the last unit."""
 
-#: The end of text is the last unit.
-END = OWN_UNITS + ENDINGS
+    def __init__(self, common: list[bytes]):
+        super().__init__()
+        self.common = {w: i for i, w in enumerate(common)}
+        self.end = len(common) + ENDINGS
+        self.update(self.common)
+
+    def __missing__(self, word: bytes) -> int:
+        unit = self[word] = len(self.common) + _ending(word)
+        return unit
+
+    def turn(self) -> None:
+        """Call between batches."""
+        if len(self) > len(self.common) + REMEMBERED:
+            self.clear()
+            self.update(self.common)
+
+    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Units of an end and then of each text's words and end; and each text's number of tokens."""
+        self.turn()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        total = int(sizes.sum())
+        out = np.full(total + len(texts) + 1, self.end, np.int64)
+        out[np.arange(total) + np.repeat(np.arange(1, len(texts) + 1), sizes)] = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, total)
+        return out, sizes + 1
 
 
 def _words(text) -> list[bytes]:
@@ -110,57 +151,168 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(counts)
 
 
-class _Units:
-    """Unit of each word; frequent words are looked up, the others' last letters are hashed."""
-
-    def __init__(self, common: list[bytes]):
-        self.cache = WordCache(_ending)
-        self.common = dict(zip(common, range(OWN_UNITS), strict=False))
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        self.cache.turn()
-        common, cache = self.common, self.cache
-        return np.array([END, *(common[w] if w in common else cache[w] for w in words), END])
+def _parts(column, most: int = 1 << 22) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The words of a batch's texts, in parts of some bytes: (first row, texts)."""
+    held, size, first = [], 0, 0
+    for i, text in enumerate(column):
+        words = _words(text)
+        held.append(words)
+        size += sum(map(len, words)) + len(words)
+        if size > most:
+            yield first, held
+            held, size, first = [], 0, i + 1
+    if held:
+        yield first, held
 
 
 def _count_pairs(shared):
+    """(u, v, n) of the neighbouring units of a task's texts."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, total = _Units(shared.value), np.zeros((END + 1) ** 2, np.int64)
-        held, size = [], 0
+        units = Units(shared.value)
+        held, size, k = [], 0, units.end + 1
 
-        def add():
-            if held:
-                codes = np.concatenate(held)
-                found, n = np.unique(codes, return_counts=True)
-                total[found] += n
-                held.clear()
+        def rows():
+            codes, n = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array((codes // k).astype("i4")), pa.array((codes % k).astype("i4")), pa.array(n.astype("i8"))], names=["u", "v", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                u = units.of(_words(text))
-                held.append(u[:-1] * (END + 1) + u[1:])
-                size += len(u)
-                if size > 500_000:
-                    add()
+            for _, texts in _parts(batch.column(0)):
+                found, _ = units.of(texts)
+                held.append(found[:-1] * k + found[1:])
+                size += len(found)
+                if size > HELD:
+                    yield rows()
                     size = 0
-        add()
-        blocks = total.reshape(END + 1, END + 1)
-        at = range(0, END + 1, 32)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([blocks[i : i + 32].astype("<i8").tobytes() for i in at], pa.binary())], names=["block", "counts"])
+        yield rows()
 
     return count
 
 
-def _sum_pairs(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c.as_py(), "<i8") for c in table.column("counts"))
-    return pa.table([table.column("block").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+_CONTEXTS = "units binary, sizes binary, others binary, counts binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of units (2 * unit, one more for those before it), with their neighbours and counts."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    key, other, n = (table.column(c).to_numpy() for c in ("key", "other", "n"))
+    order = np.argsort(key, kind="stable")
+    key, other, n = key[order], other[order], n[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    ends = np.append(starts[1:], len(key))
+    rows, a = [], 0
+    while a < len(starts):
+        # a unit's two keys stay together; a block has one unit at least
+        b = max(a + 1, min(a + 2 * BLOCK_UNITS, int(np.searchsorted(ends, starts[a] + BLOCK_PAIRS, "right"))))
+        b += b < len(starts) and key[starts[b]] // 2 == key[starts[b - 1]] // 2
+        at = slice(starts[a], ends[b - 1])
+        rows.append((key[starts[a:b]].astype("<i4").tobytes(), (ends - starts)[a:b].astype("<i4").tobytes(), other[at].astype("<i4").tobytes(), n[at].astype("<i8").tobytes()))
+        a = b
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["units", "sizes", "others", "counts"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        yield tuple(np.frombuffer(v, t) for v, t in zip(row, ("<i4", "<i4", "<i4", "<i8"), strict=True))
+
+
+def _sum_groups(shared, groups: int):
+    """(code, n): counts of pairs of groups, groups being given for each unit."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        total = np.zeros(groups * groups, np.int64)
+        for batch in batches:
+            for keys, sizes, others, n in _unpacked(batch):
+                side = np.repeat(keys, sizes)
+                after = side % 2 == 0
+                codes, inverse = np.unique(of[side[after] // 2] * groups + of[others[after]], return_inverse=True)
+                total[codes] += np.bincount(inverse, n[after], len(codes)).astype(np.int64)
+        codes = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(total[codes])], names=["code", "n"])
+
+    return add
+
+
+def _group_pairs(contexts: DataFrame, of: np.ndarray, groups: int) -> np.ndarray:
+    """Counts of pairs of groups, [before, after]: as many cells as groups allow, whatever the corpus."""
+    sums = contexts.mapInArrow(_sum_groups(contexts.sparkSession.sparkContext.broadcast(of), groups), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    out = np.zeros(groups * groups)
+    for r in sums.collect():
+        out[r["code"]] = r["n"]
+    return out.reshape(groups, groups)
+
+
+def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """The class that raises the likelihood of a unit's pairs most, with its own pairs taken out of its present
+    class. ``after`` and ``before`` are [unit, class] counts of its neighbours; the last class takes none."""
+    rows, columns = between.sum(axis=1) + 1, between.sum(axis=0) + 1
+    to = np.log((between + 0.5) / rows[:, None])  # of class, next class
+    come = np.log((between + 0.5) / columns[None, :])  # of class before, class
+    score = after @ to.T + before @ come
+    n_after, n_before = after.sum(axis=1), before.sum(axis=1)
+    left = np.maximum(between[own] - after, 0) + 0.5
+    came = np.maximum(between.T[own] - before, 0) + 0.5
+    alone = (after * np.log(left / np.maximum(rows[own] - n_after, 1)[:, None])).sum(axis=1)
+    alone += (before * np.log(came / np.maximum(columns[own] - n_before, 1)[:, None])).sum(axis=1)
+    score[np.arange(len(own)), own] = alone
+    score[:, -1] = -np.inf
+    best = score.argmax(axis=1)
+    return np.where(score[np.arange(len(own)), best] > alone + 1e-9, best, own)
+
+
+def _mover(shared, classes: int, turn: int):
+    """Units of one half that move, with their new classes."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, between = shared.value
+        for batch in batches:
+            for keys, sizes, others, n in _unpacked(batch):
+                units, row = np.unique(keys // 2, return_inverse=True)
+                cells = (np.repeat(row * 2 + keys % 2, sizes)) * classes + of[others]
+                sums = np.bincount(cells, n, len(units) * 2 * classes).reshape(len(units), 2, classes)
+                now = of[units]
+                new = best_classes(sums[:, 0], sums[:, 1], now, between)
+                moved = (new != now) & (now != classes - 1) & ((units + turn) % 2 == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(units[moved].astype("i8")), pa.array(new[moved].astype("i8"))], names=["unit", "class"])
+
+    return move
+
+
+def cluster(train: DataFrame, common: list[bytes], stage: Staging, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit, and the counts of pairs of classes."""
+    spark = train.sparkSession
+    share = spark.sparkContext.broadcast
+    pairs = train.mapInArrow(_count_pairs(share(common)), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    both = F.explode(F.array(F.struct((F.col("u") * 2).alias("key"), F.col("v").alias("other")), F.struct((F.col("v") * 2 + 1).alias("key"), F.col("u").alias("other"))))
+    pairs = stage.table(pairs, "pairs")
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * pairs.count() // HELD)
+    sides = pairs.select(both.alias("side"), "n").select("side.key", "side.other", "n").repartition(partitions, F.expr("key div 2"))
+    contexts = stage.table(sides.mapInArrow(_pack, _CONTEXTS), "contexts")
+
+    seeds, units, classes = min(SEEDS, len(common)), len(common) + ENDINGS + 1, classes_for(len(common))
+    coarse = np.array([*range(seeds), *(seeds + _ending(w) for w in common[seeds:]), *range(seeds, seeds + ENDINGS + 1)], np.int64)
+    first = exchange(_group_pairs(contexts, coarse, seeds + ENDINGS + 1), classes, SWEEPS, seeds + ENDINGS)
+    of = first[coarse]
+    for turn in range(2 * rounds):
+        between = _group_pairs(contexts, of, classes)
+        moved = contexts.mapInArrow(_mover(share((of, between)), classes, turn), "unit long, class long").toArrow()  # of bounded number
+        of = of.copy()
+        of[moved.column("unit").to_numpy()] = moved.column("class").to_numpy()
+    assert len(of) == units
+    return of, _group_pairs(contexts, of, classes)
 
 
 @dataclass
 class Model:
-    common: list[bytes]  # of bounded length and number, most frequent first
+    common: list[bytes]  # of bounded length and number, most frequent first; each is a unit
     log_count: np.ndarray  # log10(count + 1) of those
-    unit_class: np.ndarray
+    unit_class: np.ndarray  # of the common words, the endings and the end of text
     log_transition: np.ndarray  # [class before, class]
     log_room: np.ndarray  # log10 of what a class's counts are divided by
     tokens: int
@@ -168,44 +320,47 @@ class Model:
     texts: int
 
 
+_RARE = pa.struct([("h", pa.int64()), ("n", pa.int64())])
+
+
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        place = {w: i for i, w in enumerate(model.common)}
-        cache = WordCache(_ending)
-        unit_of = np.array([i if i < OWN_UNITS else _ending(w) for i, w in enumerate(model.common)] or [0])
-        end_class = model.unit_class[END]
+        units, of, known_n = Units(model.common), model.unit_class, len(model.common)
         end_known = int(model.texts > 0)
+        logs = np.concatenate([model.log_count, np.zeros(ENDINGS), [np.log10(model.texts + 1)]])
         digest = xxhash.xxh3_64_intdigest
         row = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for text in batch.column(2):
-                cache.turn()
-                words = _words(text)
-                # frequent words by their place, others by -1 - unit
-                ids = np.array([place[w] if w in place else -1 - cache[w] for w in words], np.int64)
-                known = ids >= 0
-                units = np.where(known, unit_of[np.maximum(ids, 0)], -1 - ids)
-                classes = np.concatenate([[end_class], model.unit_class[units], [end_class]])
-                chain = model.log_transition[classes[:-1], classes[1:]].sum() - model.log_room[classes[1:]].sum()
-                rare = Counter(w for w, k in zip(words, known.tolist(), strict=True) if not k)
-                values = (
-                    row,
-                    len(words) + 1,
-                    int(known.sum()) + end_known,
-                    float(model.log_count[ids[known]].sum() + np.log10(model.texts + 1)),
-                    float(chain),
-                    [{"h": digest(w) - (1 << 63), "n": n} for w, n in rare.items()],
+            for first, texts in _parts(batch.column(2)):
+                flat, sizes = units.of(texts)
+                flat_class, tokens = of[flat], flat[1:]
+                starts = np.cumsum(sizes) - sizes
+                steps = model.log_transition[flat_class[:-1], flat_class[1:]] - model.log_room[flat_class[1:]]
+                rare = np.flatnonzero((tokens >= known_n) & (tokens < units.end))
+                text = np.repeat(np.arange(len(texts)), sizes)[rare]
+                hashes = np.array([digest(texts[t][i]) - (1 << 63) for t, i in zip(text.tolist(), (rare - starts[text]).tolist(), strict=True)], np.int64)
+                by = np.lexsort((hashes, text))
+                text, hashes = text[by], hashes[by]
+                new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(hashes, prepend=0) != 0)) if len(text) else np.empty(0, np.int64)
+                counts = np.diff(np.append(new, len(text)))
+                offsets = np.searchsorted(text[new], np.arange(len(texts) + 1)).astype("i4")
+                entries = pa.StructArray.from_arrays([pa.array(hashes[new]), pa.array(counts.astype("i8"))], fields=list(_RARE))
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array(np.arange(row, row + len(texts))),
+                        pa.array(sizes),
+                        pa.array(np.add.reduceat((tokens < known_n).astype(np.int64), starts) + end_known),
+                        pa.array(np.add.reduceat(logs[tokens], starts)),
+                        pa.array(np.add.reduceat(steps, starts)),
+                        pa.ListArray.from_arrays(pa.array(offsets), entries),
+                    ],
+                    names=["doc_id", "held_out", "row", "n_tokens", "n_common", "log_common", "chain", "rare"],
                 )
-                for to, v in zip(out, values, strict=True):
-                    to.append(v)
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]],
-                names=["doc_id", "held_out", "row", "n_tokens", "n_common", "log_common", "chain", "rare"],
-            )
+                row += len(texts)
 
     return score
 
@@ -221,9 +376,10 @@ def _class_kinds(shared):
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, of = shared.value
-        units = _Units(common)
+        units = Units(common)
         for batch in batches:
-            classes = of[units.of(batch.column(0).to_pylist())[1:-1]]
+            units.turn()
+            classes = of[np.fromiter(map(units.__getitem__, batch.column(0).to_pylist()), np.int64, len(batch))]
             found, n = np.unique(classes, return_counts=True)
             tokens = np.bincount(classes, batch.column(1).to_numpy(), minlength=len(found))[found].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.int64())], names=["class", "kinds", "tokens"])
@@ -254,28 +410,18 @@ def fit(texts: DataFrame, stage: Staging) -> tuple[Model, DataFrame]:
     texts_n = train.count()
     frequent = sorted(_most_frequent(vocabulary.filter(F.octet_length("word") <= LONGEST)).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     common = [bytes(r["word"]) for r in frequent]
-    own = common[:OWN_UNITS]
-
-    shared = spark.sparkContext.broadcast(own)
-    blocks = train.mapInArrow(_count_pairs(shared), "block int, counts binary").groupBy("block").applyInArrow(_sum_pairs, "block int, counts binary")
-    pairs = np.zeros((END + 1, END + 1))  # of bounded size, whatever the corpus
-    for r in blocks.collect():
-        part = np.frombuffer(bytes(r["counts"]), "<i8").reshape(-1, END + 1)
-        pairs[r["block"] : r["block"] + len(part)] = part
-    of = exchange(pairs, CLASSES, SWEEPS, END)
-
-    kinds, emitted = np.zeros(CLASSES), np.zeros(CLASSES)
-    counted = vocabulary.mapInArrow(_class_kinds(spark.sparkContext.broadcast((own, of))), "class long, kinds long, tokens long")
+    of, between = cluster(train, common, stage)
+    classes = len(between)
+
+    kinds, emitted = np.zeros(classes), np.zeros(classes)
+    counted = vocabulary.mapInArrow(_class_kinds(spark.sparkContext.broadcast((common, of))), "class long, kinds long, tokens long")
     for r in counted.groupBy("class").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).collect():
         kinds[r["class"]], emitted[r["class"]] = r["kinds"], r["tokens"]
-    kinds[of[END]] += texts_n > 0
-    emitted[of[END]] += texts_n
-    member = np.zeros((END + 1, CLASSES))
-    member[np.arange(END + 1), of] = 1
-    between = member.T @ pairs @ member
-    transition = (between + 0.5) / (between.sum(axis=1, keepdims=True) + 0.5 * CLASSES)
+    kinds[of[-1]] += texts_n > 0
+    emitted[of[-1]] += texts_n
+    transition = (between + 0.5) / (between.sum(axis=1, keepdims=True) + 0.5 * classes)
     model = Model(
-        common, np.log10(np.array([r["n"] for r in frequent] or [0], float) + 1), of, np.log10(transition), np.log10(emitted + kinds + 1),
+        common, np.log10(np.array([r["n"] for r in frequent], float) + 1), of, np.log10(transition), np.log10(emitted + kinds + 1),
         tokens + texts_n, distinct + (texts_n > 0), texts_n,
     )
     return model, vocabulary

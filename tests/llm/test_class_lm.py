@@ -4,9 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from cartoflux.llm import class_lm
 from cartoflux.llm.class_lm import exchange, score_documents
+from cartoflux.llm.common import Staging
 
 
 def texts_of(n, seed):
@@ -40,23 +43,63 @@ def test_counts_and_scores(spark):
 
 
 def test_probabilities_sum_to_one(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    from cartoflux.llm.common import Staging
-
     docs = spark.createDataFrame([(t,) for t in texts_of(200, 2)], "text string")
-    model, vocabulary = class_lm.fit(docs.select(F.lit(False).alias("held_out"), F.col("text").cast("binary").alias("text")), Staging(spark, "t"))
+    train = docs.select(F.lit(False).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    model, vocabulary = class_lm.fit(train, Staging(spark, "t"))
     words = {bytes(r.word): r.n for r in vocabulary.collect()}
-    units = class_lm._Units(model.common[: class_lm.OWN_UNITS])
-    of = dict(zip(words, model.unit_class[units.of(list(words))[1:-1]], strict=True))
+    units = class_lm.Units(model.common)
+    of = {w: model.unit_class[units[w]] for w in words}
     room = 10**model.log_room
-    emitted = np.full(class_lm.CLASSES, 1.0) / room  # the unknown word of each class
+    emitted = np.full(len(room), 1.0) / room  # the unknown word of each class
     for w, n in words.items():
         emitted[of[w]] += (n + 1) / room[of[w]]
-    emitted[model.unit_class[class_lm.END]] += (model.texts + 1) / room[model.unit_class[class_lm.END]]
+    emitted[model.unit_class[-1]] += (model.texts + 1) / room[model.unit_class[-1]]
     assert np.allclose(emitted, 1) and np.allclose((10**model.log_transition).sum(axis=1), 1)
 
 
+@pytest.mark.parametrize("common", [200_000, 40])
+def test_scores_by_counting(spark, monkeypatch, common):
+    """The score of every text, from classes as they were found and counts made here."""
+    monkeypatch.setattr(class_lm, "COMMON", common)
+    rows = [*enumerate(texts_of(300, 5)), (300, None), (301, "new words only 7 8 9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.score for r in score_documents(docs).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    fold = spark.createDataFrame([(i, held(i), t) for i, t in rows], "doc_id long, held_out boolean, text string")
+    model, _ = class_lm.fit(fold.select("held_out", F.col("text").cast("binary").alias("text")), Staging(spark, "t"))
+    units = class_lm.Units(model.common)
+    assert (len(model.common) <= 40) == (common == 40) and len(model.unit_class) == units.end + 1
+    words = lambda t: (t or "").encode().lower().split()
+    of = lambda w: int(model.unit_class[units.end if w is None else units[w]])
+    pairs, counts, emitted = Counter(), Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            line = [None, *words(t), None]
+            pairs.update((of(a), of(b)) for a, b in zip(line, line[1:], strict=False))
+            counts.update(line[1:])
+    for w, n in counts.items():
+        emitted[of(w)] += n + 1
+    k = len(model.log_room)
+    for i, t in rows:
+        line, want = [None, *words(t), None], 0.0
+        for a, b in zip(line, line[1:], strict=False):
+            before = sum(n for (c, _), n in pairs.items() if c == of(a))
+            want += math.log10((pairs[of(a), of(b)] + 0.5) / (before + 0.5 * k)) + math.log10((counts[b] + 1) / (emitted[of(b)] + 1))
+        assert math.isclose(found[i], want, rel_tol=1e-9)
+
+
+def test_rounds_raise_the_likelihood(spark):
+    train = spark.createDataFrame([(t.encode(),) for t in texts_of(400, 6)], "text binary")
+    common = [w for w, _ in Counter(w for t in texts_of(400, 6) for w in t.encode().lower().split()).most_common(100)]
+
+    def likelihood(rounds):
+        _, between = class_lm.cluster(train, common, Staging(spark, "t"), rounds)
+        p = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+        return p(between) - p(between.sum(axis=0)) - p(between.sum(axis=1))
+
+    assert likelihood(4) > likelihood(0)
+
+
 def test_exchange_finds_the_classes():
     rng = np.random.default_rng(0)
     kind = np.array([0, 1, 2, 3] * 6)
