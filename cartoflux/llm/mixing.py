@@ -1,13 +1,19 @@
 """Mixing sources to target weights (native): after certain whole copies, Pareto order sampling ranks the
 documents of a source by random odds over inclusion odds and takes the sample of the size still due.
 
+How often a document is wanted rises with its length: in proportion to the bits of its size in words, so that
+long coherent texts fill more of the mix than fragments do. Within a source the wanted copies add up to its
+target, and none is above ``MOST_COPIES``; what a document's capped copies leave is shared by the others. The
+whole part of the wanted copies is certain, and the rest is the document's own inclusion chance.
+
 The size of a sample is counted in words. A source's documents are kept in rank order until the words
 due are reached; the last one is taken if that brings the sum nearer. Running sums come from two levels
 of rank bins that are aggregated before any shuffle, so no task holds a source.
 
 Edge cases: a null text has size 0 and nothing is taken of it; a null source is a source of its own and
-sorts last; rows repeated with one doc_id and size are taken together; an empty table gives no rows;
-columns other than doc_id, text and source are ignored.
+sorts last; rows repeated with one doc_id and size are taken together; very long texts are counted whole; an
+empty table gives no rows; columns other than doc_id, text and source are ignored by ``mix`` and kept by
+``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -70,8 +76,32 @@ def _first_open_bin(binned: DataFrame, bin_col: str, due: str, out: str) -> Data
 def _sized(docs: DataFrame) -> DataFrame:
     """Adds ``size`` in words and ``u``, a uniform number from the doc_id alone."""
     digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13)
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn(
-        "u", (F.conv(digits, 16, 10).cast("double") + 0.5) / 2.0**52
+    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    return sized.withColumn("bits", F.length(F.bin("size")).cast("long")).withColumn("u", (F.conv(digits, 16, 10).cast("double") + 0.5) / 2.0**52)
+
+
+def with_chances(levels: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """For each (source, bits) of ``levels`` (also words, source_size, target): ``whole`` certain copies, the
+    ``chance`` of one more, and ``due``, the words that a source's sample adds to its certain copies.
+
+    As with the targets, in falling order of bits a level is capped if the share left by those before asks
+    for ``most`` copies. One row for each level of a source, of which there are at most 64.
+    """
+    every = W.partitionBy("source")
+    before = every.orderBy(F.desc("bits")).rowsBetween(W.unboundedPreceding, -1)
+    weight = F.col("words") * F.col("bits")
+    return (
+        levels.withColumn("weight", weight)
+        .withColumn("words_left", F.col("target") - most * F.coalesce(F.sum("words").over(before), F.lit(0)))
+        .withColumn("weight_left", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+        .withColumn("capped", (F.col("weight_left") > 0) & (F.expr("words_left * bits / nullif(weight_left, 0)") >= most))
+        .withColumn("open_words", F.col("target") - most * F.coalesce(F.sum(F.when(F.col("capped"), F.col("words"))).over(every), F.lit(0)))
+        .withColumn("open_weight", F.sum(F.when(~F.col("capped"), F.col("weight"))).over(every))
+        .withColumn("copies", F.when(F.col("capped"), float(most)).otherwise(F.coalesce(F.expr("open_words * bits / nullif(open_weight, 0)"), F.lit(0.0))))
+        .withColumn("whole", F.floor("copies"))
+        .withColumn("chance", F.col("copies") - F.col("whole"))
+        .withColumn("due", F.col("target") - F.sum(F.col("words") * F.col("whole")).over(every))
+        .select("source", "source_size", "target", "bits", "whole", "chance", "due")
     )
 
 
@@ -92,14 +122,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
 def _with_copies(docs: DataFrame, weights: tuple[int, ...], most: int, stage_rows: bool) -> DataFrame:
     stage = Staging(docs.sparkSession, "mix")
     sized = stage.table(_sized(docs.select("doc_id", "source", "text")).drop("text"), "sized")
-    sources = stage.table(with_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "sources")
-
-    share = (
-        sources.withColumn("copies", F.when(F.col("source_size") == 0, 0.0).otherwise(F.expr("target / nullif(source_size, 0)")))
-        .withColumn("whole", F.floor("copies"))
-        .withColumn("chance", F.col("copies") - F.col("whole"))
-        .withColumn("due", F.col("target") - F.col("whole") * F.col("source_size"))
-    )
+    levels = stage.table(sized.groupBy("source", "bits").agg(F.sum("size").alias("words")), "levels")
+    sources = with_targets(levels.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most).withColumnRenamed("source", "__source")
+    levels = levels.join(sources, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    share = stage.table(with_chances(levels, most), "share").withColumnRenamed("bits", "__bits")
 
     def per_source(df: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
         side = side.withColumnRenamed("source", "__source")
@@ -109,6 +135,8 @@ def _with_copies(docs: DataFrame, weights: tuple[int, ...], most: int, stage_row
     def rank(rows: DataFrame) -> DataFrame:
         return (
             per_source(rows, share)
+            .filter("bits = __bits")
+            .drop("__bits")
             .withColumn("rank", F.expr("CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END"))
             .withColumn("v", F.col("rank") / (F.col("rank") + 1))
             .withColumn("bin", F.floor(F.col("v") * (BINS * BINS)))
@@ -150,7 +178,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-      (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+      (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
+      length(bin(size))::BIGINT AS bits FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 s1 AS (SELECT *, [5, 2, 1][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)]::BIGINT AS weight FROM s0),
 s2 AS (SELECT *, 3 * source_size AS cap, (3 * source_size)::DOUBLE / weight AS ratio FROM s1),
@@ -161,9 +190,17 @@ s4 AS (SELECT *, words_left / weight_left > ratio AS capped FROM s3),
 s5 AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE
       (sum(source_size) OVER () - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0))::DOUBLE * weight
       / (sum(CASE WHEN NOT capped THEN weight END) OVER ())::DOUBLE END AS target FROM s4),
-s6 AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS copies FROM s5),
-d AS (SELECT s.*, t.source_size, t.target, floor(copies) AS whole, copies - floor(copies) AS chance,
-      target - floor(copies) * t.source_size AS due FROM sized s JOIN s6 t ON s.source IS NOT DISTINCT FROM t.source),
+l0 AS (SELECT source, bits, sum(size)::BIGINT AS words FROM sized GROUP BY source, bits),
+l1 AS (SELECT l0.*, source_size, target, words * bits AS weight FROM l0 JOIN s5 ON l0.source IS NOT DISTINCT FROM s5.source),
+l2 AS (SELECT *, target - 3 * coalesce(sum(words) OVER b, 0)::DOUBLE AS words_left, (sum(weight) OVER e - coalesce(sum(weight) OVER b, 0))::DOUBLE AS weight_left FROM l1
+      WINDOW e AS (PARTITION BY source), b AS (PARTITION BY source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l3 AS (SELECT *, weight_left > 0 AND words_left * bits / nullif(weight_left, 0) >= 3 AS capped FROM l2),
+l4 AS (SELECT *, target - 3 * coalesce(sum(CASE WHEN capped THEN words END) OVER e, 0)::DOUBLE AS open_words,
+      (sum(CASE WHEN NOT capped THEN weight END) OVER e)::DOUBLE AS open_weight FROM l3 WINDOW e AS (PARTITION BY source)),
+l5 AS (SELECT *, CASE WHEN capped THEN 3.0::DOUBLE ELSE coalesce(open_words * bits / nullif(open_weight, 0), 0) END AS copies FROM l4),
+l6 AS (SELECT source, source_size, target, bits, floor(copies) AS whole, copies - floor(copies) AS chance,
+      target - sum(words * floor(copies)) OVER (PARTITION BY source) AS due FROM l5),
+d AS (SELECT s.doc_id, s.size, s.u, t.* FROM sized s JOIN l6 t ON s.source IS NOT DISTINCT FROM t.source AND s.bits = t.bits),
 v AS (SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM d),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank / (rank + 1), doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
       sum(size) OVER (PARTITION BY source, rank, doc_id, size) AS own FROM v)

@@ -47,6 +47,25 @@ def test_mix_is_near_its_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 60 for s in target)
 
 
+def test_chances_differ_by_length(spark):
+    """Within a source longer documents are wanted more often; copies taken follow what is wanted."""
+    rng = random.Random(7)
+    rows = [(i, "w " * rng.choice([3, 30, 300]), "a" if i % 3 else "b", "x") for i in range(3000)]
+    found = mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    source = {r[0]: r[2] for r in rows}
+    for s in "ab":
+        mean = {}
+        for size in (3, 30, 300):
+            of = [r.taken / size for r in found if source[r.doc_id] == s and r.size == size]
+            mean[size] = sum(of) / len(of)
+        bits = {n: n.bit_length() for n in mean}
+        # taken per bit of size is one rate, but for what is capped at three copies
+        rate = mean[300] / bits[300]
+        assert mean[3] < mean[30] <= mean[300] and all(abs(mean[n] - min(3, rate * bits[n])) < 0.12 for n in mean)
+        taken = sum(r.taken for r in found if source[r.doc_id] == s)
+        assert abs(taken - next(r.target for r in found if source[r.doc_id] == s)) <= 300
+
+
 def test_no_documents(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).collect() == []
     only = mix(spark.createDataFrame([(1, None, None, "x"), (2, "", "s", "x")], SCHEMA)).collect()

@@ -1,14 +1,18 @@
 """Token counts and the unigram codec against the library itself."""
 
+import dataclasses
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 
-from cartoflux.llm.pieces import load
+from cartoflux.llm.pieces import chunks, load
 from cartoflux.llm.token_counts import MergeCounter, count_tokens
-from cartoflux.llm.unigram import DoubleArrayTrie, UnigramCodec, encode_decode
+from cartoflux.llm.unigram import DoubleArrayTrie, UnigramCodec, encode_decode, estimate
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -109,3 +113,58 @@ def test_odd_rows(spark, odd_rows):
     back = {(r.doc_id, r.decoded) for r in encode_decode(odd_rows, MODEL).collect()}
     assert back == {(1, "a b"), (2, ""), (3, ""), (None, "x"), (4, "word " * 20_000)}
     assert count_tokens(odd_rows.limit(0), MODEL).collect() == [] == encode_decode(odd_rows.limit(0), MODEL).collect()
+
+
+def plain_uses(vocabulary, lowest, chunk):
+    """Expected uses of pieces, by listing every way to cut a chunk."""
+    score_of = {vocabulary.pieces[i].replace("▁", " "): (vocabulary.scores[i], i) for i in vocabulary.normal}
+
+    def ways(at):
+        if at == len(chunk):
+            yield 0.0, []
+        for end in range(at + 1, len(chunk) + 1):
+            if chunk[at:end] in score_of:
+                score, i = score_of[chunk[at:end]]
+                yield from ((score + s, [i, *ids]) for s, ids in ways(end))
+        if at < len(chunk) and chunk[at] not in score_of:
+            yield from ((lowest + s, ids) for s, ids in ways(at + 1))
+
+    found = list(ways(0))
+    total = sum(math.exp(s) for s, _ in found)
+    uses = Counter()
+    for s, ids in found:
+        for i in ids:
+            uses[i] += math.exp(s) / total
+    return uses
+
+
+def test_expected_uses(vocabulary):
+    scores = [-math.log(32000) - (i % 7) / 3 for i in range(len(vocabulary.pieces))]
+    codec = UnigramCodec(dataclasses.replace(vocabulary, scores=scores))
+    listed, n = [" the", " anble", "x", " 😀a", "  ", " été", "世a世", " quickly"], np.arange(1, 9)
+    found, want = codec.expected(listed, n), Counter()
+    for chunk, times in zip(listed, n.tolist(), strict=True):
+        for i, u in plain_uses(codec.vocabulary, codec.lowest, chunk).items():
+            want[i] += u * times
+    assert set(np.flatnonzero(found)) == set(want) and all(math.isclose(found[i], u, rel_tol=1e-9) for i, u in want.items())
+
+
+def test_many_paths_are_those_of_one(vocabulary):
+    codec = UnigramCodec(vocabulary)
+    listed = [c for t in [*TEXTS, *noise()] for c in chunks(t)] + [" " + "ab" * 400]
+    assert codec.paths(listed) == [codec.viterbi(c) for c in listed]
+
+
+def test_estimated_scores(spark, vocabulary):
+    """Scores are log chances that the corpus makes likelier with each round."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, *noise(100), None, "the cat the dog the end " * 400])], "doc_id long, text string")
+    made = [estimate(docs, vocabulary, rounds) for rounds in (1, 3)]
+    normal = sorted(vocabulary.normal)
+    likely = []
+    for v in made:
+        assert abs(sum(math.exp(v.scores[i]) for i in normal) - 1) < 1e-2
+        codec = UnigramCodec(v)
+        likely.append(sum(v.scores[i] for r in docs.collect() for i in codec.encode(r.text).tolist() if i in vocabulary.normal))
+    assert likely[1] > likely[0]
+    found = encode_decode(docs, MODEL).collect()
+    assert all(r.decoded == (t or "").replace("▁", " ") for r, t in zip(sorted(found, key=lambda r: r.doc_id), [r.text for r in docs.orderBy("doc_id").collect()], strict=True))
