@@ -1,5 +1,12 @@
 """A corpus from raw documents to token ids, in five stages. Each takes (spark, docs, sf_dir) and works on all
-that the stage before kept; between stages the documents are written as Parquet and read again."""
+that the stage before kept; between stages the documents are written as Parquet and read again.
+
+All but the last return the columns of their input, extra ones included, whatever these are called. Null and
+empty texts: the classifier judges them as empty; they link with nothing, so near-duplicate removal keeps them;
+nothing repeats in them; the mix takes no document without a word. Rows repeated: of rows of one doc_id and text
+the near-duplicate stage keeps one, and rows without a doc_id all stay there. Null sources and languages are
+sites and sources of their own. Very long texts are worked through whole; empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +18,13 @@ from cartoflux.llm import jaccard_join, mixing, quality, suffix_dedup, unigram
 from cartoflux.llm.common import Staging
 
 
+#: Repeated passages are found from so many bytes on, and go if they have so many words.
+REPEATS, REPEATED_WORDS = suffix_dedup.Shape(length=200, window=136, gram=24), 50
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    judged = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=True)
-    return judged.filter("keep").select(*docs.columns)
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +33,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings that stand in the corpus twice are taken out of the texts."""
-    return suffix_dedup.deduplicated(docs)
+    """Passages of 50 words or more, all of whose strings of 200 bytes stand in the corpus twice, are taken out."""
+    return suffix_dedup.deduplicated(docs, REPEATS, REPEATED_WORDS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
