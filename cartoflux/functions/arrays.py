@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -23,7 +24,7 @@ def list_column(rows: np.ndarray) -> pa.Array:
 def summed(df: DataFrame, column: str, width: int, shapes: dict[str, tuple[int, ...]], part: Callable) -> dict[str, np.ndarray]:
     """Sums over all rows of what ``part`` (rows -> {name: array}) makes of each batch of a list column.
 
-    Tasks add up their batches, so what is shuffled and collected is a few small arrays for each task.
+    Tasks add up their batches; their sums are added cell by cell, so no task holds those of all others.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,10 +35,8 @@ def summed(df: DataFrame, column: str, width: int, shapes: dict[str, tuple[int,
                     total[k] += v
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.ravel() for v in total.values()], pa.list_(pa.float64()))], names=["name", "cells"])
 
-    def add(table: pa.Table) -> pa.Table:
-        cells = [np.asarray(c.as_py()) for c in table.column("cells")]
-        return pa.table([table.column("name").slice(0, 1), pa.array([sum(cells)], pa.list_(pa.float64()))], names=["name", "cells"])
-
-    schema = "name string, cells array<double>"
-    rows = df.select(column).mapInArrow(partial, schema).groupBy("name").applyInArrow(add, schema).collect()
-    return {k: np.zeros(s) for k, s in shapes.items()} | {r["name"]: np.array(r["cells"]).reshape(shapes[r["name"]]) for r in rows}
+    cells = df.select(column).mapInArrow(partial, "name string, cells array<double>").select("name", F.posexplode("cells").alias("at", "cell"))
+    out = {k: np.zeros(s) for k, s in shapes.items()}
+    for r in cells.groupBy("name", "at").agg(F.sum("cell").alias("cell")).collect():  # as many as the shapes have cells
+        out[r["name"]].flat[r["at"]] = r["cell"]
+    return out

@@ -2,43 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartoflux.functions.text import title_case
 
-#: Common words of English and Spanish, which no keyword holds.
-STOP_WORDS = (
-    "a about above after again all also an and any are as at be because been before being between both but by can could did do does "
-    "during each few for from further had has have he her here his how i if in into is it its just more most no nor not of off on once only "
-    "or other our out over own same she should so some such than that the their them then there these they this those through to too under "
-    "until up very was we were what when where which while who whom why will with would you your "
-    "al algo como con contra cual cuando de del desde donde durante e el ella ellos en entre era es esa ese eso esta este esto ha hasta hay la las "
-    "le les lo los mas me mi muy nada ni nos o otra otro para pero poco por porque que quien se ser si sin sobre su sus te tiene todo tu un una uno y ya"
-).split()
+#: Words of no use in keywords, Spanish ones and those of any paper.
+DOMAIN_WORDS = (
+    "el la los las un una unos unas y o en de del al a ante bajo cabe con contra desde durante entre hacia hasta mediante para por según sin so sobre tras que "
+    "es se su sus como más pero este esta estos estas son fue lo ya muy también nos sí qué cuando donde quien porque estudio análisis efecto uso study analysis "
+    "effect use based artículo investigación research paper results resultados diseño desarrollo"
+).split()
+
+
+def stop_words() -> list[str]:
+    """The English list that Spark itself brings, and ``DOMAIN_WORDS``."""
+    return [*StopWordsRemover.loadDefaultStopWords("english"), *DOMAIN_WORDS]
 
 
-def words(title: Column) -> Column:
+def words(title: Column, stop: Sequence[str]) -> Column:
     """Lower-case words of two characters or more, without stop words."""
     found = F.split(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}_]+")
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
-    return F.filter(found, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: (F.length(w) >= 2) & ~w.isin(*sorted(set(stop))))
 
 
 def grams(kept: Column) -> Column:
     """Single words and pairs of neighbours, after stop words have gone."""
-    pairs = F.when(F.size(kept) > 1, F.transform(F.sequence(F.lit(1), F.size(kept) - 1), lambda i: F.concat_ws(" ", F.element_at(kept, i), F.element_at(kept, i + 1))))
-    return F.concat(kept, F.coalesce(pairs, F.array().cast("array<string>")))
+    n = F.greatest(F.size(kept) - 1, F.lit(0))
+    return F.concat(kept, F.zip_with(F.slice(kept, F.lit(1), n), F.slice(kept, F.lit(2), n), lambda x, y: F.concat_ws(" ", x, y)))
 
 
-def term_scores(titles: DataFrame, by: str | None = None, most: int = 1000) -> DataFrame:
-    """([by,] term, score): summed TF-IDF of titles (id, title), each title's weights scaled to length 1.
+def term_scores(titles: DataFrame, by: str | None = None, most: int = 1000, stop: Sequence[str] | None = None) -> DataFrame:
+    """([by,] term, score): summed TF-IDF of titles (id, title), each title's weights scaled to length 1. Words of
+    ``stop`` (``stop_words`` unless given) are left out.
 
     idf = ln((1 + n) / (1 + df)) + 1; the vocabulary is the ``most`` terms of highest count, ties by term.
     """
     keys = [by] if by else []
-    terms = titles.select(*keys, "id", F.explode(grams(words(F.col("title")))).alias("term")).groupBy(*keys, "id", "term").agg(F.count("*").alias("tf"))
+    kept = titles.select(*keys, "id", words(F.col("title"), stop_words() if stop is None else stop).alias("kept"))
+    terms = kept.select(*keys, "id", F.explode(grams(F.col("kept"))).alias("term")).groupBy(*keys, "id", "term").agg(F.count("*").alias("tf"))
     sizes = titles.groupBy(*keys).agg(F.count("*").alias("n"))
     df = terms.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     ranked = df.withColumn("rn", F.row_number().over(W.partitionBy(*keys or [F.lit(1)]).orderBy(F.desc("total"), "term"))).filter(F.col("rn") <= most)
@@ -48,14 +54,14 @@ def term_scores(titles: DataFrame, by: str | None = None, most: int = 1000) -> D
     return weighted.join(lengths, [*keys, "id"]).groupBy(*keys, "term").agg(F.sum(F.col("w") / F.col("norm")).alias("score"))
 
 
-def top_keywords(titles: DataFrame, k: int = 5, by: str | None = None, strict: bool = True, looked_at: int = 200) -> DataFrame:
+def top_keywords(titles: DataFrame, k: int = 5, by: str | None = None, strict: bool = True, looked_at: int = 200, stop: Sequence[str] | None = None) -> DataFrame:
     """([by,] keywords): the k best terms of four characters or more, title-cased, by falling score, ties by term.
 
     ``strict`` skips a term that contains, or is within, one taken already; otherwise this check compares it
     with the title-cased ones, as the original does, and hardly ever fires.
     """
     keys = [by] if by else []
-    scored = term_scores(titles, by).filter(F.length("term") > 3)
+    scored = term_scores(titles, by, stop=stop).filter(F.length("term") > 3)
     w = W.partitionBy(*keys or [F.lit(1)]).orderBy(F.desc(F.round("score", 9)), "term")
     best = scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= looked_at)
     listed = best.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda s: s["term"]).alias("terms"))

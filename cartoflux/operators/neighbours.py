@@ -16,60 +16,64 @@ from cartoflux.operators.som import principal_axes
 
 #: Points of a block; each task compares two blocks.
 BLOCK = 2048
+#: Differences of components that are held at a time.
+HELD = 1 << 20
 
 
-def block_pairs(points: DataFrame, *columns: str):
-    """Points (id, features, further columns) in blocks, every block cogrouped with every other and itself."""
+def block_pairs(points: DataFrame, *columns: str, once: bool = False):
+    """Points (id, features, further columns) in blocks, every block cogrouped with every other and itself; each
+    two blocks in both orders, or ``once``."""
     blocks = max(1, -(-points.count() // BLOCK))
     placed = points.select("id", "features", *columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.select("id", "features", *columns, F.col("block").alias("p"), every.alias("q"))
-    right = placed.select("id", "features", *columns, F.col("block").alias("q"), every.alias("p"))
+    later = F.explode(F.sequence(F.col("block") if once else F.lit(0), F.lit(blocks - 1)))
+    earlier = F.explode(F.sequence(F.lit(0), F.col("block") if once else F.lit(blocks - 1)))
+    left = placed.select("id", "features", *columns, F.col("block").alias("p"), later.alias("q"))
+    right = placed.select("id", "features", *columns, F.col("block").alias("q"), earlier.alias("p"))
     return left.groupBy("p", "q").cogroup(right.groupBy("p", "q"))
 
 
 def apart(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, distances to all of y) for 256 rows of x at a time."""
+    """(first row, distances to all of y) for some rows of x at a time."""
     if metric == "cosine":
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-    for at in range(0, len(x), 256):
-        rows = x[at : at + 256]
-        yield at, 1 - rows @ y.T if metric == "cosine" else np.sqrt(np.maximum(((rows[:, None] - y[None]) ** 2).sum(axis=2), 0)) if x.shape[1] <= 64 else _far(rows, y)
+    step = max(1, HELD // max(1, y.size)) if metric != "cosine" else 256
+    for at in range(0, len(x), step):
+        rows = x[at : at + step]
+        yield at, 1 - rows @ y.T if metric == "cosine" else np.sqrt(((rows[:, None] - y[None]) ** 2).sum(axis=2))
 
 
 def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """(id, rank, neighbour, distance): each point's k nearest others, ties to the smaller id.
 
-    Exact, so every block of points meets every other, in tasks of two blocks; each gives its k nearest only.
+    Exact, so every two blocks of points meet, once, in a task; each point's k nearest of the other block go on.
     """
 
+    def nearest(d: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of a block by another that is in order of id: (id, neighbour, distance)."""
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(d, near, 1)
+        rows, at = np.nonzero(np.isfinite(found))
+        return ids[rows], others[near[rows, at]], found[rows, at]
+
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out = []
         if len(a) and len(b):
+            a, b = a.sort_by("id"), b.sort_by("id")
             width = len(a.column("features")[0])
-            x, y = matrix(a.column("features"), width), matrix(b.column("features"), width)
             ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
-            order = np.argsort(ib, kind="stable")
-            y, ib = y[order], ib[order]
-            for at, d in apart(x, y, metric):
-                d[ia[at : at + 256, None] == ib[None]] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                for i, js in enumerate(near):
-                    js = js[np.isfinite(d[i, js])]
-                    out[0] += [ia[at + i]] * len(js)
-                    out[1] += ib[js].tolist()
-                    out[2] += d[i, js].tolist()
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["id", "neighbour", "distance"])
-
-    near = block_pairs(points).applyInArrow(pair, "id long, neighbour long, distance double")
+            d = np.concatenate([rows for _, rows in apart(matrix(a.column("features"), width), matrix(b.column("features"), width), metric)])
+            d[ia[:, None] == ib[None]] = np.inf
+            out.append(nearest(d, ia, ib))
+            if a.column("p")[0] != a.column("q")[0]:
+                out.append(nearest(d.T, ib, ia))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[]] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "neighbour", "distance"])
+
+    near = block_pairs(points, once=True).applyInArrow(pair, "id long, neighbour long, distance double")
     w = W.partitionBy("id").orderBy("distance", "neighbour")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
 
 
-def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.stack([np.sqrt(((b - r) ** 2).sum(axis=1)) for r in a])
-
-
 def pointwise_mle(near: DataFrame, k: int) -> DataFrame:
     """(id, d): Levina and Bickel's estimate at each point, from its k neighbours' distances."""
     w = W.partitionBy("id")
@@ -131,7 +135,7 @@ def correlation_dimension(points: DataFrame, near: DataFrame, k1: int, k2: int)
             width = len(a.column("features")[0])
             ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
             for at, d in apart(matrix(a.column("features"), width), matrix(b.column("features"), width)):
-                d[ia[at : at + 256, None] == ib[None]] = np.inf
+                d[ia[at : at + len(d), None] == ib[None]] = np.inf
                 counts = [c + int((d < r).sum()) for c, r in zip(counts, radii, strict=True)]
         return pa.table([pa.array([c], pa.int64()) for c in counts], names=["c1", "c2"])
 

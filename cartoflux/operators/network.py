@@ -71,12 +71,18 @@ def citation(refs: DataFrame) -> DataFrame:
     return refs.groupBy(F.col("doc_id").cast("string").alias("source"), F.col("term").alias("target")).agg(F.lit(1).cast("long").alias("weight"))
 
 
+#: Citing papers of one reference that meet the others in one task.
+SALTED = 1000
+
+
 def coupling(refs: DataFrame, least: int = 1) -> DataFrame:
-    """Pairs of papers with the number of references they share. Adaptive execution splits the join's
-    partitions of references that very many papers cite."""
-    a = refs.select("term", F.col("doc_id").alias("source"))
-    b = refs.select("term", F.col("doc_id").alias("target"))
-    return a.join(b, "term").filter("source < target").groupBy("source", "target").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    """Pairs of papers with the number of references they share. The papers that cite a reference are dealt to
+    salts by their number, and each part meets all of them, so a much cited one is spread over many tasks."""
+    counted = refs.groupBy("term").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+    rows = refs.join(counted, "term")
+    a = rows.select("term", F.col("doc_id").alias("source"), F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
+    b = rows.select("term", F.col("doc_id").alias("target"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return a.join(b, ["term", "salt"]).filter("source < target").groupBy("source", "target").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
 
 
 def bipartite(dt1: DataFrame, dt2: DataFrame, tag1: str, tag2: str, *by: str) -> tuple[DataFrame, DataFrame]:

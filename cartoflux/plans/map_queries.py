@@ -365,9 +365,8 @@ def dimension_mada(spark, sf):
     return neighbours.mada(_near(spark, sf, 10), 10).withColumn("d", F.round("d", 5))
 
 
-@query(f"""WITH {KNN}, n AS (SELECT * FROM near WHERE rank <= 10), r AS (SELECT quantile_cont(CASE WHEN rank = 5 THEN distance END, 0.5) AS r1,
-    quantile_cont(CASE WHEN rank = 10 THEN distance END, 0.5) AS r2 FROM n)
-  SELECT round(ln(sum(CASE WHEN distance < r2 THEN 1 ELSE 0 END) / sum(CASE WHEN distance < r1 THEN 1 ELSE 0 END)) / ln(max(r2) / max(r1)), 5) AS dimension FROM n, r""")
+@query(f"""WITH {KNN}, r AS (SELECT quantile_cont(CASE WHEN rank = 5 THEN distance END, 0.5) AS r1, quantile_cont(CASE WHEN rank = 10 THEN distance END, 0.5) AS r2 FROM near)
+  SELECT round(ln(sum(CASE WHEN distance < r2 THEN 1 ELSE 0 END) / sum(CASE WHEN distance < r1 THEN 1 ELSE 0 END)) / ln(max(r2) / max(r1)), 5) AS dimension FROM near, r""")
 def dimension_correlation(spark, sf):
     return neighbours.correlation_dimension(_points(spark, sf), _near(spark, sf, 10), 5, 10).select(F.round("dimension", 5).alias("dimension"))
 

@@ -127,14 +127,14 @@ def record_filter(spark, sf):
 
 # parsers: records rendered as export text, parsed, against the records themselves
 
-SHORT = "regexp_replace(substr(text, 1, 60), '[^a-zA-Z ]', '', 'g')"
+SENTENCE = f"trim(regexp_replace(coalesce({TITLE}, ''), '[^a-zA-Z ]', '', 'g'))"
 
 
 def _titles(spark, sf):
-    return t.read(spark, sf, "documents").select("doc_id", "lang", "source", F.trim(F.regexp_replace(F.regexp_extract("text", r"^[^.]*", 0), "[^a-zA-Z ]", "")).alias("title"))
+    return t.read(spark, sf, "documents").select("doc_id", "lang", "source", F.trim(F.regexp_replace(F.coalesce(F.regexp_extract("text", r"^[^.]*", 0), F.lit("")), "[^a-zA-Z ]", "")).alias("title"))
 
 
-@query(f"""SELECT doc_id::VARCHAR AS doi, trim({SHORT}) AS title, (1990 + doc_id % 30)::VARCHAR AS year, source AS journal, 'JOUR' AS doc_type,
+@query(f"""SELECT doc_id::VARCHAR AS doi, {SENTENCE} AS title, (1990 + doc_id % 30)::VARCHAR AS year, source AS journal, 'JOUR' AS doc_type,
   lang || '|' || source AS keywords, 'A ' || source || '|B ' || lang AS authors FROM documents""")
 def ris_roundtrip(spark, sf):
     d = _titles(spark, sf)
@@ -150,7 +150,7 @@ def ris_roundtrip(spark, sf):
     return found.select("doi", "title", "year", "journal", "doc_type", F.array_join("keywords", "|").alias("keywords"), F.array_join("authors", "|").alias("authors"))
 
 
-@query(f"""SELECT doc_id::VARCHAR AS ut, trim({SHORT}) || ' continued' AS title, (1990 + doc_id % 30)::INT AS year, 'a ' || source || '|b ' || lang AS authors,
+@query(f"""SELECT doc_id::VARCHAR AS ut, {SENTENCE} || ' continued' AS title, (1990 + doc_id % 30)::INT AS year, 'a ' || source || '|b ' || lang AS authors,
   lang || '|' || source AS keywords FROM documents""")
 def tagged_roundtrip(spark, sf):
     d = _titles(spark, sf)
@@ -194,10 +194,12 @@ def profile_rows(spark, sf):
 
 # keywords, streams and topics
 
-STOPS = ", ".join(f"'{w}'" for w in sorted(set(keywords.STOP_WORDS)))
+#: What the query leaves out: common English words, which its SQL has to name, and the library's own.
+STOP = "a about after all an and any are as at be been but by can for from had has have he her his if in into is it its no not of on or she so that the their them then there they this to was we were what when which who will with you".split() + keywords.DOMAIN_WORDS
+STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP)))
 
 
-@query(rf"""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(substr(text, 1, 300)), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2 AND NOT list_contains([{STOPS}], x)) AS k FROM documents),
+@query(rf"""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2 AND NOT list_contains([{STOPS}], x)) AS k FROM documents),
   g AS (SELECT id, unnest(list_concat(k, list_transform(range(1, greatest(len(k), 1)), lambda i: k[i] || ' ' || k[i + 1]))) AS term FROM w),
   tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
   df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 1000),
@@ -206,7 +208,7 @@ STOPS = ", ".join(f"'{w}'" for w in sorted(set(keywords.STOP_WORDS)))
   SELECT term, round(sum(w / norm), 5) AS score FROM x JOIN l USING (id) GROUP BY 1""")
 def tfidf_keywords(spark, sf):
     titles = t.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
-    return keywords.term_scores(titles).withColumn("score", F.round("score", 5))
+    return keywords.term_scores(titles, stop=STOP).withColumn("score", F.round("score", 5))
 
 
 @query()
