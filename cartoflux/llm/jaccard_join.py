@@ -1,5 +1,6 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures; bit counts bound the overlap from
-above before sorted arrays are intersected.
+above before sorted arrays are intersected. A signature's bits grow with its set, and two of different widths
+are compared at the smaller one.
 
 Documents of one shingle set are one class. Sets of a size band are cut into so many segments of the hash
 range that two sets of the wanted similarity must agree in one of them that is not empty: their symmetric
@@ -8,7 +9,7 @@ there are to spare is entered under those too.) Sets that agree in a segment of
 
 In a tile every set is first compared with the tile's smallest; what links is one component. Only tiles that
 still hold several components have their pairs across components compared as well, signature by signature
-in blocks within tasks; a pair leaves its task only if the bound allows a link, once for all tiles it shares.
+in blocks within tasks; a pair leaves its task only if the bound allows a link, and is then checked once.
 So a tile of copies costs one comparison for each member, and no link between different sets is lost.
 
 Tiles are found in one shuffle: each task sorts its own keys, keeps one set for each of them and passes on
@@ -36,7 +37,8 @@ from cartoflux.llm.components import components
 
 #: What op4 is asked for; the pipeline's stage takes five words and 80 instead.
 WORDS, PERCENT = 4, 85
-SIGNATURE_BITS = 2048
+#: A signature has a power of two of bits: at least so many for each shingle, and at least so many in all.
+BITS_EACH, LEAST_BITS = 4, 512
 #: Sets of a tile that are compared with each other in one task.
 TILE_BLOCK = 1024
 #: Rows of pairs of blocks that one call compares, on average.
@@ -66,11 +68,21 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE_BITS, np.uint8)
-    bits[(shingles % np.uint64(SIGNATURE_BITS)).astype(np.int64)] = 1
+    width = max(LEAST_BITS, 1 << (BITS_EACH * len(shingles) - 1).bit_length()) if len(shingles) else LEAST_BITS
+    bits = np.zeros(width, np.uint8)
+    bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def folded(marks: list[bytes], width: int) -> np.ndarray:
+    """Signatures as rows of words of one width in bytes; a wider one's parts are laid on one another."""
+    out = np.empty((len(marks), width // 8), "<u8")
+    for i, mark in enumerate(marks):
+        words = np.frombuffer(mark, "<u8")
+        out[i] = words if len(mark) == width else np.bitwise_or.reduce(words.reshape(-1, width // 8), axis=0)
+    return out
+
+
 class Bands:
     """Which segments sets of a size are cut into. A pair belongs to the band of its smaller set."""
 
@@ -240,24 +252,19 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 
 def _tile_pairs(percent: int):
     """Pairs of two blocks of a tile that are of different components and may link by the bound, for all the
-    pairs of blocks of a bucket. A pair that meets in several tiles is given by the first that its sets share."""
+    pairs of blocks of a bucket."""
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("tile", "ascending"), ("i", "ascending"), ("j", "ascending")])
         ids, part, sizes = (table.column(c).to_numpy() for c in ("m", "c_m", "n"))
         tile, own, first, second = (table.column(c).to_numpy() for c in ("tile", "own", "i", "j"))
-        marks = np.frombuffer(b"".join(table.column("mark").to_pylist()), "<u8").reshape(len(ids), -1)
-        listed = table.column("tiles")
-        tiles: dict[int, set[int]] = {}  # of the sets that are asked for
-
-        def of(k: int) -> set[int]:
-            return tiles[ids[k]] if ids[k] in tiles else tiles.setdefault(ids[k], set(listed[k].as_py()))
-
+        listed = table.column("mark").to_pylist()
         new = (np.diff(tile) != 0) | (np.diff(first) != 0) | (np.diff(second) != 0)
         cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]
-        out: list[tuple[int, int]] = []
+        out: set[tuple[int, int]] = set()
         for low, high in zip(cuts, cuts[1:], strict=False):
             i, j = first[low], second[low]
+            marks = folded(listed[low:high], min(map(len, listed[low:high]))) if high > low else None
             left, right = low + np.flatnonzero(own[low:high] == i), low + np.flatnonzero(own[low:high] == j)
             for at in range(0, len(left), 64):
                 rows = left[at : at + 64]
@@ -268,10 +275,9 @@ def _tile_pairs(percent: int):
                 a, b = np.nonzero(near)
                 for part_at in range(0, len(a), 16_384):
                     x, y = rows[a[part_at : part_at + 16_384]], right[b[part_at : part_at + 16_384]]
-                    most = overlap_bound(marks[x], marks[y], sizes[x], sizes[y])
+                    most = overlap_bound(marks[x - low], marks[y - low], sizes[x], sizes[y])
                     for k in np.flatnonzero(100 * most >= percent * (sizes[x] + sizes[y] - most)).tolist():
-                        if min(of(int(x[k])) & of(int(y[k]))) == tile[low]:
-                            out.append((max(ids[x[k]], ids[y[k]]), min(ids[x[k]], ids[y[k]])))
+                        out.add((max(ids[x[k]], ids[y[k]]), min(ids[x[k]], ids[y[k]])))
         columns = zip(*out, strict=True) if out else [[], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
@@ -283,9 +289,12 @@ def _bounded(percent: int):
         for batch in batches:
             if not len(batch):
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in (2, 4))
+            a, b = batch.column(2).to_pylist(), batch.column(4).to_pylist()
             na, nb = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            most = overlap_bound(a, b, na, nb)
+            width, most = np.minimum([len(x) for x in a], [len(x) for x in b]), np.empty(len(batch), np.int64)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                most[at] = overlap_bound(folded([a[i] for i in at.tolist()], w), folded([b[i] for i in at.tolist()], w), na[at], nb[at])
             yield batch.select([0, 1]).filter(pa.array(100 * most >= percent * (na + nb - most)))
 
     return bounded
@@ -358,21 +367,21 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     sizes = members.groupBy("tile").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("m")).alias("same"))
     chosen = stage.table(sizes.groupBy("size", "same").agg(F.min("tile").alias("tile")).select("tile", "size"), "tiles")
     members = stage.table(members.join(chosen, "tile"), "chosen")
-    lists = members.groupBy("m").agg(F.collect_list("tile").alias("tiles"))
-    known = placed(held.select(F.col("id").alias("m"), "n", "mark").dropDuplicates(["m"]).join(lists, "m"), "m")
+    known = placed(held.select(F.col("id").alias("m"), "n", "mark").join(members.select("m").distinct(), "m").dropDuplicates(["m"]), "m")
     # a large tile is compared block by block; each pair of blocks goes to one bucket, beside others
     rows = members.withColumn("blocks", F.ceil(F.col("size") / TILE_BLOCK).cast("int"))
     total = rows.agg(F.sum("blocks")).first()[0] or 0
     own = F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("own", own).withColumn("other", other).join(known, "m")
-    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "m", "own", "c_m", "n", "mark", "tiles")
+    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "m", "own", "c_m", "n", "mark")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("tile", "i", "j"), F.lit(max(1024, total // BUCKET_ROWS))))
     across = rows.groupBy("bucket").applyInArrow(_tile_pairs(percent), "a long, b long")
-    across = stage.table(across, "across")
+    across = stage.table(across.distinct(), "across")
     more = stage.table(_links(across, held, n, percent), "more")
     edges = part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     whole = stage.table(components(edges, stage, "d"), "whole")
+    stage.drop("stars", "texts", "near", "links", "part", "members", "tiles", "chosen", "across", "more")
 
     least = sets.join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = least.groupBy("component").agg(F.min("doc").alias("component_id"))

@@ -524,7 +524,9 @@ def repeated_spans(docs: DataFrame, shape: Shape = Shape(), stage: Staging | Non
     whole = marks.filter(F.col("kind") == REPEATED).select("tid", F.col("low").alias("a"), (F.col("high") + shape.length).alias("b"))
     spans = whole.unionByName(found.filter("h IS NULL").select("tid", "a", "b")).unionByName(across)
     spans = spans.groupBy("tid", "a").agg(F.max("b").alias("b")).groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return stage.table(spans, "spans")
+    spans = stage.table(spans, "spans")
+    stage.drop("marks", "suffixes", "sampled", "found")
+    return spans
 
 
 def merged(spans: list) -> list[tuple[int, int]]:

@@ -306,6 +306,7 @@ def estimate(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> V
             uses[r["piece"]] = r["uses"]
         uses[normal] = np.round(uses[normal], 3) + PRIOR  # sums in any order are the same scores
         scores[normal] = np.round(np.log(uses[normal] / uses[normal].sum()), 6)
+    stage.drop("chunks")
     return dataclasses.replace(vocabulary, scores=scores.tolist())
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cartoflux.llm.jaccard_join import Bands, jaccard_components, overlap_bound, segment_keys, shingle_set, signature
+from cartoflux.llm.jaccard_join import Bands, folded, jaccard_components, overlap_bound, segment_keys, shingle_set, signature
 
 
 def brute(texts, n=4, percent=85):
@@ -67,7 +67,8 @@ def test_similar_sets_share_a_segment():
         a, b = (np.unique(np.concatenate([both, m])) for m in (more[:cut], more[cut:]))
         if 100 * size >= 85 * union:
             assert set(segment_keys(a, bands).tolist()) & set(segment_keys(b, bands).tolist())
-        most = overlap_bound(*(np.frombuffer(signature(s), np.uint8)[None] for s in (a, b)), np.array([len(a)]), np.array([len(b)]))
+        marks = [signature(s) for s in (a, b)]
+        most = overlap_bound(*folded(marks, min(map(len, marks)))[:, None], np.array([len(a)]), np.array([len(b)]))
         assert most[0] >= size
 
 
