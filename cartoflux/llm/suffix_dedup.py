@@ -42,9 +42,9 @@ from pyspark.sql import types as T
 from cartoflux.llm.common import Staging, documents
 
 #: Bytes of text hashed at a time, and anchors sorted at a time.
-PIECE, BLOCK = 1 << 20, 400_000
+PIECE, BLOCK = 1 << 18, 150_000
 #: Leads and suffixes that a bucket holds on average, and keys that are sampled for each bucket.
-BUCKET_LEADS, BUCKET_SUFFIXES, SAMPLED = 1 << 18, 1 << 15, 16
+BUCKET_LEADS, BUCKET_SUFFIXES, SAMPLED = 1 << 17, 1 << 14, 16
 #: Sampled suffixes are sent by so many bytes, and whole only where these are frequent.
 SHORT = 64
 _PLACE = np.uint64((1 << 28) - 1)
@@ -265,7 +265,7 @@ def _scanner(shape: Shape, shared):
                 text = text.as_py() or b""
                 if len(text) >= shape.length:
                     anchors.add(t, text)
-                if anchors.found >= BLOCK or anchors.size >= 1 << 26:
+                if anchors.found >= BLOCK or anchors.size >= 1 << 24:
                     if rows := flush():
                         yield batch_of(rows)
         if rows := flush():
