@@ -13,8 +13,8 @@ anchor (the leftmost of equals), so equal strings of ``length`` bytes have an an
    passage that a third of the documents share. Each bucket sorts by multikey quicksort, and common
    lengths of neighbours, to the right and to the left, tell which strings are there twice.
 3. Boundaries. What equals a string in another bucket also has its bytes after the anchor in common with the
-   splitter between them. Each bucket passes such strings on, once each, by 128-bit hashes; those that come
-   from two buckets repeat.
+   splitter between them. Each bucket passes such strings on, once each, by 128-bit hashes in blocks; those
+   that come from two buckets repeat.
 
 Samples are a few keys for each bucket, and buckets are as many as the rows ask for, so neither a bucket nor
 a splitter table depends on how often a passage repeats. Texts are told apart by 128-bit hashes.
@@ -461,13 +461,35 @@ def _suffix_sorter(shape: Shape, shared):
                 h = xxhash.xxh3_128_digest(whole[n - offset : n - offset + shape.length])
                 if h not in passed or found[offset, i]:
                     passed[h] = (tids[i], at - offset, None) if found[offset, i] else (tids[i], at - offset, at - offset + shape.length)
-        rows += [(t, x, y, h) for h, (t, x, y) in passed.items()]
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, types, strict=True)], names=["tid", "a", "b", "h"])
+        blocks: dict[int, list[bytes]] = {}
+        for h, (t, x, y) in passed.items():
+            blocks.setdefault(int.from_bytes(h[:6]) % (len(splitters) + 1), []).append(h + t + x.to_bytes(8, "little") + bytes([y is not None]))
+        rows = [(*r, None) for r in rows] + [(None, None, None, part, b"".join(block)) for part, block in blocks.items()]
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["tid", "a", "b", "part", "block"])
 
     return sort
 
 
+#: A string that a bucket passes on: its hash, its text and place, and whether it is found once there.
+_PASSED = np.dtype([("h", "<u8", 2), ("tid", "u1", 16), ("a", "<i8"), ("lone", "?")])
+
+
+def _across(shape: Shape):
+    """Of strings passed on, by parts of the hashes' range, those that come from two buckets and are found once
+    in their own."""
+
+    def resolve(table: pa.Table) -> pa.Table:
+        held = np.frombuffer(b"".join(table.column("block").to_pylist()), _PASSED)
+        order, new = _equal_runs(held["h"])
+        held = held[order]
+        kind = np.cumsum(new) - 1
+        held = held[(np.bincount(kind) > 1)[kind] & held["lone"]]
+        return pa.table([_binary(held["tid"]), pa.array(held["a"]), pa.array(held["a"] + shape.length)], names=["tid", "a", "b"])
+
+    return resolve
+
+
 def _every(keys: list[bytes], buckets: int) -> list[bytes]:
     """Splitters at equal distances of sampled keys."""
     keys.sort()
@@ -515,14 +537,11 @@ def repeated_spans(docs: DataFrame, shape: Shape = Shape(), stage: Staging | Non
         keys += [bytes(r["key"]) for r in whole.select("key").collect()]
     splitters = share(_every(keys, buckets))
     dealt = suffixes.mapInArrow(_dealt(shape, splitters), "bucket long, " + columns)
-    found = dealt.groupBy("bucket").applyInArrow(_suffix_sorter(shape, splitters), "tid binary, a long, b long, h binary")
+    found = dealt.groupBy("bucket").applyInArrow(_suffix_sorter(shape, splitters), "tid binary, a long, b long, part long, block binary")
     found = stage.table(found, "found")
-
-    # strings that several buckets pass on
-    lone = F.collect_list(F.when(F.col("b").isNotNull(), F.struct("tid", "a", "b"))).alias("lone")
-    across = found.filter("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("n"), lone).filter("n > 1").select(F.inline("lone"))
+    across = found.filter("part IS NOT NULL").select("part", "block").groupBy("part").applyInArrow(_across(shape), "tid binary, a long, b long")
     whole = marks.filter(F.col("kind") == REPEATED).select("tid", F.col("low").alias("a"), (F.col("high") + shape.length).alias("b"))
-    spans = whole.unionByName(found.filter("h IS NULL").select("tid", "a", "b")).unionByName(across)
+    spans = whole.unionByName(found.filter("part IS NULL").select("tid", "a", "b")).unionByName(across)
     spans = spans.groupBy("tid", "a").agg(F.max("b").alias("b")).groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = stage.table(spans, "spans")
     stage.drop("marks", "suffixes", "sampled", "found")
