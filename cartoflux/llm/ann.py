@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from cartoflux.llm.common import Staging
 
-TREES, RECALL, LEAF_ROWS, SAMPLE, BLOCK_ROWS = 12, 0.96, 96, 50_000, 16_384
+TREES, RECALL, LEAF_ROWS, SAMPLE, BLOCK_ROWS = 12, 0.96, 96, 50_000, 65_536
 #: Queries that are compared with all vectors to measure what the others need.
 CALIBRATION = 96
 #: Queries that meet a leaf at a time, and a block in one task; a block goes to a task for each so many.
