@@ -229,10 +229,9 @@ def _sum_groups(shared, groups: int):
         total = np.zeros(groups * groups, np.int64)
         for batch in batches:
             for keys, sizes, others, n in _unpacked(batch):
-                side = np.repeat(keys, sizes)
-                after = side % 2 == 0
-                codes, inverse = np.unique(of[side[after] // 2] * groups + of[others[after]], return_inverse=True)
-                total[codes] += np.bincount(inverse, n[after], len(codes)).astype(np.int64)
+                after = np.repeat(keys % 2 == 0, sizes)
+                codes = np.repeat(of[keys // 2] * groups, sizes)[after] + of[others[after]]
+                total += np.bincount(codes, n[after], len(total)).astype(np.int64)
         codes = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(total[codes])], names=["code", "n"])
 
@@ -273,12 +272,15 @@ def _mover(shared, classes: int, turn: int):
         of, between = shared.value
         for batch in batches:
             for keys, sizes, others, n in _unpacked(batch):
+                turns = (keys // 2 + turn) % 2 == 0
+                mine = np.repeat(turns, sizes)
+                keys, sizes, others, n = keys[turns], sizes[turns], others[mine], n[mine]
                 units, row = np.unique(keys // 2, return_inverse=True)
                 cells = (np.repeat(row * 2 + keys % 2, sizes)) * classes + of[others]
                 sums = np.bincount(cells, n, len(units) * 2 * classes).reshape(len(units), 2, classes)
                 now = of[units]
                 new = best_classes(sums[:, 0], sums[:, 1], now, between)
-                moved = (new != now) & (now != classes - 1) & ((units + turn) % 2 == 0)
+                moved = (new != now) & (now != classes - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(units[moved].astype("i8")), pa.array(new[moved].astype("i8"))], names=["unit", "class"])
 
     return move
