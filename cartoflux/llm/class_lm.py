@@ -42,7 +42,7 @@ from cartoflux.llm.common import Staging, documents
 FOLDS, HELD_OUT = 7, 2
 COMMON, SEEDS, ENDINGS, SWEEPS, ROUNDS = 200_000, 500, 256, 6, 4
 LONGEST = 64
-#: Pairs that a task sorts at a time, and units and pairs of a packed block.
+#: Pairs that a task sorts at a time (a quarter of them from both ends), and units and pairs of a packed block.
 HELD, BLOCK_UNITS, BLOCK_PAIRS = 4_000_000, 8_192, 500_000
 #: Rare words whose endings a task remembers.
 REMEMBERED = 300_000
@@ -190,16 +190,44 @@ def _count_pairs(shared):
     return count
 
 
+_SIDES = "bucket int, keys binary, others binary, counts binary"
 _CONTEXTS = "units binary, sizes binary, others binary, counts binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of units (2 * unit, one more for those before it), with their neighbours and counts."""
-    held = list(batches)
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    key, other, n = (table.column(c).to_numpy() for c in ("key", "other", "n"))
+def _split_sides(buckets: int):
+    """Pairs (u, v, n) from both ends, packed by the bucket of the unit: 2 * unit, one more for those before it."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def rows():
+            u, v, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            key, other, n = np.concatenate([2 * u, 2 * v + 1]), np.concatenate([v, u]), np.concatenate([n, n])
+            bucket = key // 2 % buckets
+            order = np.argsort((bucket.astype(np.int64) << 32) + key)
+            key, other, n, bucket = key[order].astype("<i4"), other[order].astype("<i4"), n[order].astype("<i8"), bucket[order]
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            parts = [pa.array([x.tobytes() for x in np.split(c, starts[1:])], pa.binary()) for c in (key, other, n)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype("i4")), *parts], names=["bucket", "keys", "others", "counts"])
+
+        for batch in batches:
+            if len(batch):
+                held.append([c.to_numpy() for c in batch.columns])
+                size += len(batch)
+            if size > HELD // 4:
+                yield rows()
+                size = 0
+        if held:
+            yield rows()
+
+    return split
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """Blocks of a bucket's units, with their neighbours and counts."""
+    kinds = {"keys": "<i4", "others": "<i4", "counts": "<i8"}
+    key, other, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in kinds.items())
     order = np.argsort(key, kind="stable")
     key, other, n = key[order], other[order], n[order]
     starts = np.flatnonzero(np.diff(key, prepend=-1))
@@ -213,7 +241,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.append((key[starts[a:b]].astype("<i4").tobytes(), (ends - starts)[a:b].astype("<i4").tobytes(), other[at].astype("<i4").tobytes(), n[at].astype("<i8").tobytes()))
         a = b
     columns = zip(*rows, strict=True) if rows else [[]] * 4
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["units", "sizes", "others", "counts"])
+    return pa.table([pa.array(c, pa.binary()) for c in columns], names=["units", "sizes", "others", "counts"])
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
@@ -291,11 +319,11 @@ def cluster(train: DataFrame, common: list[bytes], stage: Staging, rounds: int =
     spark = train.sparkSession
     share = spark.sparkContext.broadcast
     pairs = train.mapInArrow(_count_pairs(share(common)), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
-    both = F.explode(F.array(F.struct((F.col("u") * 2).alias("key"), F.col("v").alias("other")), F.struct((F.col("v") * 2 + 1).alias("key"), F.col("u").alias("other"))))
     pairs = stage.table(pairs, "pairs")
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * pairs.count() // HELD)
-    sides = pairs.select(both.alias("side"), "n").select("side.key", "side.other", "n").repartition(partitions, F.expr("key div 2"))
-    contexts = stage.table(sides.mapInArrow(_pack, _CONTEXTS), "contexts")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * pairs.count() // HELD)
+    sides = pairs.mapInArrow(_split_sides(buckets), _SIDES)
+    contexts = stage.table(sides.groupBy("bucket").applyInArrow(_pack, _CONTEXTS), "contexts")
+    stage.drop("pairs")
 
     seeds, units, classes = min(SEEDS, len(common)), len(common) + ENDINGS + 1, classes_for(len(common))
     coarse = np.array([*range(seeds), *(seeds + _ending(w) for w in common[seeds:]), *range(seeds, seeds + ENDINGS + 1)], np.int64)
