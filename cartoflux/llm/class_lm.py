@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import chain
 
@@ -42,10 +43,24 @@ from cartoflux.llm.common import Staging, documents
 FOLDS, HELD_OUT = 7, 2
 COMMON, SEEDS, ENDINGS, SWEEPS, ROUNDS = 200_000, 500, 256, 6, 4
 LONGEST = 64
-#: Pairs that a task sorts at a time (a quarter of them from both ends), and units and pairs of a packed block.
-HELD, BLOCK_UNITS, BLOCK_PAIRS = 4_000_000, 8_192, 500_000
+#: Pairs that a task sorts at a time (half of them from both ends), and units and pairs of a packed block.
+HELD, BLOCK_UNITS, BLOCK_PAIRS = 2_000_000, 4_096, 250_000
 #: Rare words whose endings a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Bytes of the batches that go to the tasks: packed blocks are large rows, so their number says little.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_BYTES or one row in the jobs that run meanwhile."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def classes_for(words: int) -> int:
@@ -215,7 +230,7 @@ def _split_sides(buckets: int):
             if len(batch):
                 held.append([c.to_numpy() for c in batch.columns])
                 size += len(batch)
-            if size > HELD // 4:
+            if size > HELD // 2:
                 yield rows()
                 size = 0
         if held:
@@ -245,8 +260,8 @@ def _pack(table: pa.Table) -> pa.Table:
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        yield tuple(np.frombuffer(v, t) for v, t in zip(row, ("<i4", "<i4", "<i4", "<i8"), strict=True))
+    for i in range(len(batch)):
+        yield tuple(np.frombuffer(c[i].as_buffer(), t) for c, t in zip(batch.columns, ("<i4", "<i4", "<i4", "<i8"), strict=True))
 
 
 def _sum_groups(shared, groups: int):
@@ -463,9 +478,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     stage = Staging(spark, "class_lm")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == HELD_OUT).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    model, vocabulary = fit(texts, stage)
     schema = "doc_id long, held_out boolean, row long, n_tokens long, n_common long, log_common double, chain double, rare array<struct<h: long, n: long>>"
-    scored = stage.table(texts.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), schema), "scored")
+    with small_batches(spark):
+        model, vocabulary = fit(texts, stage)
+        scored = stage.table(texts.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), schema), "scored")
     counts = vocabulary.select("word", "n").mapInArrow(_hash_words, "h long, count long")
     rare = (
         scored.select("row", F.inline("rare"))
