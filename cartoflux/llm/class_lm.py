@@ -43,10 +43,10 @@ from cartoflux.llm.common import Staging, documents
 FOLDS, HELD_OUT = 7, 2
 COMMON, SEEDS, ENDINGS, SWEEPS, ROUNDS = 200_000, 500, 256, 6, 4
 LONGEST = 64
-#: Pairs that a task sorts at a time (half of them from both ends), and units and pairs of a packed block.
-HELD, BLOCK_UNITS, BLOCK_PAIRS = 2_000_000, 4_096, 250_000
-#: Rare words whose endings a task remembers.
-REMEMBERED = 200_000
+#: Pairs that a task sorts at a time (and from both ends; twice as many sides make a bucket), and units and pairs of a packed block.
+HELD, BLOCK_UNITS, BLOCK_PAIRS = 1_000_000, 4_096, 250_000
+#: Words that a task counts at a time, and rare words whose endings it remembers.
+WORDS_HELD, REMEMBERED = 200_000, 100_000
 #: Bytes of the batches that go to the tasks: packed blocks are large rows, so their number says little.
 BATCH_BYTES = 8 << 20
 
@@ -160,13 +160,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0):
             counts.update(_words(text))
-            if len(counts) > 400_000:
+            if len(counts) > WORDS_HELD:
                 yield rows(counts)
                 counts.clear()
     yield rows(counts)
 
 
-def _parts(column, most: int = 1 << 22) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _parts(column, most: int = 1 << 20) -> Iterator[tuple[int, list[list[bytes]]]]:
     """The words of a batch's texts, in parts of some bytes: (first row, texts)."""
     held, size, first = [], 0, 0
     for i, text in enumerate(column):
@@ -230,7 +230,7 @@ def _split_sides(buckets: int):
             if len(batch):
                 held.append([c.to_numpy() for c in batch.columns])
                 size += len(batch)
-            if size > HELD // 2:
+            if size > HELD:
                 yield rows()
                 size = 0
         if held:
@@ -335,7 +335,7 @@ def cluster(train: DataFrame, common: list[bytes], stage: Staging, rounds: int =
     share = spark.sparkContext.broadcast
     pairs = train.mapInArrow(_count_pairs(share(common)), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
     pairs = stage.table(pairs, "pairs")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * pairs.count() // HELD)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // HELD)
     sides = pairs.mapInArrow(_split_sides(buckets), _SIDES)
     contexts = stage.table(sides.groupBy("bucket").applyInArrow(_pack, _CONTEXTS), "contexts")
     stage.drop("pairs")
