@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartoflux.llm import ann, class_lm, divergence, jaccard_join, media, mixing, periodic_runs, quality, suffix_dedup, token_counts, unigram, url_filter
+from cartoflux.llm import ann, class_lm, divergence, exact_topk, jaccard_join, media, mixing, periodic_runs, quality, suffix_dedup, token_counts, unigram, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media_columns": media.op8_media_columns,
     "op9_class_lm": class_lm.op9_class_lm,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_exact_topk": exact_topk.op11_exact_topk,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_divergence": divergence.op13_divergence,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op5_url_filters": url_filter.ORACLE_SQL,
+    "op11_exact_topk": exact_topk.ORACLE_SQL,
     "op13_divergence": divergence.ORACLE_SQL,
 }
