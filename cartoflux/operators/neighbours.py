@@ -164,13 +164,17 @@ ESTIMATORS = ("CorrInt", "DANCo", "ESS", "FisherS", "KNN", "lPCA", "MADA", "MiND
 
 
 def estimate_dimension(points: DataFrame, name: str, k: int = 20) -> float:
-    """One estimate by name; those that are not implemented say so, unknown names are an error."""
+    """One estimate by name, with k neighbours where it looks at any; unknown names are an error."""
+    from cartoflux.operators import dimension
+
     if name not in ESTIMATORS:
         raise ValueError(f"unknown estimator {name}; one of {', '.join(ESTIMATORS)}")
     if name == "lPCA":
         return local_pca(points)
-    if name in ("DANCo", "ESS", "FisherS", "KNN", "TLE"):
-        raise NotImplementedError(f"the estimator {name}")
+    if name == "FisherS":
+        return dimension.fisher_separability(points).first()[0]
+    if name == "KNN":
+        return dimension.graph_dimension(points, k).first()[0]
     near = knn(points, k + 1).persist()
     upto = near.filter(F.col("rank") <= k)
     found = {
@@ -180,6 +184,9 @@ def estimate_dimension(points: DataFrame, name: str, k: int = 20) -> float:
         "TwoNN": lambda: two_nn(near),
         "CorrInt": lambda: correlation_dimension(points, near, max(1, k // 2), k),
         "MiND_ML": lambda: mind_ml(near, k),
+        "TLE": lambda: dimension.tight_locality(points, upto, k).agg(F.avg("d")),
+        "ESS": lambda: dimension.simplex_skewness(points, upto, k).agg(F.avg("d")),
+        "DANCo": lambda: dimension.danco_dimension(points, near, k),
     }[name]().first()[0]
     near.unpersist()
     return found
