@@ -32,8 +32,9 @@ from cartoflux.llm.common import Staging, documents
 LEAST, SMOOTH, TOP, SCALE = 30, 5, 50, 1_000_000_000
 #: Counts that a task holds before it passes them on.
 HELD = 200_000
-#: Bytes of the kept terms in one automaton, which every worker holds; a larger vocabulary takes more scans.
-AUTOMATON_BYTES = 1 << 20
+#: Bytes of the kept terms in one automaton, which every worker holds (about twelve times these bytes); a larger
+#: vocabulary takes more scans.
+AUTOMATON_BYTES = 4 << 20
 #: Postings and sources of one tile of pairs, and terms that are compared at a time.
 POSTINGS, SOURCES, TERMS = 50_000, 256, 2048
 
