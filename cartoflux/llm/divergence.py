@@ -23,6 +23,7 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from cartoflux.llm.common import Staging, documents
 
 LEAST, SMOOTH, TOP, SCALE = 30, 5, 50, 1_000_000_000
 #: Counts that a task holds before it passes them on.
-HELD = 200_000
+HELD = 400_000
 #: Bytes of the kept terms in one automaton, which every worker holds (about twelve times these bytes); a larger
 #: vocabulary takes more scans.
 AUTOMATON_BYTES = 4 << 20
@@ -83,20 +84,23 @@ _AUTOMATA: dict[str, dict[str, ahocorasick.Automaton]] = {}
 
 
 def _occurrences(shared, name: str):
-    """(lang, source, term, n) of (lang, source, text), added up as far as a task can hold them."""
+    """(lang, source, at, n) of (lang, source, text): packed counts by the terms' places in their language's list, added
+    up as far as a task can hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
         if name not in _AUTOMATA:
             _AUTOMATA.clear()
-            _AUTOMATA[name] = {lang: automaton(of) for lang, of in terms.items()}
+            _AUTOMATA[name] = {lang: automaton(of) for lang, of in shared.value.items()}
         automata, found, held = _AUTOMATA[name], defaultdict(Counter), 0
 
         def told() -> pa.RecordBatch:
-            rows = [(lang, source, terms[lang][at], n) for (lang, source), c in found.items() for at, n in c.items()]
+            sizes = np.cumsum([0, *map(len, found.values())]).astype(np.int32)
+            at = np.fromiter((k for c in found.values() for k in c), np.int32, sizes[-1])
+            n = np.fromiter((v for c in found.values() for v in c.values()), np.int64, sizes[-1])
+            groups = list(found)
             found.clear()
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "source", "term", "n"])
+            packed = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(v)) for v in (at, n)]
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.string()), pa.array([g[1] for g in groups], pa.string()), *packed], names=["lang", "source", "at", "n"])
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -113,6 +117,19 @@ def _occurrences(shared, name: str):
     return run
 
 
+def _named(shared):
+    """(lang, source, term, n) of (lang, source, at, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = {lang: pa.array(of, pa.binary()) for lang, of in shared.value.items()}
+        for batch in batches:
+            for lang in set(batch.column(0).to_pylist()):
+                own = batch.filter(pc.equal(batch.column(0), lang))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), terms[lang].take(own.column(2)), own.column(3)], names=["lang", "source", "term", "n"])
+
+    return run
+
+
 def occurrences(docs: DataFrame, kept: DataFrame, stage: Staging) -> DataFrame:
     """(lang, source, term, n), n > 0: how often each kept term stands in a source's texts.
 
@@ -127,9 +144,11 @@ def occurrences(docs: DataFrame, kept: DataFrame, stage: Staging) -> DataFrame:
         for r in kept.filter(F.pmod(F.xxhash64("lang", "term"), F.lit(parts)) == part).collect():  # about AUTOMATON_BYTES
             terms[r["lang"]].append(r["term"].encode())
         shared = spark.sparkContext.broadcast(dict(terms))
-        counted = texts.mapInArrow(_occurrences(shared, f"{stage.root}/{part}"), "lang string, source string, term binary, n long")
-        summed = counted.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"))
-        tables.append(stage.table(summed, f"counts{part}"))
+        counted = texts.mapInArrow(_occurrences(shared, f"{stage.root}/{part}"), "lang string, source string, at array<int>, n array<long>")
+        counted = counted.select("lang", "source", F.explode(F.arrays_zip("at", "n")).alias("of")).select("lang", "source", "of.at", "of.n")
+        summed = counted.groupBy("lang", "source", "at").agg(F.sum("n").alias("n"))
+        named = summed.mapInArrow(_named(shared), "lang string, source string, term binary, n long").withColumn("term", F.col("term").cast("string"))
+        tables.append(stage.table(named, f"counts{part}"))
         shared.destroy()
     return reduce(DataFrame.union, tables) if tables else spark.createDataFrame([], "lang string, source string, term string, n long")
 
