@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartoflux.functions.arrays import matrix
+from cartoflux.operators.selection import percentiles
 
 MOST_POINTS = 10_000
 
@@ -209,8 +210,13 @@ def quality_sweep(points: DataFrame, most: int = 15) -> list[dict]:
 
 
 def medians(clustered: DataFrame) -> DataFrame:
-    """Component-wise medians (x, y) of each cluster."""
-    return clustered.groupBy("cluster").agg(F.percentile("x", F.lit(0.5)).alias("x"), F.percentile("y", F.lit(0.5)).alias("y"), F.count("*").alias("size"))
+    """Component-wise medians (x, y) of each cluster and its size; found without holding a cluster's values."""
+    both = clustered.unpivot(["cluster"], ["x", "y"], "axis", "value")
+    found = percentiles(both, "value", {"median": 0.5}, ["cluster", "axis"])
+    axis = lambda c: F.max(F.when(F.col("axis") == c, F.col("median"))).alias(c)
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("size"))
+    middle = found.groupBy("cluster").agg(axis("x"), axis("y"))
+    return sizes.alias("s").join(middle.alias("m"), F.col("s.cluster").eqNullSafe(F.col("m.cluster")), "left").select("s.cluster", "m.x", "m.y", "s.size")
 
 
 def representatives(clustered: DataFrame, most: int = 10, order: str = "id") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartoflux.functions.arrays import list_column, matrix
+from cartoflux.operators.selection import percentiles
 from cartoflux.operators.som import principal_axes
 
 #: Points of a block; each task compares two blocks.
@@ -85,8 +86,8 @@ def pointwise_mle(near: DataFrame, k: int) -> DataFrame:
 
 def ceiling_dimension(pointwise: DataFrame) -> DataFrame:
     """One row: interpolated percentiles, max and mean of pointwise estimates; p95 is the estimate."""
-    p = lambda q: F.percentile("d", F.lit(q))
-    return pointwise.agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.95).alias("p95"), F.max("d").alias("largest"), F.avg("d").alias("mean"))
+    found = percentiles(pointwise, "d", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
+    return pointwise.agg(F.avg("d").alias("mean")).join(found, F.lit(True), "left").select("p50", "p90", "p95", F.col("hi").alias("largest"), "mean")
 
 
 def two_nn(near: DataFrame, discard: float = 0.1) -> DataFrame:
@@ -125,8 +126,8 @@ def mada(near: DataFrame, k: int) -> DataFrame:
 def correlation_dimension(points: DataFrame, near: DataFrame, k1: int, k2: int) -> DataFrame:
     """One row: slope of ln C between the median distances of two neighbour ranks, C(r) being the share of all
     pairs closer than r; each task of two blocks counts its own pairs."""
-    median = lambda k: F.percentile(F.when(F.col("rank") == k, F.col("distance")), F.lit(0.5))
-    r1, r2 = near.agg(median(k1), median(k2)).first()
+    medians = {r["rank"]: r["median"] for r in percentiles(near.filter(F.col("rank").isin(k1, k2)), "distance", {"median": 0.5}, ["rank"]).collect()}
+    r1, r2 = medians.get(k1), medians.get(k2)
     radii = [r or 0.0 for r in (r1, r2)]
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:

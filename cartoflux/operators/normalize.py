@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cartoflux.operators.selection import at_ranks
+
 COMPONENT = ("div_max", "min_max", "z_score")
 COOCCURRENCE = ("cooc_cosine", "cooc_association", "cooc_jaccard", "cooc_inclusion")
 BIPARTITE = ("bipartite_row", "bipartite_col", "bipartite_sym")
@@ -98,14 +99,9 @@ def normalise(cells: DataFrame, kind: str, origin: str, by: Sequence[str] = ())
 def five_numbers(cells: DataFrame) -> DataFrame:
     """min, the sorted values at floor(n q) for the quartiles, and max of each component; no interpolation.
 
-    Ranks come from a sort within the component's partition; NaN and null don't count."""
-    sound = cells.filter("value IS NOT NULL AND NOT isnan(value)")
-    w = W.partitionBy("component")
-    ranked = sound.withColumn("rn", F.row_number().over(w.orderBy("value"))).withColumn("n", F.count("*").over(w))
-    at = lambda q: F.max(F.when(F.col("rn") == F.floor(F.col("n") * q) + 1, F.col("value")))
-    return ranked.groupBy("component").agg(
-        F.min("value").alias("lo"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("value").alias("hi")
-    )
+    Ranks are found by refined histograms, so a component's values are never sorted; NaN and null don't count."""
+    found = at_ranks(cells, "value", {name: F.floor(F.col("n") * q) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}, ["component"])
+    return found.select("component", "lo", "q1", "median", "q3", "hi")
 
 
 def component_statistics(cells: DataFrame) -> DataFrame:
@@ -122,10 +118,8 @@ def page(components: list[str], number: int, size: int = 9) -> list[str]:
 
 
 def colour_domain(cells: DataFrame) -> DataFrame:
-    """Values at floor(.02 n) and floor(.98 n) of each component, its extremes if those are equal."""
-    w = W.partitionBy("component")
-    ranked = cells.withColumn("rn", F.row_number().over(w.orderBy("value"))).withColumn("n", F.count("*").over(w))
-    at = lambda q: F.max(F.when(F.col("rn") == F.floor(F.col("n") * q) + 1, F.col("value")))
-    found = ranked.groupBy("component").agg(at(0.02).alias("a"), at(0.98).alias("b"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    """Values at floor(.02 n) and floor(.98 n) of each component, its extremes if those are equal; NaN and null don't
+    count."""
+    found = at_ranks(cells, "value", {name: F.floor(F.col("n") * q) for name, q in (("a", 0.02), ("b", 0.98))}, ["component"])
     same = F.col("a") == F.col("b")
     return found.select("component", F.when(same, F.col("lo")).otherwise(F.col("a")).alias("low"), F.when(same, F.col("hi")).otherwise(F.col("b")).alias("high"))

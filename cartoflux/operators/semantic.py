@@ -17,6 +17,7 @@ from cartoflux.functions.text import NOISE, choose_keywords, clean_text, doi_in_
 from cartoflux.operators.clustering import hdbscan, kmeans, medians
 from cartoflux.operators.keywords import top_keywords
 from cartoflux.sources.bibliographic import tag_values
+from cartoflux.sources.scan import ranked
 
 BATCH = 32
 
@@ -32,7 +33,7 @@ def semantic_records(records: DataFrame, use_mesh: bool = True) -> DataFrame:
     Extras are the other tags, authors joined by commas and other lists by bars, with fallbacks for authors,
     year and source."""
     t = F.col("tags")
-    numbered = records.withColumn("row_id", F.row_number().over(W.partitionBy("file").orderBy("rec")) - 1)
+    numbered = ranked(records, "rec", "row_id")
     doi = F.coalesce(F.try_element_at(F.filter(tag_values(t, "DI"), lambda v: v != ""), F.lit(1)), doi_in_tags(t))
     split = lambda name: F.flatten(F.transform(tag_values(t, name), lambda v: F.split(v, ";")))
     keywords = choose_keywords(tag_values(t, "MH"), split("DE"), tag_values(t, "OT"), split("ID"), use_mesh)

@@ -144,7 +144,7 @@ def ris_roundtrip(spark, sf):
         F.concat(F.lit("AU  - A "), "source"), F.concat(F.lit("AU  - B "), "lang"), F.concat(F.lit("KW  - "), "lang"), F.concat(F.lit("KW  - "), "source"), F.concat(F.lit("DO  - "), F.col("doc_id").cast("string")), F.lit("ER  - "), F.lit(""),
     )
     # fifty records to a file
-    numbered = d.select((F.col("doc_id") % 50).cast("string").alias("file"), "doc_id", body.alias("body"))
+    numbered = d.select(F.floor(F.col("doc_id") / 50).cast("string").alias("file"), "doc_id", body.alias("body"))
     files = numbered.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "body"))), lambda s: s.body), "\n").alias("whole"))
     found = bib.parse_ris(bib.split_lines(files, "file", "whole"))
     return found.select("doi", "title", "year", "journal", "doc_type", F.array_join("keywords", "|").alias("keywords"), F.array_join("authors", "|").alias("authors"))
@@ -163,8 +163,9 @@ def tagged_roundtrip(spark, sf):
         "\n", F.concat(F.lit("UT  - "), F.col("doc_id").cast("string")), F.concat(F.lit("TI  - "), "title"), F.lit("      continued"), F.concat(F.lit("AU  - A "), "source"), F.concat(F.lit("AU  - B "), "lang"),
         F.concat(F.lit("DE  - "), "lang"), F.concat(F.lit("DE  - "), "source"), F.concat(F.lit("DP  - "), year, F.lit(" Mar 4")), F.lit(""),
     )
+    # fifty records of a kind to a file
     kind = (F.col("doc_id") % 2).cast("int")
-    numbered = d.select(F.concat_ws("-", kind.cast("string"), (F.col("doc_id") % 40).cast("string")).alias("file"), "doc_id", F.when(kind == 0, two).otherwise(four).alias("body"))
+    numbered = d.select(F.concat_ws("-", kind.cast("string"), F.floor(F.col("doc_id") / 100).cast("string")).alias("file"), "doc_id", F.when(kind == 0, two).otherwise(four).alias("body"))
     files = numbered.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "body"))), lambda s: s.body), "\n").alias("whole"))
     found = bib.parse_tagged(bib.split_lines(files, "file", "whole"))
     tags = F.col("tags")

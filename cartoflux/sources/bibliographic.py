@@ -1,8 +1,8 @@
 """Bibliographic exports as DataFrames: comma-separated exports with a byte-order mark, RIS, and tagged text (two-letter tags with
 three-space continuation, and four-letter tags with six-space continuation).
 
-Files are read as text lines with their file's name; a record's number comes from running counts over the
-lines of its file, so many files are parsed in parallel. A single file is one partition of that window.
+Files are read as text lines by byte ranges (``scan.lines``), so one large file is read and parsed by many tasks; a
+record's number comes from counts within and over the ranges, and a record may span two of them.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartoflux.functions.text import clean_year, normalise_terms, split_terms, strip
+from cartoflux.sources.scan import counted_before, has_mark, lines, placed, with_block
 
 #: Tags of tagged text and the columns of comma-separated exports that hold the same.
 TAG_COLUMNS = {
@@ -35,12 +36,6 @@ def column_for(tag: str) -> str:
     return TAG_COLUMNS.get(tag.strip(), tag)
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line) of text files. Positions count within a file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("whole"))
-    return split_lines(whole, "file", "whole")
-
-
 def split_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(F.col(key).alias("file"), F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("pos", "line"))
 
@@ -60,10 +55,14 @@ def detect(text: Column) -> Column:
     return F.when(is_ris(text), "ris").when(is_scopus(text), "scopus").otherwise("tagged")
 
 
-def detect_file(spark: SparkSession, path: str, head: int = 4096) -> str:
-    """The format of a file, from its first bytes."""
-    row = spark.read.format("binaryFile").load(path).select(F.decode(F.substring("content", 1, head), "UTF-8").alias("t")).select(detect(F.col("t"))).first()
-    return row[0]
+def detect_file(spark: SparkSession, path: str) -> str:
+    """The format of a file, from its first line and its first that is not blank, however far down that is."""
+    read = lines(spark, path)
+    first = read.filter("block = 0").select("line").take(1)
+    filled = read.filter(F.col("line").rlike(r"\S"))
+    start = filled.filter("block = 0").select("line").take(1) or filled.agg(F.min_by("line", F.struct("file", "block", "pos")).alias("line")).collect()
+    head = "\ufeff" * has_mark(spark, path) + "\n".join(r["line"] or "" for r in [*first, *start])  # readers of lines drop the mark
+    return spark.range(1).select(detect(F.lit(head))).first()[0]
 
 
 def read_scopus(spark: SparkSession, path: str) -> DataFrame:
@@ -90,8 +89,7 @@ def parse_ris(text_lines: DataFrame, strict_end: bool = False) -> DataFrame:
     abstract and doi count, the last type; keywords and authors are lists in order."""
     body = strip(F.col("line"))
     ends = body.rlike("^ER {0,2}-") if strict_end else body.startswith("ER")
-    w = W.partitionBy("file").orderBy("pos")
-    marked = text_lines.withColumn("ends", ends).withColumn("rec", F.coalesce(F.sum(F.col("ends").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    marked = placed(counted_before(text_lines.withColumn("ends", ends), F.col("ends"), "rec"))
     tagged = marked.filter(~F.col("ends") & F.col("line").rlike("^[A-Z0-9]{2}  - ")).select("file", "rec", "pos", F.substring("line", 1, 2).alias("tag"), strip(F.expr("substring(line, 7)")).alias("value"))
 
     def first(tags: tuple[str, ...]) -> Column:
@@ -123,17 +121,16 @@ def parse_tagged(text_lines: DataFrame) -> DataFrame:
     before it, except that a continued author or reference is a value of its own.
     """
     line = F.col("line")
-    w = W.partitionBy("file").orderBy("pos")
     medline = r"^([A-Z][A-Z0-9 ]{3})- (.*)$"
     two = r"^([A-Z][A-Z0-9])(?: (.*))?$"
     is_medline, is_two = line.rlike(medline), line.rlike(two)
     tag = F.when(is_medline, F.rtrim(F.regexp_extract(line, medline, 1))).when(is_two, F.regexp_extract(line, two, 1))
     value = F.when(is_medline, F.regexp_extract(line, medline, 2)).when(is_two, F.regexp_extract(line, two, 2)).otherwise(line)
-    seen_medline = F.max(is_medline.cast("int")).over(W.partitionBy("file"))
-    marked = text_lines.select("file", "pos", "line", tag.alias("own"), strip(value).alias("value"), (seen_medline == 1).alias("medline"))
+    text_lines = with_block(text_lines)
+    layout = text_lines.groupBy("file").agg(F.coalesce(F.bool_or(is_medline), F.lit(False)).alias("medline"))
+    marked = text_lines.select("file", "block", "pos", "line", tag.alias("own"), strip(value).alias("value")).join(layout, "file")
     ends = (F.col("own") == "ER") | (F.col("medline") & (strip(F.col("line")) == ""))
-    marked = marked.withColumn("ends", F.coalesce(ends, F.lit(False)))
-    marked = marked.withColumn("rec", F.coalesce(F.sum(F.col("ends").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    marked = placed(counted_before(marked.withColumn("ends", F.coalesce(ends, F.lit(False))), F.col("ends"), "rec"))
     body = marked.filter(~F.col("ends") & (strip(F.col("line")) != "") & ~F.coalesce(F.col("own").isin("FN", "VR", "EF"), F.lit(False)))
     within = W.partitionBy("file", "rec").orderBy("pos")
     body = body.withColumn("tag", F.last("own", ignorenulls=True).over(within)).filter(F.col("tag").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoflux.functions.text import strip
+from cartoflux.sources.scan import counted_before, lines
 
 NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
 
@@ -37,11 +38,15 @@ def fields(line: Column, sep: str = ",") -> Column:
     return F.transform(parts, clean)
 
 
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, line): lines with their number in the file, which many tasks may have read."""
+    return counted_before(lines(spark, path), F.lit(True), "number").select(F.col("number").alias("pos"), "line")
+
+
 def read_profile(spark: SparkSession, path: str, label_index: int = 0, ignore: tuple[int, ...] = (), sep: str = ",") -> tuple[DataFrame, list[str]]:
     """(rows, components): rows (row_id, label, features) of a file with a header. Blank lines are dropped, rows
     with fewer fields than the header too; what is no number counts as 0. Fewer than two lines are an error."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("pos", "line"))
-    return profile_rows(text, label_index, ignore, sep)
+    return profile_rows(numbered(spark, path), label_index, ignore, sep)
 
 
 def profile_rows(text: DataFrame, label_index: int = 0, ignore: tuple[int, ...] = (), sep: str = ",") -> tuple[DataFrame, list[str]]:
@@ -58,7 +63,7 @@ def profile_rows(text: DataFrame, label_index: int = 0, ignore: tuple[int, ...]
 
 def read_numbers(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(row_id, features) of a file without labels; a first row with any field that is no number is a header."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("pos", "line")).filter(strip(F.col("line")) != "")
+    text = numbered(spark, path).filter(strip(F.col("line")) != "")
     parsed = text.select(F.col("pos").cast("long").alias("row_id"), fields(F.col("line"), sep).alias("f"))
     header = F.exists("f", lambda v: strip(v).try_cast("double").isNull())
     first = parsed.agg(F.min_by(F.struct("row_id", header.alias("header")), "row_id").alias("first"))

@@ -143,8 +143,6 @@ def test_neighbours_and_dimension(spark):
         assert 1.9 < neighbours.estimate_dimension(data, name, 10) < 4.1, name
     with pytest.raises(ValueError):
         neighbours.estimate_dimension(data, "nothing")
-    with pytest.raises(NotImplementedError):
-        neighbours.estimate_dimension(data, "DANCo")
     scores = np.array([r.scores for r in neighbours.pca(data, 3).orderBy("id").collect()])
     assert np.allclose(((x - x.mean(axis=0)) ** 2).sum(), (scores**2).sum())
     assert [neighbours.target_dimension(*a) for a in ((50, 1, None, True), (50, 7, None), (50, None, 3.2), (5, None, None))] == [2, 7, 4, 4]
