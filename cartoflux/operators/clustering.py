@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartoflux.functions.arrays import matrix
+from cartoflux.functions.settle import settled
 from cartoflux.operators.selection import percentiles
 
 MOST_POINTS = 10_000
@@ -55,7 +56,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     linked = pairs.join(cores.withColumnRenamed("core", "a"), "a", "left_semi").join(cores.withColumnRenamed("core", "b"), "b", "left_semi").persist()
     label = cores.select(F.col("core").alias("id"), F.col("core").alias("root"))
     while True:
-        label = label.checkpoint()
+        label = settled(label)
         near = linked.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("root"))
         # a jump to the root's own root halves the paths
         jumped = near.join(label.select(F.col("id").alias("root"), F.col("root").alias("top")), "root").select("id", F.least("root", "top").alias("root"))

@@ -62,6 +62,16 @@ def cooccurrence(dt: DataFrame, *by: str) -> DataFrame:
     return a.join(b, keys).filter("source < target").groupBy(*by, "source", "target").agg(F.count("*").alias("weight"))
 
 
+def cooccurrence_sets(dt: DataFrame) -> DataFrame:
+    """(year, yearly, source, target, weight): the pairs of all documents (yearly false, year null) and those of each
+    year (yearly true, a null year left out), from one shuffle: each pair is counted for both sets where it is made."""
+    a = dt.select("doc_id", "year", F.col("term").alias("source"))
+    b = dt.select("doc_id", F.col("term").alias("target"), F.col("year").alias("other"))
+    pairs = a.join(b, "doc_id").filter(F.col("year").eqNullSafe(F.col("other")) & (F.col("source") < F.col("target")))
+    sets = pairs.groupingSets([("source", "target"), ("year", "source", "target")], "year", "source", "target").agg(F.grouping("year").alias("all"), F.count("*").alias("weight"))
+    return sets.filter("all = 1 OR year IS NOT NULL").select("year", (F.col("all") == 0).alias("yearly"), "source", "target", "weight")
+
+
 def threshold(edges: DataFrame, least: int) -> DataFrame:
     return edges.filter(F.col("weight") >= least)
 
@@ -126,11 +136,13 @@ def doc_term_matrix(dt: DataFrame, kept: DataFrame, k: int, documents: DataFrame
     return cells if documents is None else documents.select("doc_id").join(cells, "doc_id", "left").withColumn("w", F.coalesce("w", F.lit(0)))
 
 
-def temporal_stack(dt: DataFrame, kept: DataFrame, k: int, least: int) -> DataFrame:
+def temporal_stack(dt: DataFrame, kept: DataFrame, k: int, least: int, edges: DataFrame | None = None) -> DataFrame:
     """For each year and pair of kept terms a cell (label "<year>_<term>", col_term, w): that year's document
-    frequency on the diagonal, its weight of at least ``least`` elsewhere, else 0."""
+    frequency on the diagonal, its weight of at least ``least`` elsewhere, else 0. ``edges`` may give the yearly
+    edges where they have been made."""
     own = restrict(dt, kept, k)
-    cells = adjacency(document_frequency(own, "year"), threshold(cooccurrence(own, "year"), least), "year")
+    yearly = threshold(cooccurrence(own, "year"), least) if edges is None else edges
+    cells = adjacency(document_frequency(own, "year"), yearly, "year")
     # the spine is the result's own size: years x terms x terms
     listed = kept.agg(F.collect_list("term").alias("terms"))
     spine = (
@@ -172,17 +184,21 @@ class Network:
 
 
 def build(dt: DataFrame, max_terms: int = 100, min_weight: int = 2, temporal: bool = False) -> Network:
-    """A one-mode network of the most frequent terms. Isolated nodes stay."""
+    """A one-mode network of the most frequent terms. Isolated nodes stay. A temporal one has its edges, those of each
+    year and the stacked matrix from the same grouping sets."""
     nodes = top_terms(document_frequency(dt), max_terms)
     own = restrict(dt, nodes, max_terms)
-    edges = threshold(cooccurrence(own), min_weight)
+    sets = threshold(cooccurrence_sets(own), min_weight) if temporal else None
+    edges = sets.filter("NOT yearly").select("source", "target", "weight") if temporal else threshold(cooccurrence(own), min_weight)
     made = Network(dt.select("doc_id").distinct(), nodes, edges, adjacency(nodes, edges), doc_term_matrix(dt, nodes, max_terms))
     if temporal:
         yearly = own.filter(F.col("year").isNotNull())
+        of_year = sets.filter("yearly").select("year", "source", "target", "weight")
         made.by_year = {
+            "sets": sets,
             "nodes": document_frequency(yearly, "year"),
-            "edges": threshold(cooccurrence(yearly, "year"), min_weight),
-            "stack": temporal_stack(dt.filter(F.col("year").isNotNull()), nodes, max_terms, min_weight),
+            "edges": of_year,
+            "stack": temporal_stack(dt.filter(F.col("year").isNotNull()), nodes, max_terms, min_weight, of_year),
         }
         made.frequency = made.by_year["stack"]
     return made

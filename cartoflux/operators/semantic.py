@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartoflux.functions.arrays import list_column
+from cartoflux.functions.settle import settled
 from cartoflux.functions.text import NOISE, choose_keywords, clean_text, doi_in_tags, embedding_text, surrogate_id
 from cartoflux.operators.clustering import hdbscan, kmeans, medians
 from cartoflux.operators.keywords import top_keywords
@@ -112,38 +112,56 @@ def first_level(points: DataFrame, min_size: int) -> DataFrame:
     return kmeans(points, k).select("id", "cluster")
 
 
+#: Rounds of k-means at most.
+ROUNDS = 50
+
+
+def many_kmeans(placed: DataFrame) -> DataFrame:
+    """(path, id, x, y, part) of (path, id, x, y, k): the points of each path in k parts, all paths at once.
+
+    A path's first centre is the point whose id hashes lowest, each further one the point farthest from those before
+    (of equals the smaller id). A round sends the paths' few centres to the points and adds up the points by path and
+    part before they are shuffled, so neither a large path nor many paths are brought together anywhere.
+    """
+    own = settled(placed.select("path", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "k"))
+    spot = F.struct("x", "y")
+    apart = lambda c: (F.col("x") - c["x"]) * (F.col("x") - c["x"]) + (F.col("y") - c["y"]) * (F.col("y") - c["y"])
+    distances = F.transform("centres", apart)
+    most = own.agg(F.max("k")).first()[0] or 0
+    centres = settled(own.groupBy("path").agg(F.array(F.min_by(spot, F.struct(F.xxhash64("id"), "id"))).alias("centres")))
+    for step in range(1, most):
+        near = own.filter(F.col("k") > step).join(centres, "path").select("path", "x", "y", "id", F.array_min(distances).alias("d"))
+        farthest = near.groupBy("path").agg(F.max_by(spot, F.struct("d", -F.col("id"))).alias("next"))
+        grown = centres.join(farthest, "path", "left")
+        centres = settled(grown.select("path", F.when(F.col("next").isNull(), F.col("centres")).otherwise(F.concat("centres", F.array("next"))).alias("centres")))
+    part = (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
+    for _ in range(ROUNDS):
+        sums = own.join(centres, "path").select("path", part.alias("part"), "x", "y").groupBy("path", "part").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+        means = sums.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("part", spot.alias("spot")))).alias("means"))
+        moved = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("means", i), c))  # a part without points keeps its centre
+        now = centres.join(means, "path").select("path", moved.alias("moved"), "centres")
+        close = lambda a, b: F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)
+        same = F.forall(F.arrays_zip("moved", "centres"), lambda z: close(z["moved"]["x"], z["centres"]["x"]) & close(z["moved"]["y"], z["centres"]["y"]))
+        now = settled(now.select("path", F.col("moved").alias("centres"), same.alias("same")))
+        centres = now.select("path", "centres")
+        if not now.filter("NOT same").take(1):
+            break
+    return own.join(centres, "path").select("path", "id", "x", "y", part.alias("part"))
+
+
 def sub_clusters(placed: DataFrame, min_size: int, levels: int) -> DataFrame:
     """(id, path, level) below the first level: each cluster (id, path, x, y) is cut into at most four by its
     plane coordinates while that leaves ``min_size`` points a part; smaller parts are dropped, the others
     numbered by falling size."""
-
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        n = len(frame)
-        k = min(4, n // min_size)
-        if n < min_size or k < 2:
-            return frame.assign(part=-1)[["id", "path", "x", "y", "part"]].iloc[:0]
-        frame = frame.sort_values("id")
-        xy = frame[["x", "y"]].to_numpy()
-        rng = np.random.default_rng(42)
-        centre = xy[[rng.integers(n)]]
-        for _ in range(k - 1):
-            d = ((xy[:, None] - centre[None]) ** 2).sum(axis=2).min(axis=1)
-            centre = np.concatenate([centre, xy[[d.argmax()]]])
-        for _ in range(50):
-            of = ((xy[:, None] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
-            moved = np.array([xy[of == c].mean(axis=0) if (of == c).any() else centre[c] for c in range(k)])
-            if np.allclose(moved, centre):
-                break
-            centre = moved
-        sizes = np.bincount(of, minlength=k)
-        order = {int(c): r for r, c in enumerate(sorted(range(k), key=lambda c: (-sizes[c], c))) if sizes[c] >= min_size}
-        frame = frame.assign(part=[order.get(int(c), -1) for c in of])
-        return frame[frame.part >= 0][["id", "path", "x", "y", "part"]]
-
     now, out = placed.select("id", "path", "x", "y"), None
     for level in range(2, levels + 1):
-        parts = now.groupBy("path").applyInPandas(cut, "id long, path string, x double, y double, part int")
-        now = parts.select("id", F.concat_ws(".", "path", F.col("part").cast("string")).alias("path"), "x", "y").checkpoint()
+        parts = F.least(F.lit(4), F.floor(F.col("count") / min_size).cast("int"))
+        large = now.groupBy("path").count().select("path", parts.alias("k")).filter("k >= 2")
+        cut = settled(many_kmeans(now.join(large, "path")))
+        sizes = cut.groupBy("path", "part").count()
+        order = F.row_number().over(W.partitionBy("path").orderBy(F.desc("count"), "part")) - 1  # at most four of a path
+        kept = sizes.withColumn("number", order).filter(F.col("count") >= min_size)
+        now = settled(cut.join(kept, ["path", "part"]).select("id", F.concat_ws(".", "path", F.col("number").cast("string")).alias("path"), "x", "y"))
         step = now.select("id", "path", F.lit(level).alias("level"))
         out = step if out is None else out.unionByName(step)
     return out if out is not None else placed.select("id", "path", F.lit(1).alias("level")).limit(0)
@@ -160,7 +178,7 @@ def topics(placed: DataFrame, titles: DataFrame, min_size: int, levels: int = 2,
     first = first.join(kept, "path", "left_semi").select("id", "path", "level")
     xy = placed.select("id", "x", "y")
     every = first.unionByName(sub_clusters(first.join(xy, "id"), min_size, levels))
-    every = every.checkpoint()
+    every = settled(every)
     centres = medians(every.join(xy, "id").select(F.col("path").alias("cluster"), "x", "y")).withColumnRenamed("cluster", "path")
     words = top_keywords(every.join(titles, "id").select("path", "id", "title"), 5, by="path")
     level = F.size(F.split("path", r"\."))

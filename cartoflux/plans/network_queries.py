@@ -172,6 +172,12 @@ def year_selected(spark, sf):
     return _brand_net(spark, sf, True).by_year["edges"].filter("year = 1996").select("source", "target", "weight")
 
 
+@query(f"{BRAND_NET}, {YEARLY} SELECT year, true AS yearly, source, target, weight FROM yedges UNION ALL SELECT NULL, false, source, target, weight FROM edges")
+def edge_sets(spark, sf):
+    """The edges of all years and of each, from one pair table."""
+    return _brand_net(spark, sf, True).by_year["sets"]
+
+
 @query(f"""{BRAND_NET}, {YEARLY} SELECT y.year, y.year || '_' || a.term AS label, a.term AS row_term, b.term AS col_term, coalesce(w, 0)::BIGINT AS w
   FROM (SELECT DISTINCT year FROM brands) y CROSS JOIN nodes a CROSS JOIN nodes b
   LEFT JOIN ycells c ON c.year = y.year AND c.row_term = a.term AND c.col_term = b.term""")

@@ -224,3 +224,64 @@ def test_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert rows(spark.table("counts")) == rows(terms.windowed_counts(events))
+
+
+def test_grouping_sets(spark):
+    dt = spark.createDataFrame([(1, 2000, "a"), (1, 2000, "b"), (2, 2000, "a"), (2, 2000, "b"), (3, 2001, "b"), (3, 2001, "a"), (4, None, "a"), (4, None, "b"), (5, 2001, "z")], "doc_id long, year int, term string")
+    assert rows(net.cooccurrence_sets(dt)) == [(2000, True, "a", "b", 2), (2001, True, "a", "b", 1), (None, False, "a", "b", 4)]
+    plan = net.cooccurrence_sets(dt)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.count("Join") == 1
+    assert net.cooccurrence_sets(dt.limit(0)).count() == 0
+
+
+def test_many_kmeans(spark):
+    rng = np.random.default_rng(3)
+    spots = {"a": [(0, 0), (9, 0), (0, 9)], "b": [(5, 5), (-5, -5)], "c": [(1, 1)]}
+    points, i = [], 0
+    for path, centres in spots.items():
+        for n, c in enumerate(centres):
+            for _ in range(30 + 5 * n):
+                points.append((path, i, *(rng.normal(c, 0.3)).tolist(), len(centres), f"{path}{n}"))
+                i += 1
+    points += [("same", 1000 + j, 2.0, 2.0, 2, "same") for j in range(20)]
+    df = spark.createDataFrame(points, "path string, id long, x double, y double, k int, true string")
+    found = semantic.many_kmeans(df).join(df.select("id", "true"), "id").collect()
+    parts = {}
+    for r in found:
+        parts.setdefault(r["true"], set()).add(r["part"])
+    assert len(found) == len(points) and all(len(p) == 1 for p in parts.values())
+    assert len({(t[0], *p) for t, p in parts.items() if t != "same"}) == 6
+    # every point is nearest to the mean of its own part
+    for path in spots:
+        own = [r for r in found if r["path"] == path]
+        means = {p: np.mean([(r["x"], r["y"]) for r in own if r["part"] == p], axis=0) for p in {r["part"] for r in own}}
+        assert all(min(means, key=lambda p: np.hypot(*(means[p] - (r["x"], r["y"])))) == r["part"] for r in own)
+    cut = semantic.sub_clusters(df.select("id", "path", "x", "y"), 25, 2)
+    sizes = {r["path"]: r["count"] for r in cut.groupBy("path").count().collect()}
+    assert all(n >= 25 for n in sizes.values()) and {p.split(".")[0] for p in sizes} <= {"a", "b"} and sizes["a.0"] >= sizes["a.1"]
+    assert semantic.many_kmeans(df.limit(0)).count() == 0
+
+
+def test_stream_network(spark, tmp_path):
+    from cartoflux.streaming import network as stream
+
+    first = [(f"2024-01-0{d} 0{h}:00:00", f"p{d}{h}", t) for d in (1, 2) for h in (1, 2) for t in ("a", "b", "c")[: h + 1]]
+    again = [("2024-01-02 03:00:00", "p22", "z"), ("2024-01-02 02:30:00", "p22", "a"), ("2024-01-09 01:00:00", "p91", "b"), ("2024-01-09 01:00:00", "p91", "a"), ("2024-01-09 01:00:00", None, "a"), ("2024-01-09 01:00:00", "p91", None)]
+    after = [("2024-01-01 05:00:00", "late", "a"), ("2024-01-01 05:00:00", "late", "b"), ("2024-01-09 02:00:00", "p91", "c")]
+    make = lambda rs: spark.createDataFrame(rs, "t string, doc_id string, term string").select(F.to_timestamp("t").alias("ts"), "doc_id", "term")
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def feed(rs):
+        make(rs).coalesce(1).write.mode("append").parquet(source)
+        terms_stream = spark.readStream.schema(make(rs).schema).parquet(source)
+        run = stream.keep(stream.new_pairs(terms_stream, "1 day"), sink, state)  # each time a new query from the same checkpoint
+        run.awaitTermination(120)
+
+    feed(first)
+    feed(again)
+    got = rows(stream.network(spark, sink))
+    known = make(first + again).filter("doc_id IS NOT NULL AND term IS NOT NULL").select("doc_id", "term").distinct()
+    assert got == rows(net.cooccurrence(known)) and ("a", "z", 1) in got
+    feed(after)  # the watermark has passed the late document, not the other
+    in_time = make(first + again + after).filter("doc_id <> 'late' AND term IS NOT NULL").select("doc_id", "term").distinct()
+    assert rows(stream.network(spark, sink)) == rows(net.cooccurrence(in_time))
