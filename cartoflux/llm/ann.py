@@ -279,12 +279,12 @@ def nearest(
     widths = own.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
     width = widths["width"] if widths else 1
     own = own.filter(F.size("embedding") == width)
-    # equal vectors are one, with their k + 1 smallest ids
-    ranked = own.distinct().withColumn("rn", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("rn") <= k + 1)
+    # equal vectors are one, with their k + 1 smallest ids, repeated ones as often as there are rows
+    ranked = own.withColumn("rn", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("rn") <= k + 1)
     distinct = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     distinct = stage.table(distinct.select(F.element_at("ids", 1).alias("vid"), F.col("embedding").alias("vector"), "ids"), "distinct")
 
-    asked = sound(queries).filter(F.size("embedding") == width).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+    asked = sound(queries).filter(F.size("embedding") == width).select(F.col("vec_id").alias("query_id"), "embedding")
     asked = asked.join(distinct.select("vid", "vector"), F.col("embedding") == F.col("vector")).select("query_id", "vid", "vector")
     asked = stage.table(asked, "asked")
 
@@ -324,10 +324,11 @@ def nearest(
     # one vector may come from several trees
     found = found.groupBy("qvid", "vid").agg(F.max("score").alias("score"))
     best = found.withColumn("rn", F.row_number().over(W.partitionBy("qvid").orderBy(F.desc("score"), "vid"))).filter(F.col("rn") <= k + 1)
-    best = best.join(distinct.select("vid", "ids"), "vid").select("qvid", "score", F.explode("ids").alias("vec_id"))
+    best = best.join(distinct.select("vid", "ids"), "vid").select("qvid", "score", "vid", F.explode("ids").alias("vec_id"))
     best = best.withColumn("rn", F.row_number().over(W.partitionBy("qvid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rn") <= k + 1)
-    best = best.groupBy("qvid").agg(F.sort_array(F.collect_list(F.struct("rn", "vec_id", "score"))).alias("best"))
-    mine = F.expr(f"slice(filter(best, x -> x.vec_id <> query_id), 1, {k})")
+    best = best.groupBy("qvid").agg(F.sort_array(F.collect_list(F.struct("rn", "vec_id", "score", "vid"))).alias("best"))
+    # the query's own row goes: the first of its id and its vector
+    mine = F.expr(f"slice(filter(best, (x, i) -> i + 1 <> coalesce(array_position(transform(best, y -> y.vec_id = query_id AND y.vid = qvid), true), 0)), 1, {k})")
     return (
         asked.select("query_id", F.col("vid").alias("qvid"))
         .join(best, "qvid")

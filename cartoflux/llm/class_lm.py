@@ -1,7 +1,7 @@
 """LM scoring with Brown's class-based bigrams: exchange clustering assigns words to classes; class
 transitions and word emissions give a smoothed perplexity.
 
-Each of the ``COMMON`` most frequent words is a unit of its own, and the rest are units by their last letters;
+Each of about ``COMMON`` most frequent words (ties by a hash) is a unit of its own, and the rest are units by their last letters;
 so every word, known or not, has a class. Pairs of neighbouring units are counted over the whole corpus. The
 exchange begins with the ``SEEDS`` most frequent words and the endings, moved one by one on the driver; a
 word then takes its ending's class, and in ``ROUNDS`` rounds each half of the words in turn moves, in Spark,
@@ -42,9 +42,12 @@ from cartoflux.llm.common import Staging, documents
 
 FOLDS, HELD_OUT = 7, 2
 COMMON, SEEDS, ENDINGS, SWEEPS, ROUNDS = 200_000, 500, 256, 6, 4
-LONGEST = 64
+#: Bytes of a common word on average, at most: together they bound what is broadcast.
+WORD_BYTES = 64
 #: Pairs that a task sorts at a time (and from both ends; twice as many sides make a bucket), and units and pairs of a packed block.
 HELD, BLOCK_UNITS, BLOCK_PAIRS = 1_000_000, 4_096, 250_000
+#: Pairs of a bucket, whose sides one group sorts: a few copies of 32 bytes for each.
+BUCKET_PAIRS = 250_000
 #: Words that a task counts at a time, and rare words whose endings it remembers.
 WORDS_HELD, REMEMBERED = 200_000, 100_000
 #: Bytes of the batches that go to the tasks: packed blocks are large rows, so their number says little.
@@ -119,24 +122,24 @@ def _ending(word: bytes) -> int:
 
 
 class Units(dict):
-    """The unit of each word: a frequent word's place, or else that of its ending behind them; the end of text
-    is the last unit."""
+    """The unit of each word: a frequent word's place, or else that of its ending behind them, which a second, smaller
+    table remembers; the end of text is the last unit."""
 
     def __init__(self, common: list[bytes]):
-        super().__init__()
-        self.common = {w: i for i, w in enumerate(common)}
+        super().__init__(zip(common, range(len(common)), strict=True))
+        self.rare: dict[bytes, int] = {}
         self.end = len(common) + ENDINGS
-        self.update(self.common)
 
     def __missing__(self, word: bytes) -> int:
-        unit = self[word] = len(self.common) + _ending(word)
+        unit = self.rare.get(word)
+        if unit is None:
+            unit = self.rare[word] = len(self) + _ending(word)
         return unit
 
     def turn(self) -> None:
         """Call between batches."""
-        if len(self) > len(self.common) + REMEMBERED:
-            self.clear()
-            self.update(self.common)
+        if len(self.rare) > REMEMBERED:
+            self.rare.clear()
 
     def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Units of an end and then of each text's words and end; and each text's number of tokens."""
@@ -242,7 +245,8 @@ def _split_sides(buckets: int):
 def _pack(table: pa.Table) -> pa.Table:
     """Blocks of a bucket's units, with their neighbours and counts."""
     kinds = {"keys": "<i4", "others": "<i4", "counts": "<i8"}
-    key, other, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in kinds.items())
+    key, other, n = (np.concatenate([np.empty(0, t), *(np.frombuffer(part.as_buffer(), t) for part in table.column(c))]) for c, t in kinds.items())
+    del table
     order = np.argsort(key, kind="stable")
     key, other, n = key[order], other[order], n[order]
     starts = np.flatnonzero(np.diff(key, prepend=-1))
@@ -335,7 +339,7 @@ def cluster(train: DataFrame, common: list[bytes], stage: Staging, rounds: int =
     share = spark.sparkContext.broadcast
     pairs = train.mapInArrow(_count_pairs(share(common)), "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
     pairs = stage.table(pairs, "pairs")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // HELD)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // BUCKET_PAIRS)
     sides = pairs.mapInArrow(_split_sides(buckets), _SIDES)
     contexts = stage.table(sides.groupBy("bucket").applyInArrow(_pack, _CONTEXTS), "contexts")
     stage.drop("pairs")
@@ -355,7 +359,7 @@ def cluster(train: DataFrame, common: list[bytes], stage: Staging, rounds: int =
 
 @dataclass
 class Model:
-    common: list[bytes]  # of bounded length and number, most frequent first; each is a unit
+    common: list[bytes]  # of bounded number and bytes together, most frequent first; each is a unit
     log_count: np.ndarray  # log10(count + 1) of those
     unit_class: np.ndarray  # of the common words, the endings and the end of text
     log_transition: np.ndarray  # [class before, class]
@@ -433,17 +437,20 @@ def _class_kinds(shared):
 
 
 def _most_frequent(words: DataFrame) -> DataFrame:
-    """The words above the count that at most COMMON words reach, from a histogram of counts by their
-    logarithm; so no task has to hold or send the top of its own part."""
+    """The words above the count that about COMMON words reach (or WORD_BYTES times as many bytes), from a histogram of
+    counts by their logarithm, so no task has to hold or send the top of its own part; of the words in the first bin
+    that does not fit whole, those whose hash is in the share that does."""
     level = F.floor(F.log2("n") * 64).cast("int")
-    bins = sorted(((r["level"], r["count"]) for r in words.groupBy(level.alias("level")).count().collect()), reverse=True)
-    least, total = None, 0
-    for at, count in bins:
-        total += count
-        if total > COMMON:
+    bins = words.groupBy(level.alias("level")).agg(F.count("*").alias("count"), F.sum(F.octet_length("word")).alias("bytes")).collect()
+    words_left, bytes_left, least, split, share = COMMON, COMMON * WORD_BYTES, None, None, 0.0
+    for r in sorted(bins, key=lambda r: -r["level"]):
+        if r["count"] > words_left or r["bytes"] > bytes_left:
+            split, share = r["level"], min(words_left / r["count"], bytes_left / max(1, r["bytes"]))
             break
-        least = at
-    return words.filter(level >= F.lit(least)) if least is not None else words.limit(0)
+        words_left, bytes_left, least = words_left - r["count"], bytes_left - r["bytes"], r["level"]
+    whole = level >= F.lit(least) if least is not None else F.lit(False)
+    part = (level == F.lit(split)) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))) if split is not None else F.lit(False)
+    return words.filter(whole | part)
 
 
 def fit(texts: DataFrame, stage: Staging) -> tuple[Model, DataFrame]:
@@ -453,7 +460,7 @@ def fit(texts: DataFrame, stage: Staging) -> tuple[Model, DataFrame]:
     vocabulary = stage.table(train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     texts_n = train.count()
-    frequent = sorted(_most_frequent(vocabulary.filter(F.octet_length("word") <= LONGEST)).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
+    frequent = sorted(_most_frequent(vocabulary).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     common = [bytes(r["word"]) for r in frequent]
     of, between = cluster(train, common, stage)
     classes = len(between)

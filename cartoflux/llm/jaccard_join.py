@@ -394,10 +394,11 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that link to one of a smaller doc_id; of a doc_id repeated with one text
     one row stays, and rows without a doc_id all stay."""
-    found = jaccard_components(docs, n, percent)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").withColumn("__text", F.xxhash64("text"))
-    return rows.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(docs.filter("doc_id IS NULL"))
+    found = jaccard_components(docs.select("doc_id", "text"), n, percent)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("of"), F.xxhash64("text").alias("as"))
+    once = rows.join(kept, F.col("of") == F.col("kept"), "left_semi").dropDuplicates(["of", "as"])
+    return once.unionByName(rows.filter("of IS NULL")).select("row.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

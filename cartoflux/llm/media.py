@@ -398,7 +398,8 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def examine(rows: DataFrame) -> DataFrame:
     """Rows of (declared_type, media, others) with true_type, mismatch and parts: format, start, length and
-    bytes of every confirmed file that is not the whole of the media."""
+    bytes of every confirmed file that is not the whole of the media. Columns of these names are replaced."""
+    rows = rows.drop("true_type", "mismatch", "parts")
     more = [T.StructField("true_type", T.StringType()), T.StructField("mismatch", T.BooleanType()), T.StructField("parts", T.ArrayType(_PART))]
     return rows.mapInArrow(_examine, T.StructType([*rows.schema.fields, *more]))
 
@@ -439,9 +440,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    stored = texts.mapInArrow(_store, "doc_id long, n_bytes long, declared_type string, media binary")
-    return examine(stored).mapInArrow(_rows, _SCHEMA)
+    """doc_id and what is told of each text's file: stored, examined and read back in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _rows(_examine(_store(batches)))
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, _SCHEMA)
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

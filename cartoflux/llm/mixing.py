@@ -6,9 +6,10 @@ long coherent texts fill more of the mix than fragments do. Within a source the
 target, and none is above ``MOST_COPIES``; what a document's capped copies leave is shared by the others. The
 whole part of the wanted copies is certain, and the rest is the document's own inclusion chance.
 
-The size of a sample is counted in words. A source's documents are kept in rank order until the words
-due are reached; the last one is taken if that brings the sum nearer. Running sums come from two levels
-of rank bins that are aggregated before any shuffle, so no task holds a source.
+The size of a sample is counted in words. A source's documents are taken in rank order as long as the words due are
+not passed; where one does not fit, the ranks begin anew among those of the rest that are no longer than what is still
+due, ``FILLS`` times in all; at last the shortest left is taken if that brings the sum nearer. Running sums come from
+two levels of rank bins that are aggregated before any shuffle, so no task holds a source.
 
 Edge cases: a null text has size 0 and nothing is taken of it; a null source is a source of its own and
 sorts last; rows repeated with one doc_id and size are taken together; very long texts are counted whole; an
@@ -29,6 +30,8 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Bins at each of the two levels of the running sums.
 BINS = 1024
+#: How often what does not fit is passed over.
+FILLS = 4
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -143,35 +146,43 @@ def _with_copies(docs: DataFrame, weights: tuple[int, ...], most: int, stage_row
             .withColumn("hi", F.expr(f"bin div {BINS}"))
         )
 
-    sampled = rank(sized).filter("chance > 0 AND size > 0")
-    first = _first_open_bin(sampled.groupBy("source", "due", "hi").agg(F.sum("size").alias("words")), "hi", "due", "hi_open")
-    first = stage.table(first, "first")
-    second = per_source(sampled, first).filter("hi = hi_open").withColumn("due2", F.col("due") - F.col("hi_open_before"))
-    second = _first_open_bin(second.groupBy("source", "due2", "bin").agg(F.sum("size").alias("words")), "bin", "due2", "bin_open")
-    second = stage.table(per_source(first, second.select("source", "bin_open", "bin_open_before")).select(
-        "source", "hi_open", "bin_open", (F.col("hi_open_before") + F.col("bin_open_before")).alias("words_before")
-    ), "second")
-    # the documents of the one bin in which the sample ends
-    w = W.partitionBy("source").orderBy("v", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    last = (
-        per_source(sampled, second)
-        .filter("bin = bin_open")
-        .groupBy("source", "due", "words_before", "v", "doc_id", "size")
-        .agg(F.sum("size").alias("words"))
-        .withColumn("upto", F.sum("words").over(w) + F.col("words_before"))
-        .filter(F.col("upto") - F.col("words") / 2 <= F.col("due"))
-        .groupBy("source")
-        .agg(F.max(F.struct("v", "doc_id", "size")).alias("end"))
-    )
-    ends = stage.table(per_source(second, last, "left"), "ends")
-    # a source without an open bin ends with its last document
-    taken_once = F.expr(
-        "chance > 0 AND (bin_open IS NULL OR bin < bin_open OR (bin = bin_open AND end IS NOT NULL AND struct(v, doc_id, size) <= end))"
-    )
+    # a row for each document still open: rows repeated with one doc_id and size are one
+    keys = ["source", "bin", "hi", "v", "doc_id", "size"]
+    open_ = stage.table(rank(sized).filter("chance > 0 AND size > 0").groupBy(*keys, "due").agg(F.sum("size").alias("words")), "open")
+    state = stage.table(open_.groupBy("source").agg(F.max("due").alias("due")).withColumn("fills", F.expr(f"cast(array() AS {_FILLS})")), "state")
+    for number in range(FILLS):
+        left = per_source(open_.drop("due"), state).filter(f"size <= due AND NOT {_TAKEN}")
+        ends = _fitting(left, per_source)
+        fill = F.array(F.struct("due", "bin_open", "end"))
+        filled = stage.table(per_source(state, ends, "left").select("source", "due", F.concat("fills", fill).cast(_FILLS).alias("fills")), f"filled{number}")
+        got = per_source(left.drop("due", "fills"), filled).filter(_TAKEN).groupBy("source").agg(F.sum("words").alias("got"))
+        state = stage.table(per_source(filled, got, "left").select("source", (F.col("due") - F.coalesce("got", F.lit(0))).alias("due"), "fills"), f"state{number}")
+    shortest = per_source(open_.drop("due"), state).filter(f"NOT {_TAKEN}").groupBy("source", "due").agg(F.min(F.struct("size", "v", "doc_id", "words")).alias("last"))
+    shortest = shortest.filter("last.words / 2 <= due").select("source", "last")
+    ends = stage.table(per_source(state, shortest, "left").select("source", "fills", "last"), "ends")
+    taken_once = F.expr(f"coalesce(chance > 0 AND size > 0 AND ({_TAKEN} OR (last IS NOT NULL AND size = last.size AND v = last.v AND doc_id <=> last.doc_id)), false)")
     rows = rank(sized) if stage_rows else rank(_sized(docs))
     return per_source(rows, ends, "left").withColumn("copies", F.col("whole") + F.when(taken_once, 1).otherwise(0))
 
 
+_FILLS = "array<struct<due:double,bin_open:bigint,end:struct<v:double,doc_id:bigint,size:bigint>>>"
+#: Of a document and its source's fills: one of them took it. Where no bin is open, all that was short enough fitted.
+_TAKEN = "exists(fills, f -> size <= f.due AND (f.bin_open IS NULL OR bin < f.bin_open OR (bin = f.bin_open AND f.end IS NOT NULL AND struct(v, doc_id, size) <= f.end)))"
+
+
+def _fitting(left: DataFrame, per_source) -> DataFrame:
+    """For each source of which not all documents fit into what is due: the bin of ranks in which they end, and the last
+    document that fits, if any does in that bin."""
+    first = _first_open_bin(left.groupBy("source", "due", "hi").agg(F.sum("words").alias("words")), "hi", "due", "hi_open")
+    second = per_source(left, first).filter("hi = hi_open").withColumn("due2", F.col("due") - F.col("hi_open_before"))
+    third = _first_open_bin(second.groupBy("source", "due2", "bin").agg(F.sum("words").alias("words")), "bin", "due2", "bin_open")
+    # the documents of the one bin in which the sample ends
+    w = W.partitionBy("source").orderBy("v", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    last = per_source(second, third).filter("bin = bin_open").withColumn("upto", F.sum("words").over(w) + F.col("bin_open_before")).filter("upto <= due2")
+    last = last.groupBy("source").agg(F.max(F.struct("v", "doc_id", "size")).alias("end"))
+    return per_source(third.select("source", "bin_open"), last, "left").select("source", "bin_open", "end")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
@@ -202,8 +213,19 @@ l6 AS (SELECT source, source_size, target, bits, floor(copies) AS whole, copies
       target - sum(words * floor(copies)) OVER (PARTITION BY source) AS due FROM l5),
 d AS (SELECT s.doc_id, s.size, s.u, t.* FROM sized s JOIN l6 t ON s.source IS NOT DISTINCT FROM t.source AND s.bits = t.bits),
 v AS (SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM d),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank / (rank + 1), doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-      sum(size) OVER (PARTITION BY source, rank, doc_id, size) AS own FROM v)
-SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN chance > 0 AND upto - own / 2.0 <= due THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+"""
+
+# the fills, one after the other: what is still due, what is short enough, and what of that fits in order of rank
+ORACLE_SQL += "w AS (SELECT *, rank / (rank + 1) AS v, chance > 0 AND size > 0 AS open, false AS took0, due AS due1 FROM v),\n"
+for _n in range(1, FILLS + 1):
+    ORACLE_SQL += f"""a{_n} AS (SELECT *, open AND NOT took{_n - 1} AND size <= due{_n} AS fits FROM {f"f{_n - 1}" if _n > 1 else "w"}),
+b{_n} AS (SELECT *, sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source ORDER BY v, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM a{_n}),
+f{_n} AS (SELECT * EXCLUDE (fits, upto), took{_n - 1} OR (fits AND upto <= due{_n}) AS took{_n},
+  due{_n} - coalesce(sum(CASE WHEN fits AND upto <= due{_n} THEN size END) OVER (PARTITION BY source), 0) AS due{_n + 1} FROM b{_n}),
+"""
+ORACLE_SQL += f"""s AS (SELECT *, CASE WHEN open AND NOT took{FILLS} THEN row_number() OVER (PARTITION BY source, open AND NOT took{FILLS} ORDER BY size, v, doc_id NULLS FIRST) END AS place,
+  sum(size) OVER (PARTITION BY source, v, doc_id, size) AS own FROM f{FILLS}),
+e AS (SELECT *, min(CASE WHEN place = 1 THEN struct_pack(size := size, v := v, doc_id := doc_id, own := own) END) OVER (PARTITION BY source) AS last FROM s)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN took{FILLS} OR (place IS NOT NULL AND size = last.size AND v = last.v
+  AND doc_id IS NOT DISTINCT FROM last.doc_id AND last.own / 2.0 <= due{FILLS + 1}) THEN 1 ELSE 0 END))::BIGINT AS taken FROM e
 """

@@ -60,3 +60,13 @@ def test_few_and_none(spark):
     found = sorted(tuple(r) for r in nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20, recall=1.0).collect())
     assert found[:3] == [(0, 1, 40, 1.0), (0, 2, 1, 0.5), (0, 3, 20, 0.0)] and len(found) == 9
     assert nearest(vectors.limit(0), vectors.limit(0), 20).collect() == []
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Only the query's own row is no candidate: a row of the same id is, with the same vector or another."""
+    rows = [(20, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (20, [0.0, 2.0], 1), (3, [0.5, 0.5], 1)]
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    found = sorted(tuple(r) for r in nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20, recall=1.0).collect())
+    first = [(20, 1, 20, 1.0), (20, 2, 3, 0.5), (20, 3, 20, 0.0)]
+    other = [(20, 1, 3, 1.0), (20, 2, 20, 0.0), (20, 3, 20, 0.0)]
+    assert found == sorted(first + first + other)

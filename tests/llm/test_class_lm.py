@@ -68,7 +68,7 @@ def test_scores_by_counting(spark, monkeypatch, common):
     fold = spark.createDataFrame([(i, held(i), t) for i, t in rows], "doc_id long, held_out boolean, text string")
     model, _ = class_lm.fit(fold.select("held_out", F.col("text").cast("binary").alias("text")), Staging(spark, "t"))
     units = class_lm.Units(model.common)
-    assert (len(model.common) <= 40) == (common == 40) and len(model.unit_class) == units.end + 1
+    assert (len(model.common) <= 60) == (common == 40) and len(model.unit_class) == units.end + 1
     words = lambda t: (t or "").encode().lower().split()
     of = lambda w: int(model.unit_class[units.end if w is None else units[w]])
     pairs, counts, emitted = Counter(), Counter(), Counter()
@@ -115,3 +115,14 @@ def test_nothing_to_learn_from(spark):
     found = score_documents(docs.selectExpr(f"{n}L AS doc_id", "text")).collect()
     assert found[0].held_out and (found[0].n_known, found[0].train_tokens, found[0].base_score) == (0, 0, 0.0)
     assert score_documents(docs.limit(0)).collect() == []
+
+
+def test_a_bound_within_a_level(spark, monkeypatch):
+    """Of words of equal count as many are clustered as fit; a long word counts by its bytes."""
+    monkeypatch.setattr(class_lm, "COMMON", 300)
+    words = spark.createDataFrame([(f"w{i}".encode(), 1) for i in range(1000)] + [(b"top", 9), (b"x" * 500, 5)], "word binary, n long")
+    kept = {bytes(r["word"]) for r in class_lm._most_frequent(words).collect()}
+    assert {b"top", b"x" * 500} <= kept and 240 <= len(kept) <= 360
+    huge = words.union(spark.createDataFrame([(b"x" * 10_000_000, 5)], "word binary, n long"))
+    assert max(len(r["word"]) for r in class_lm._most_frequent(huge).collect()) <= 500
+    assert class_lm._most_frequent(words.limit(0)).count() == 0
