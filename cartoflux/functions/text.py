@@ -38,7 +38,7 @@ def normalise_terms(terms: Column) -> Column:
 def title_case(col: Column) -> Column:
     """Upper case after every character that is no letter; ``initcap`` does so after spaces only."""
     cut = F.split(F.regexp_replace(F.lower(col), r"(\p{L}+)", "\u0001$1\u0001"), "\u0001")
-    return F.array_join(F.transform(cut, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), "")
+    return F.array_join(F.transform(cut, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
 
 
 def row_label(title: Column, year: Column, missing: str = "Unknown") -> Column:

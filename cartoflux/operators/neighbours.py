@@ -28,8 +28,9 @@ def block_pairs(points: DataFrame, *columns: str, once: bool = False):
     placed = points.select("id", "features", *columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     later = F.explode(F.sequence(F.col("block") if once else F.lit(0), F.lit(blocks - 1)))
     earlier = F.explode(F.sequence(F.lit(0), F.col("block") if once else F.lit(blocks - 1)))
-    left = placed.select("id", "features", *columns, F.col("block").alias("p"), later.alias("q"))
-    right = placed.select("id", "features", *columns, F.col("block").alias("q"), earlier.alias("p"))
+    own = [F.col(c).alias(c) for c in ("id", "features", *columns)]  # columns of each side's own, so the two can be told apart
+    left = placed.select(*own, F.col("block").alias("p"), later.alias("q"))
+    right = placed.select(*own, F.col("block").alias("q"), earlier.alias("p"))
     return left.groupBy("p", "q").cogroup(right.groupBy("p", "q"))
 
 

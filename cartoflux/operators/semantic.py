@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cartoflux.functions.arrays import list_column
 from cartoflux.functions.settle import settled
 from cartoflux.functions.text import NOISE, choose_keywords, clean_text, doi_in_tags, embedding_text, surrogate_id
-from cartoflux.operators.clustering import hdbscan, kmeans, medians
+from cartoflux.operators.clustering import MOST_POINTS, hdbscan, kmeans, medians
 from cartoflux.operators.keywords import top_keywords
 from cartoflux.sources.bibliographic import tag_values
 from cartoflux.sources.scan import ranked
@@ -68,17 +68,31 @@ def hashing_embedder(texts: list[str], width: int = 64) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
-def http_embedder(url: str, model: str, key: str | None = None, timeout: float = 60.0) -> Callable[[list[str]], np.ndarray]:
+#: Answers after which a request is made again: the server is busy or failed.
+AGAIN = (408, 429, 500, 502, 503, 504)
+
+
+def http_embedder(url: str, model: str, key: str | None = None, timeout: float = 60.0, tries: int = 4, wait: float = 1.0) -> Callable[[list[str]], np.ndarray]:
     """Texts to vectors by a server with the common embeddings interface; certificates are verified, and the
-    key goes in a header."""
+    key goes in a header. A request that fails on the way, or whose answer says that the server is busy, is made again
+    after a wait that doubles each time; other errors, and the last one, are raised."""
 
     def embed(texts: list[str]) -> np.ndarray:
         import json
+        import time
+        from urllib.error import HTTPError, URLError
         from urllib.request import Request, urlopen
 
         head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
-        with urlopen(Request(url, json.dumps({"model": model, "input": texts}).encode(), head), timeout=timeout) as reply:
-            rows = json.load(reply)["data"]
+        for attempt in range(tries):
+            try:
+                with urlopen(Request(url, json.dumps({"model": model, "input": texts}).encode(), head), timeout=timeout) as reply:
+                    rows = json.load(reply)["data"]
+                break
+            except (HTTPError, URLError, TimeoutError, ConnectionError) as error:
+                if attempt + 1 == tries or isinstance(error, HTTPError) and error.code not in AGAIN:
+                    raise
+                time.sleep(wait * 2**attempt)
         return np.array([r["embedding"] for r in sorted(rows, key=lambda r: r["index"])])
 
     return embed
@@ -103,13 +117,18 @@ def embed(texts: DataFrame, model: str | Callable[[list[str]], np.ndarray] = "ha
     return texts.select(F.col("row_id").cast("long").alias("id"), column).mapInArrow(run, "id long, features array<double>")
 
 
+def fallback(points: DataFrame) -> DataFrame:
+    """(id, cluster) by KMeans with min(5, max(2, n // 20)) clusters: for sets without clusters of their own, or too
+    large for a tree of them."""
+    return kmeans(points, min(5, max(2, points.count() // 20))).select("id", "cluster")
+
+
 def first_level(points: DataFrame, min_size: int) -> DataFrame:
-    """HDBSCAN; where it finds two labels at most, KMeans with min(5, max(2, n // 20)) clusters."""
+    """HDBSCAN; where it finds two labels at most, or there are more points than it takes, the fallback."""
+    if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+        return fallback(points)
     found = hdbscan(points, min_size)
-    if found.select("cluster").distinct().count() > 2:
-        return found
-    k = min(5, max(2, points.count() // 20))
-    return kmeans(points, k).select("id", "cluster")
+    return found if found.select("cluster").distinct().count() > 2 else fallback(points)
 
 
 #: Rounds of k-means at most.

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartoflux.functions import text
-from cartoflux.operators import clustering, neighbours, som, temporal
+from cartoflux.functions import colours, text
+from cartoflux.operators import clustering, descent, neighbours, som, temporal
 from cartoflux.plans import tables as t
 from cartoflux.plans.network_queries import EVENT_CELLS
 
@@ -123,9 +123,12 @@ GRID_SQL = f"""grid AS (SELECT n::INT AS neuron, (n // {COLS})::INT AS row, (n %
   sqrt(3.0::DOUBLE) * (n % {COLS}) + CASE WHEN (n // {COLS}) % 2 = 1 THEN sqrt(3.0::DOUBLE) / 2 ELSE 0 END AS y FROM range({M}) r(n))"""
 
 
-@query(f"WITH {GRID_SQL} SELECT neuron, row, col, round(x::DOUBLE, 9) AS x, round(y, 9) AS y FROM grid")
+@query(f"""{ASSIGNED}, {GRID_SQL} SELECT neuron, row, col, round(x::DOUBLE, 9) AS x, round(y, 9) AS y, count(row_id) AS hits FROM grid LEFT JOIN a ON bmu = neuron GROUP BY ALL""")
 def hex_grid(spark, sf):
-    return som.hex_grid(spark, ROWS, COLS).select("neuron", "row", "col", F.round(F.col("x").cast("double"), 9).alias("x"), F.round("y", 9).alias("y"))
+    """The grid with the rows that each neuron wins."""
+    hits = t.assigned(spark, sf).groupBy(F.col("bmu").alias("neuron")).agg(F.count("*").alias("hits"))
+    made = som.hex_grid(spark, ROWS, COLS).join(hits, "neuron", "left").na.fill(0, ["hits"])
+    return made.select("neuron", "row", "col", F.round(F.col("x").cast("double"), 9).alias("x"), F.round("y", 9).alias("y"), "hits")
 
 
 @query(f"{ASSIGNED}, {GRID_SQL} SELECT row_id, label, round(x::DOUBLE, 9) AS x, round(y, 9) AS y FROM a JOIN grid ON bmu = neuron")
@@ -177,15 +180,35 @@ def som_errors(spark, sf):
 
 
 def _book(spark, sf):
-    return som.codebook(spark, t.first_codebook(spark, sf), ROWS, COLS)
+    """The codebook after two epochs over the whole table."""
+    return som.codebook(spark, _trained(spark, sf, 2), ROWS, COLS)
 
 
-@query(f"""WITH {VECTORS}, {BOOK}, {GRID_SQL} SELECT a.neuron, a.row, a.col, round(avg(list_distance(p.w, q.w)), 6) AS u FROM grid a JOIN grid b
-  ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 1.85 ** 2 AND a.neuron <> b.neuron JOIN book p ON p.neuron = a.neuron JOIN book q ON q.neuron = b.neuron GROUP BY 1, 2, 3""")
+UMATRIX = f"""{_epoch_sql(2)}, um AS (SELECT a.neuron, a.row, a.col, avg(list_distance(p.w, q.w)) AS u FROM grid a JOIN grid b
+  ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 1.85 ** 2 AND a.neuron <> b.neuron JOIN b2 p ON p.neuron = a.neuron JOIN b2 q ON q.neuron = b.neuron GROUP BY 1, 2, 3)"""
+
+
+@query(f"{UMATRIX} SELECT neuron, row, col, round(u, 6) AS u FROM um")
 def umatrix(spark, sf):
     return som.umatrix(_book(spark, sf)).withColumn("u", F.round("u", 6))
 
 
+def _ramp_sql(value: str, low: str, high: str, name: str) -> str:
+    stops = colours.RAMPS[name]
+    place, last = f"least(greatest(({value} - {low}) / ({high} - {low}), 0), 1) * {len(stops) - 1}", len(stops) - 2
+    channel = lambda at: "[" + ", ".join(str(int(c[at : at + 2], 16)) for c in stops) + "]"
+    piece = f"least(floor({place}), {last})::INT"
+    one = lambda at: f"lpad(lower(hex(floor({channel(at)}[{piece} + 1] + ({channel(at)}[{piece} + 2] - {channel(at)}[{piece} + 1]) * ({place} - {piece}) + 0.5)::BIGINT)), 2, '0')"
+    return "'#' || " + " || ".join(one(at) for at in (1, 3, 5))
+
+
+@query(f"{UMATRIX}, z AS (SELECT neuron, round(u, 6) AS u, round(min(u) OVER (), 6) AS lo, round(max(u) OVER (), 6) AS hi FROM um) SELECT neuron, {_ramp_sql('u', 'lo', 'hi', 'umatrix')} AS colour FROM z")
+def umatrix_colours(spark, sf):
+    made = umatrix(spark, sf)
+    span = made.agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
+    return made.join(F.broadcast(span), F.lit(True)).select("neuron", colours.ramp(F.col("u"), F.col("lo"), F.col("hi"), colours.RAMPS["umatrix"]).alias("colour"))
+
+
 @query(f"""{ASSIGNED}, {GRID_SQL}, c AS (SELECT bmu, count(*) AS hits, avg(dist) AS e FROM a GROUP BY 1),
   w AS (SELECT neuron, coalesce(hits, 0) AS hits, coalesce(e, 0) AS e FROM grid LEFT JOIN c ON bmu = neuron)
   SELECT neuron, hits, round(hits::DOUBLE / max(hits) OVER (), 6) AS frequency, round(e / max(e) OVER (), 6) AS quantization FROM w""")
@@ -210,21 +233,34 @@ def moved_label(spark, sf):
     return som.move_label(t.assigned(spark, sf), "2", 7).select("row_id", "bmu")
 
 
-@query(f"WITH {VECTORS}, {BOOK}, {GRID_SQL} SELECT grid.neuron, row, col, w[4] AS value FROM grid JOIN book ON book.neuron = grid.neuron")
+@query(f"{_epoch_sql(2)} SELECT grid.neuron, row, col, round(w[4], 6) AS value FROM grid JOIN b2 ON b2.neuron = grid.neuron")
 def component_plane(spark, sf):
-    return som.component_plane(_book(spark, sf), 3)
+    return som.component_plane(_book(spark, sf), 3).withColumn("value", F.round("value", 6))
+
+
+@query(f"{_epoch_sql(2)}, z AS (SELECT neuron, round(w[4], 6) AS u, round(min(w[4]) OVER (), 6) AS lo, round(max(w[4]) OVER (), 6) AS hi FROM b2) SELECT neuron, {_ramp_sql('u', 'lo', 'hi', 'viridis')} AS colour FROM z")
+def component_colours(spark, sf):
+    made = component_plane(spark, sf)
+    span = made.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return made.join(F.broadcast(span), F.lit(True)).select("neuron", colours.ramp(F.col("value"), F.col("lo"), F.col("hi"), colours.RAMPS["viridis"]).alias("colour"))
 
 
 def _clusters(spark):
     return spark.range(M).select(F.col("id").cast("int").alias("neuron"), (F.col("id") % 3).cast("int").alias("cluster"))
 
 
-@query(f"""WITH {GRID_SQL}, o AS (SELECT * FROM (VALUES (0, 0, -1), (0, 0, 1), (0, -1, -1), (0, -1, 0), (0, 1, -1), (0, 1, 0),
+@query(f"""{ASSIGNED}, {GRID_SQL}, o AS (SELECT * FROM (VALUES (0, 0, -1), (0, 0, 1), (0, -1, -1), (0, -1, 0), (0, 1, -1), (0, 1, 0),
     (1, 0, -1), (1, 0, 1), (1, -1, 0), (1, -1, 1), (1, 1, 0), (1, 1, 1)) t(odd, dr, dc)),
-  n AS (SELECT neuron, neuron % 3 AS cluster, row + dr AS nrow, col + dc AS ncol FROM grid JOIN o ON odd = row % 2)
-  SELECT n.neuron, n.nrow, n.ncol FROM n LEFT JOIN grid g ON g.row = n.nrow AND g.col = n.ncol WHERE g.neuron IS NULL OR g.neuron % 3 <> n.cluster""")
+  m AS (SELECT bmu, label, row_number() OVER (PARTITION BY bmu ORDER BY count(*) DESC, label) AS rn FROM a GROUP BY 1, 2),
+  c AS (SELECT grid.*, coalesce(label, '') AS cluster FROM grid LEFT JOIN m ON bmu = neuron AND rn = 1),
+  n AS (SELECT neuron, cluster, row + dr AS nrow, col + dc AS ncol FROM c JOIN o ON odd = row % 2)
+  SELECT n.neuron, n.nrow, n.ncol FROM n LEFT JOIN c ON c.row = n.nrow AND c.col = n.ncol WHERE c.neuron IS NULL OR c.cluster <> n.cluster""")
 def cluster_borders(spark, sf):
-    return som.cluster_borders(som.hex_grid(spark, ROWS, COLS), _clusters(spark))
+    """Borders between neurons whose rows are mostly of different labels."""
+    grid = som.hex_grid(spark, ROWS, COLS)
+    counts = t.assigned(spark, sf).groupBy(F.col("bmu").alias("neuron"), "label").agg(F.count("*").alias("n"))
+    most = counts.groupBy("neuron").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("cluster"))
+    return som.cluster_borders(grid, grid.select("neuron").join(most, "neuron", "left").na.fill("", ["cluster"]))
 
 
 @query(f"{ASSIGNED} SELECT row_id, label, (bmu % 3)::INT AS cluster FROM a")
@@ -247,6 +283,23 @@ def _plane_points(spark, sf):
     return t.plane(spark, sf).select("id", F.array("x", "y").alias("features"))
 
 
+@query(f"""WITH {PLANE}, w AS (SELECT id AS row_id, category AS label, x, y FROM p), l0 AS (SELECT row_id, label, x, y, lag(x) OVER w AS xa, lag(y) OVER w AS ya, lead(x) OVER w AS xc, lead(y) OVER w AS yc, lead(x, 2) OVER w AS xd, lead(y, 2) OVER w AS yd
+    FROM w WINDOW w AS (PARTITION BY label ORDER BY row_id)),
+  q AS (SELECT row_id, label, coalesce(xa, 2 * x - xc) AS x0, coalesce(ya, 2 * y - yc) AS y0, x AS x1, y AS y1, xc AS x2, yc AS y2, coalesce(xd, 2 * xc - x) AS x3, coalesce(yd, 2 * yc - y) AS y3 FROM l0 WHERE xc IS NOT NULL),
+  d AS (SELECT *, greatest(((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.25, 1e-9) AS d0, greatest(((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.25, 1e-9) AS d1,
+    greatest(((x3 - x2) ** 2 + (y3 - y2) ** 2) ** 0.25, 1e-9) AS d2 FROM q),
+  s AS (SELECT *, d1 * piece / 4 AS t FROM d, range(5) r(piece)),
+  u AS (SELECT row_id, label, piece, d0, d1, d2, t, unnest(['x', 'y']) AS axis, unnest([x0, y0]) AS q0, unnest([x1, y1]) AS q1, unnest([x2, y2]) AS q2, unnest([x3, y3]) AS q3 FROM s),
+  l AS (SELECT *, -t / d0 * q0 + (t + d0) / d0 * q1 AS a1, (d1 - t) / d1 * q1 + t / d1 * q2 AS a2, (d1 + d2 - t) / d2 * q2 + (t - d1) / d2 * q3 AS a3 FROM u),
+  m AS (SELECT *, (d1 - t) / (d1 + d0) * a1 + (t + d0) / (d1 + d0) * a2 AS b1, (d1 + d2 - t) / (d1 + d2) * a2 + t / (d1 + d2) * a3 AS b2 FROM l),
+  o AS (SELECT row_id, label, piece, axis, round((d1 - t) / d1 * b1 + t / d1 * b2, 5) + 0.0 AS v FROM m)
+  SELECT label AS entity, row_id, piece::INT AS piece, max(CASE WHEN axis = 'x' THEN v END) AS x, max(CASE WHEN axis = 'y' THEN v END) AS y FROM o GROUP BY 1, 2, 3""")
+def trajectory_splines(spark, sf):
+    """Curves through the vectors' first two components, a curve for each label."""
+    places = t.plane(spark, sf).select(F.col("category").alias("entity"), F.col("id").alias("row_id"), "x", "y")
+    return temporal.spline(places, 4).select("entity", "row_id", "piece", *[(F.round(c, 5) + 0.0).alias(c) for c in "xy"])
+
+
 @query(f"""WITH RECURSIVE {PLANE}, st AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM p),
   z AS (SELECT id, (x - mx) / sx AS x, (y - my) / sy AS y FROM p, st),
   near AS (SELECT a.id AS a, b.id AS b FROM z a JOIN z b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.15),
@@ -414,6 +467,27 @@ def label_tiers(spark, sf):
     return neighbours.label_tiers(sizes)
 
 
+@query(f"""WITH {LABELLED}, d AS (SELECT id, unnest(range(1, len(f) + 1)) AS k, unnest(f) AS x FROM v), m AS (SELECT k, avg(x) AS m FROM d GROUP BY 1),
+  z AS (SELECT id, k, x - m AS x FROM d JOIN m USING (k)),
+  c AS (SELECT a.k AS i, b.k AS j, sum(a.x * b.x) / ((SELECT count(*) FROM v) - 1) AS s FROM z a JOIN z b USING (id) GROUP BY 1, 2),
+  c2 AS (SELECT a.i, b.j, sum(a.s * b.s) AS s FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2)
+  SELECT round((SELECT sum(s) FROM c WHERE i = j), 6) AS power1, round((SELECT sum(s) FROM c2 WHERE i = j), 6) AS power2,
+    round((SELECT sum(c.s * c2.s) FROM c JOIN c2 ON c.i = c2.j AND c.j = c2.i), 6) AS power3""")
+def pca_spectrum(spark, sf):
+    """Power sums of the variances on all principal axes: those of the covariance matrix's eigenvalues, its traces."""
+    points = _points(spark, sf)
+    width = len(points.first()["features"])
+    long = neighbours.pca(points, width).select(F.posexplode("scores").alias("k", "x"))
+    spread = long.groupBy("k").agg(F.var_samp("x").alias("v"))
+    return spread.agg(*[F.round(F.sum(F.pow("v", F.lit(float(p)))), 6).alias(f"power{p}") for p in (1, 2, 3)])
+
+
+@query()
+def neighbour_descent(spark, sf):
+    """Approximate, so tested by its recall."""
+    return descent.approximate_knn(_points(spark, sf), 10)
+
+
 @query()
 def pca_projection(spark, sf):
     """Tested by its variances; signs are fixed, not SQL's."""

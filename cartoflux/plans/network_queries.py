@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoflux.functions import text
@@ -226,6 +229,14 @@ _component_query("min_max", "(value - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - l
 _component_query("z_score", "(value - mid) / CASE WHEN dev = 0 THEN 1 ELSE dev END")
 
 
+@query(f"WITH {EVENT_CELLS} SELECT row_id, component, kind, round(value, 6) + 0.0 AS value FROM cells, (VALUES ('div_max'), ('min_max'), ('z_score')) k(kind)")
+def norm_reverted(spark, sf):
+    """Each normalisation and back: the original values."""
+    cells = t.event_cells(spark, sf).select("row_id", "component", "value")
+    back = [norm.inverse_components(norm.normalise_components(cells, kind), cells, kind).withColumn("kind", F.lit(kind)) for kind in norm.COMPONENT]
+    return reduce(DataFrame.union, back).select("row_id", "component", "kind", (F.round("value", 6) + 0.0).alias("value"))
+
+
 def _cooc_query(kind: str, divisor: str):
     def run(spark, sf):
         return norm.normalise(_brand_net(spark, sf).adjacency, kind, "monothematic").withColumn("value", F.round("value", 9))

@@ -193,6 +193,16 @@ def profile_rows(spark, sf):
     return made.select((F.col("row_id") - 1).alias("row_id"), "label", *[F.col("features")[i].alias(n) for i, n in enumerate(names)])
 
 
+@query("""SELECT p_partkey AS row_id, p_size::DOUBLE AS a, CASE WHEN p_partkey % 2 = 0 THEN 0.0 ELSE p_retailprice END::DOUBLE AS b FROM part""")
+def number_rows(spark, sf):
+    k = F.col("p_partkey")
+    line = F.concat_ws(";", F.concat(F.lit(" "), F.col("p_size").cast("string")), F.when(k % 2 == 0, F.lit("12 kg")).otherwise(F.concat(F.lit('"'), F.col("p_retailprice").cast("string"), F.lit('"'))))
+    rows = t.read(spark, sf, "part").select(k.alias("pos"), line.alias("line"))
+    odd = spark.createDataFrame([(-2, "size;price"), (-1, "  ")], "pos long, line string")
+    made = matrices.number_rows(odd.unionByName(rows), ";")
+    return made.select("row_id", *[F.col("features")[i].alias(n) for i, n in enumerate("ab")])
+
+
 # keywords, streams and topics
 
 #: What the query leaves out: common English words, which its SQL has to name, and the library's own.
@@ -228,12 +238,11 @@ def windowed_events(spark, sf):
 @query()
 def semantic_topics(spark, sf):
     """Text to topics: hashed embeddings, principal axes, clusters and keyword labels."""
-    from cartoflux.operators.clustering import kmeans
     from cartoflux.operators.neighbours import pca
 
     docs = t.read(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("concatenated_text"))
     points = semantic.embed(docs)
     scores = pca(points, 2).select("id", F.col("scores")[0].alias("x"), F.col("scores")[1].alias("y"))
-    placed = kmeans(points, 4).select("id", "cluster").join(scores, "id")
+    placed = semantic.fallback(points).join(scores, "id")
     titles = docs.select(F.col("row_id").alias("id"), F.col("concatenated_text").alias("title"))
     return semantic.topics(placed, titles, 20, 2)[0].select("path", "level", "label", "size")

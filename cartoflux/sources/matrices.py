@@ -63,8 +63,12 @@ def profile_rows(text: DataFrame, label_index: int = 0, ignore: tuple[int, ...]
 
 def read_numbers(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(row_id, features) of a file without labels; a first row with any field that is no number is a header."""
-    text = numbered(spark, path).filter(strip(F.col("line")) != "")
-    parsed = text.select(F.col("pos").cast("long").alias("row_id"), fields(F.col("line"), sep).alias("f"))
+    return number_rows(numbered(spark, path), sep)
+
+
+def number_rows(text: DataFrame, sep: str = ",") -> DataFrame:
+    """(row_id, features) of lines (pos, line), blank ones left out."""
+    parsed = text.filter(strip(F.col("line")) != "").select(F.col("pos").cast("long").alias("row_id"), fields(F.col("line"), sep).alias("f"))
     header = F.exists("f", lambda v: strip(v).try_cast("double").isNull())
     first = parsed.agg(F.min_by(F.struct("row_id", header.alias("header")), "row_id").alias("first"))
     joined = parsed.join(F.broadcast(first), F.lit(True)).filter(~(F.col("first.header") & (F.col("row_id") == F.col("first.row_id"))))
