@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cartoflux.functions.settle import settled
 from cartoflux.functions.text import title_case
 
 #: Words of no use in keywords, Spanish ones and those of any paper.
@@ -44,12 +45,15 @@ def term_scores(titles: DataFrame, by: str | None = None, most: int = 1000, stop
     """
     keys = [by] if by else []
     kept = titles.select(*keys, "id", words(F.col("title"), stop_words() if stop is None else stop).alias("kept"))
-    terms = kept.select(*keys, "id", F.explode(grams(F.col("kept"))).alias("term")).groupBy(*keys, "id", "term").agg(F.count("*").alias("tf"))
+    terms = kept.select(*keys, "id", F.explode(grams(F.col("kept"))).alias("term"))
+    # the vocabulary first, from counts that are added up before their shuffle: only its terms are then followed by title
+    totals = terms.groupBy(*keys, "term").agg(F.count("*").alias("total"))
+    ranked = totals.withColumn("rn", F.row_number().over(W.partitionBy(*keys or [F.lit(1)]).orderBy(F.desc("total"), "term"))).filter(F.col("rn") <= most)
+    tf = settled(terms.join(ranked.select(*keys, "term"), [*keys, "term"]).groupBy(*keys, "id", "term").agg(F.count("*").alias("tf")))
     sizes = titles.groupBy(*keys).agg(F.count("*").alias("n"))
-    df = terms.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    ranked = df.withColumn("rn", F.row_number().over(W.partitionBy(*keys or [F.lit(1)]).orderBy(F.desc("total"), "term"))).filter(F.col("rn") <= most)
-    ranked = (ranked.join(sizes, keys) if keys else ranked.join(F.broadcast(sizes), F.lit(True))).withColumn("idf", F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighted = terms.join(ranked.select(*keys, "term", "idf"), [*keys, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    df = (df.join(sizes, keys) if keys else df.join(F.broadcast(sizes), F.lit(True))).withColumn("idf", F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    weighted = tf.join(df.select(*keys, "term", "idf"), [*keys, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     lengths = weighted.groupBy(*keys, "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(lengths, [*keys, "id"]).groupBy(*keys, "term").agg(F.sum(F.col("w") / F.col("norm")).alias("score"))
 

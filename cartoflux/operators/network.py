@@ -86,10 +86,11 @@ SALTED = 1000
 
 
 def coupling(refs: DataFrame, least: int = 1) -> DataFrame:
-    """Pairs of papers with the number of references they share. The papers that cite a reference are dealt to
-    salts by their number, and each part meets all of them, so a much cited one is spread over many tasks."""
-    counted = refs.groupBy("term").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
-    rows = refs.join(counted, "term")
+    """Pairs of papers with the number of references they share. The papers that cite a reference more than SALTED
+    times are dealt to salts by their number, and each part meets all of them, so a much cited one is spread over many
+    tasks; the others, nearly all, have one salt and are met by no list but that of the much cited."""
+    much = refs.groupBy("term").count().filter(F.col("count") > SALTED).select("term", F.ceil(F.col("count") / SALTED).cast("int").alias("many"))
+    rows = refs.join(much, "term", "left").withColumn("salts", F.coalesce("many", F.lit(1)))
     a = rows.select("term", F.col("doc_id").alias("source"), F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
     b = rows.select("term", F.col("doc_id").alias("target"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     return a.join(b, ["term", "salt"]).filter("source < target").groupBy("source", "target").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
