@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartoflux.functions.arrays import matrix, summed
+from cartoflux.sources.scan import ranked
 
 METRICS = ("euclidean", "manhattan", "canberra")
 #: The largest grid; its codebook is broadcast and its grid distances are held on the driver.
@@ -248,6 +249,13 @@ def hit_and_error_map(assigned: DataFrame, grid: DataFrame) -> DataFrame:
     return whole.select("neuron", "hits", over("hits").alias("frequency"), over("error").alias("quantization"))
 
 
+def label_places(assigned: DataFrame, label: str = "label", order: str = "row_id") -> DataFrame:
+    """(neuron, place, label): each neuron's labels numbered from 0 in row order, a row for each; for maps whose neurons
+    win more rows than one list should hold."""
+    rows = assigned.select(F.col("bmu").alias("neuron"), F.col(order).alias("order"), F.col(label).alias("label"))
+    return ranked(rows, "order", "place", "neuron").select("neuron", "place", "label")
+
+
 def mapped_labels(assigned: DataFrame, label: str = "label", order: str = "row_id") -> DataFrame:
     """Each neuron's labels in row order."""
     kept = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(label)))), lambda s: s.getField(label))

@@ -222,6 +222,11 @@ def mapped_labels(spark, sf):
     return som.mapped_labels(t.assigned(spark, sf)).select("neuron", F.array_join("labels", " ").alias("labels"))
 
 
+@query(f"{ASSIGNED} SELECT bmu::INT AS neuron, row_number() OVER (PARTITION BY bmu ORDER BY row_id) - 1 AS place, label FROM a")
+def label_places(spark, sf):
+    return som.label_places(t.assigned(spark, sf))
+
+
 @query(f"""{ASSIGNED} SELECT row_id, label, bmu::INT AS bmu FROM (SELECT *, row_number() OVER (PARTITION BY bmu ORDER BY row_id) AS rn FROM a WHERE label <> '3') WHERE rn <= 4""")
 def visible_labels(spark, sf):
     hidden = spark.createDataFrame([("3",)], "label string")

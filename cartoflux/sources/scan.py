@@ -58,11 +58,11 @@ def placed(text_lines: DataFrame) -> DataFrame:
 RUN = 100_000
 
 
-def ranked(records: DataFrame, number: str, name: str) -> DataFrame:
-    """Adds each record's rank (from 0) in its file, in order of a number of which few are left out: ranks within runs
-    of numbers, plus the records of earlier runs."""
+def ranked(records: DataFrame, number: str, name: str, by: str = "file") -> DataFrame:
+    """Adds each record's rank (from 0) in its file, or other group, in order of a number of which few are left out:
+    ranks within runs of numbers, plus the records of earlier runs."""
     rows = records.withColumn("__run", F.floor(F.col(number) / RUN))
-    runs = rows.groupBy("file", "__run").count()
-    runs = runs.select("file", "__run", F.coalesce(F.sum("count").over(W.partitionBy("file").orderBy("__run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = F.row_number().over(W.partitionBy("file", "__run").orderBy(number)) - 1
-    return rows.withColumn("__own", own).join(runs, ["file", "__run"]).withColumn(name, F.col("__own") + F.col("__before")).drop("__run", "__own", "__before")
+    runs = rows.groupBy(by, "__run").count()
+    runs = runs.select(by, "__run", F.coalesce(F.sum("count").over(W.partitionBy(by).orderBy("__run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(W.partitionBy(by, "__run").orderBy(number)) - 1
+    return rows.withColumn("__own", own).join(runs, [by, "__run"]).withColumn(name, F.col("__own") + F.col("__before")).drop("__run", "__own", "__before")
