@@ -209,7 +209,10 @@ def _count_pairs(shared):
 
 
 _SIDES = "bucket int, keys binary, others binary, counts binary"
-_CONTEXTS = "units binary, sizes binary, others binary, counts binary"
+#: Units with their neighbours after and before them, as columns of their own: sums by class read one side only.
+_SIDE = {"units": "<i4", "sizes": "<i4", "others": "<i4", "counts": "<i8"}
+_AFTER, _BEFORE = ([f"{c}_{side}" for c in _SIDE] for side in ("after", "before"))
+_CONTEXTS = ", ".join(f"{c} binary" for c in [*_AFTER, *_BEFORE])
 
 
 def _split_sides(buckets: int):
@@ -256,16 +259,19 @@ def _pack(table: pa.Table) -> pa.Table:
         # a unit's two keys stay together; a block has one unit at least
         b = max(a + 1, min(a + 2 * BLOCK_UNITS, int(np.searchsorted(ends, starts[a] + BLOCK_PAIRS, "right"))))
         b += b < len(starts) and key[starts[b]] // 2 == key[starts[b - 1]] // 2
-        at = slice(starts[a], ends[b - 1])
-        rows.append((key[starts[a:b]].astype("<i4").tobytes(), (ends - starts)[a:b].astype("<i4").tobytes(), other[at].astype("<i4").tobytes(), n[at].astype("<i8").tobytes()))
+        at, keys, sizes, row = slice(starts[a], ends[b - 1]), key[starts[a:b]], (ends - starts)[a:b], []
+        for side in (0, 1):
+            mine = keys % 2 == side
+            entries = np.repeat(mine, sizes)
+            row += [c.astype(t).tobytes() for c, t in zip((keys[mine] // 2, sizes[mine], other[at][entries], n[at][entries]), _SIDE.values(), strict=True)]
+        rows.append(row)
         a = b
-    columns = zip(*rows, strict=True) if rows else [[]] * 4
-    return pa.table([pa.array(c, pa.binary()) for c in columns], names=["units", "sizes", "others", "counts"])
+    columns = zip(*rows, strict=True) if rows else [[]] * 8
+    return pa.table([pa.array(c, pa.binary()) for c in columns], names=[*_AFTER, *_BEFORE])
 
 
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    for i in range(len(batch)):
-        yield tuple(np.frombuffer(c[i].as_buffer(), t) for c, t in zip(batch.columns, ("<i4", "<i4", "<i4", "<i8"), strict=True))
+def _unpacked(batch: pa.RecordBatch, i: int, side: list[str]) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in zip(side, _SIDE.values(), strict=True))
 
 
 def _sum_groups(shared, groups: int):
@@ -275,10 +281,9 @@ def _sum_groups(shared, groups: int):
         of = shared.value
         total = np.zeros(groups * groups, np.int64)
         for batch in batches:
-            for keys, sizes, others, n in _unpacked(batch):
-                after = np.repeat(keys % 2 == 0, sizes)
-                codes = np.repeat(of[keys // 2] * groups, sizes)[after] + of[others[after]]
-                total += np.bincount(codes, n[after], len(total)).astype(np.int64)
+            for i in range(len(batch)):
+                units, sizes, others, n = _unpacked(batch, i, _AFTER)
+                total += np.bincount(np.repeat(of[units] * groups, sizes) + of[others], n, len(total)).astype(np.int64)
         codes = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(total[codes])], names=["code", "n"])
 
@@ -287,7 +292,7 @@ def _sum_groups(shared, groups: int):
 
 def _group_pairs(contexts: DataFrame, of: np.ndarray, groups: int) -> np.ndarray:
     """Counts of pairs of groups, [before, after]: as many cells as groups allow, whatever the corpus."""
-    sums = contexts.mapInArrow(_sum_groups(contexts.sparkSession.sparkContext.broadcast(of), groups), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    sums = contexts.select(*_AFTER).mapInArrow(_sum_groups(contexts.sparkSession.sparkContext.broadcast(of), groups), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     out = np.zeros(groups * groups)
     for r in sums.collect():
         out[r["code"]] = r["n"]
@@ -318,15 +323,18 @@ def _mover(shared, classes: int, turn: int):
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, between = shared.value
         for batch in batches:
-            for keys, sizes, others, n in _unpacked(batch):
-                turns = (keys // 2 + turn) % 2 == 0
-                mine = np.repeat(turns, sizes)
-                keys, sizes, others, n = keys[turns], sizes[turns], others[mine], n[mine]
-                units, row = np.unique(keys // 2, return_inverse=True)
-                cells = (np.repeat(row * 2 + keys % 2, sizes)) * classes + of[others]
-                sums = np.bincount(cells, n, len(units) * 2 * classes).reshape(len(units), 2, classes)
+            for i in range(len(batch)):
+                sides = [_unpacked(batch, i, side) for side in (_AFTER, _BEFORE)]
+                units = np.unique(np.concatenate([side[0] for side in sides]))
+                units = units[(units + turn) % 2 == 0]
+                sums = []
+                for own, sizes, others, n in sides:
+                    turns = (own + turn) % 2 == 0
+                    mine = np.repeat(turns, sizes)
+                    cells = np.repeat(np.searchsorted(units, own[turns]) * classes, sizes[turns]) + of[others[mine]]
+                    sums.append(np.bincount(cells, n[mine], len(units) * classes).reshape(len(units), classes))
                 now = of[units]
-                new = best_classes(sums[:, 0], sums[:, 1], now, between)
+                new = best_classes(*sums, now, between)
                 moved = (new != now) & (now != classes - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(units[moved].astype("i8")), pa.array(new[moved].astype("i8"))], names=["unit", "class"])
 
@@ -354,7 +362,9 @@ def cluster(train: DataFrame, common: list[bytes], stage: Staging, rounds: int =
         of = of.copy()
         of[moved.column("unit").to_numpy()] = moved.column("class").to_numpy()
     assert len(of) == units
-    return of, _group_pairs(contexts, of, classes)
+    between = _group_pairs(contexts, of, classes)
+    stage.drop("contexts")
+    return of, between
 
 
 @dataclass
