@@ -18,8 +18,8 @@ multiplied with the queries that took that leaf only, and each query's ``k`` + 1
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do
 those of another length than most (the longer, if two lengths tie), as they have no inner product with
-the others; rows repeated with one id are one candidate, which is none for a query of that id; extra
-columns are ignored; with fewer candidates than ``k`` all are returned; an empty table gives no rows.
+the others; rows repeated are candidates each, and queries each, only a query's own row is none; equal
+scores go to the smaller id; extra columns are ignored; with fewer candidates than ``k`` all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations

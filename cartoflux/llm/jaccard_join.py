@@ -16,8 +16,8 @@ Tiles are found in one shuffle: each task sorts its own keys, keeps one set for
 the others as they are, so that a key that a third of the rows share brings one row for each task's block.
 
 Edge cases: a null, empty or blank text has an empty set, which links with nothing, not even its like; with
-fewer words than ``n`` the whole sequence is the one shingle; rows repeated are linked; columns other than
-doc_id and text are ignored; an empty table gives no rows. Sets are told apart by 64-bit hashes.
+fewer words than ``n`` the whole sequence is the one shingle; rows repeated are linked; very long
+texts are worked through whole; columns other than doc_id and text are ignored; an empty table gives no rows. Sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ string of a file in one Aho-Corasick pass and lets each format's validator confi
 ``examine`` takes (declared_type, media), gives the true type whatever was declared, says whether the two
 differ, and carves the files embedded in the media with their bytes; op8 goes through it.
 
-Edge cases: a null text is an empty one; an empty payload is padded to one block of 64 zero bytes; repeated
+Edge cases: a null text is an empty one; very long texts are stored and examined whole; an empty table gives no rows; an empty payload is padded to one block of 64 zero bytes; repeated
 rows are stored alike; columns other than doc_id and text are ignored; bytes that look like a signature
 but fail validation are no media; null media are of unknown type, as is a declared type that is null; an Ogg
 stream needs its end page, a FLAC file all the samples that it announces.

@@ -2,8 +2,8 @@
 popped again and again, and the count is the initial symbols less the merges; no identifiers are made.
 
 Characters without a piece count as their UTF-8 bytes. Edge cases: a null or empty text has no tokens;
-rows repeated are counted each; a long run without spaces is one chunk, merged in n log n; columns other
-than doc_id and text are ignored.
+rows repeated are counted each; a long run without spaces is one chunk, merged in n log n; very
+long texts are counted whole; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 to an exact hash join, which removes the false positives.
 
 Edge cases: a null url or one without ``://`` has an empty host and an empty path and fits no rule; rules
-with a null or empty host are ignored; a rule listed twice counts once; of two rules of one length the
+with a null or empty host are ignored; very long urls are judged whole; rows repeated are judged each; a rule listed twice counts once; of two rules of one length the
 one with the longer host wins, then the smaller rule text (a text with two verdicts: block); extra
 columns of the pages are not returned; an empty page or rule table gives no rows or no rule.
 """
