@@ -1,4 +1,5 @@
 import hashlib
+import re
 import struct
 import zlib
 
@@ -98,3 +99,25 @@ def test_declared_types_are_corrected_and_files_carved(spark):
     }
     carved = {i: [(p.format, p.start, bytes(p.bytes)) for p in r.parts] for i, r in found.items() if r.parts}
     assert carved == {1: [("pdf", 44, pdf())], 2: [("pdf", 44, pdf())], 5: [("flac", 0, flac()), ("gif", len(flac()), GIF)]}
+
+
+def test_features_are_told_whole(spark):
+    """The feature of each text: the stored form, its samples, and every file that the text itself holds."""
+    inside = "see " + pdf().decode("latin-1") + " and more"
+    texts = [None, "", "plain", "x" * 64, inside]
+    found = {r.doc_id: r for r in media_columns(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        payload = (text or "").encode()
+        payload += bytes(-len(payload) % 64 if payload else 64)
+        places = [m.start() for m in re.finditer(b"%PDF-1", payload)]
+        carved = "".join(f";pdf@{44 + at}+{len(pdf())}" for at in places)
+        assert found[i].feature == f"wav;samples={len(payload)};embedded={len(places)}{carved}"
+        assert found[i].payload_sha256 == hashlib.sha256(payload).hexdigest()
+    assert media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    rows = spark.createDataFrame([(1, "flac", flac(), "mine", "his", "hers")], "id long, declared_type string, media binary, parts string, true_type string, mismatch string")
+    made = examine(rows)
+    assert made.columns == ["id", "declared_type", "media", "true_type", "mismatch", "parts"]
+    assert tuple(made.select("true_type", "mismatch").first()) == ("flac", False)
