@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cartoflux.functions.settle import settled
+
 #: Bits that a pass settles.
 BITS = 16
+#: Groups times ranks that are broadcast.
+BROADCAST_ROWS = 100_000
 
 _LEAST_EXPONENT, _MANTISSA = -1022, 52
 
@@ -40,21 +44,28 @@ def at_ranks(rows: DataFrame, value: str, ranks: dict[str, Column], by: Sequence
     without any value is left out, also where there is only one group."""
     # a struct as the key: nulls in it are equal to each other, and no name of it can clash with those used here
     key = F.struct(F.lit(1).alias("one"), *by).alias("key")
-    own = rows.select(key, F.col(value).cast("double").alias("value")).filter("value IS NOT NULL AND NOT isnan(value)").withColumn("bits", ordered_bits(F.col("value")))
-    sizes = own.groupBy("key").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    own = rows.select(key, F.col(value).cast("double").alias("value")).filter("value IS NOT NULL AND NOT isnan(value)")
+    own = settled(own.withColumn("bits", ordered_bits(F.col("value"))))  # each pass reads them, whatever work they took
+    leads = settled(own.groupBy("key", F.shiftright("bits", 64 - BITS).alias("lead")).agg(F.count("*").alias("count"), F.min("value").alias("found"), F.max("value").alias("most")))
+    sizes = leads.groupBy("key").agg(F.sum("count").alias("n"), F.min("found").alias("lo"), F.max("most").alias("hi"))
+    # the wanted values go to all tasks if there are so few, which is checked; else they are joined
+    few = leads.select("key").distinct().count() * len(ranks) <= BROADCAST_ROWS
+    sent = F.broadcast if few else lambda df: df
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))
     found = sizes.select("key", wanted.alias("want")).select("key", "want.name", "want.rank", F.lit(0).cast("long").alias("lead")).filter("rank >= 0")
     for shift in range(64 - BITS, -1, -BITS):
-        first = shift == 64 - BITS
-        above = F.lit(0).cast("long") if first else F.shiftright("bits", shift + BITS)
-        inside = own.select("key", "value", above.alias("above"), F.shiftright("bits", shift).alias("lead"))
-        if not first:  # only what shares the leading bits of a wanted value: a few of the values
-            inside = inside.join(found.select("key", F.col("lead").alias("above")).distinct(), ["key", "above"], "left_semi")
-        counted = inside.groupBy("key", "above", "lead").agg(F.count("*").alias("count"), F.min("value").alias("found"))
-        met = found.select("key", "name", "rank", F.col("lead").alias("above")).join(counted, ["key", "above"])
+        if shift == 64 - BITS:
+            counted = leads.select("key", F.lit(0).cast("long").alias("above"), "lead", "count", "found", "most")
+        else:  # only what shares the leading bits of a wanted value: a few of the values
+            inside = own.select("key", "value", F.shiftright("bits", shift + BITS).alias("above"), F.shiftright("bits", shift).alias("lead"))
+            inside = inside.join(sent(found.select("key", F.col("lead").alias("above")).distinct()), ["key", "above"], "left_semi")
+            counted = inside.groupBy("key", "above", "lead").agg(F.count("*").alias("count"), F.min("value").alias("found"), F.max("value").alias("most"))
+        met = counted.join(sent(found.select("key", "name", "rank", F.col("lead").alias("above"))), ["key", "above"])
         met = met.withColumn("before", F.sum("count").over(W.partitionBy("key", "name").orderBy("lead")) - F.col("count"))
         met = met.filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("count")))
-        found = met.select("key", "name", (F.col("rank") - F.col("before")).alias("rank"), "lead", "found")
+        found = settled(met.select("key", "name", (F.col("rank") - F.col("before")).alias("rank"), "lead", "found", "most"))
+        if not found.filter("found <> most").take(1):
+            break  # every wanted value is known
     wide = found.groupBy("key").agg(*[F.max(F.when(F.col("name") == name, F.col("found"))).alias(name) for name in ranks])
     return sizes.join(wide, "key", "left").select(*[F.col(f"key.{k}") for k in by], "n", "lo", "hi", *ranks)
 

@@ -47,3 +47,12 @@ def test_percentiles_of_all_rows(spark):
     r = percentiles(rows, "v", {"p50": 0.5, "p90": 0.9, "p0": 0.0, "p100": 1.0}).first()
     assert np.allclose([r["p50"], r["p90"], r["p0"], r["p100"]], np.percentile(x, [50, 90, 0, 100])) and r["n"] == 777
     assert percentiles(rows.limit(0), "v", {"p50": 0.5}).count() == 0
+
+
+def test_many_groups_are_joined(spark, monkeypatch):
+    monkeypatch.setattr("cartoflux.operators.selection.BROADCAST_ROWS", 3)
+    rows = spark.createDataFrame([(i % 7, float((i * 37) % 101)) for i in range(500)], "g int, v double")
+    got = {r["g"]: r["half"] for r in at_ranks(rows, "v", {"half": F.floor(F.col("n") / 2)}, ["g"]).collect()}
+    for g in range(7):
+        vs = sorted(float((i * 37) % 101) for i in range(500) if i % 7 == g)
+        assert got[g] == vs[len(vs) // 2]
