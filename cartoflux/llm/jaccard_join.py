@@ -250,9 +250,32 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
     return np.minimum(na - alone(a, b), nb - alone(b, a))
 
 
-def _tile_pairs(percent: int):
+#: Rounds in which a tile's components are joined by best pairs, before all pairs across them are compared.
+FORESTS = 2
+
+
+def _forest(pairs: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int]]:
+    """Of pairs (a, b, component of a, of b, share by the bound) those that would join components, best first: no more
+    than there are components."""
+    a, b, of_a, of_b, share = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    for k in np.argsort(-share, kind="stable").tolist():
+        x, y = top(int(of_a[k])), top(int(of_b[k]))
+        if x != y:
+            root[x] = y
+            yield int(a[k]), int(b[k])
+
+
+def _tile_pairs(percent: int, forest: bool):
     """Pairs of two blocks of a tile that are of different components and may link by the bound, for all the
-    pairs of blocks of a bucket."""
+    pairs of blocks of a bucket; all of them, or as many as join the components if all do link."""
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("tile", "ascending"), ("i", "ascending"), ("j", "ascending")])
@@ -266,6 +289,7 @@ def _tile_pairs(percent: int):
             i, j = first[low], second[low]
             marks = folded(listed[low:high], min(map(len, listed[low:high]))) if high > low else None
             left, right = low + np.flatnonzero(own[low:high] == i), low + np.flatnonzero(own[low:high] == j)
+            found = []
             for at in range(0, len(left), 64):
                 rows = left[at : at + 64]
                 # signatures are compared only for pairs whose sizes and components leave a link possible
@@ -276,8 +300,12 @@ def _tile_pairs(percent: int):
                 for part_at in range(0, len(a), 16_384):
                     x, y = rows[a[part_at : part_at + 16_384]], right[b[part_at : part_at + 16_384]]
                     most = overlap_bound(marks[x - low], marks[y - low], sizes[x], sizes[y])
-                    for k in np.flatnonzero(100 * most >= percent * (sizes[x] + sizes[y] - most)).tolist():
-                        out.add((max(ids[x[k]], ids[y[k]]), min(ids[x[k]], ids[y[k]])))
+                    whole = sizes[x] + sizes[y] - most
+                    k = np.flatnonzero(100 * most >= percent * whole)
+                    x, y = x[k], y[k]
+                    found.append((np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), part[x], part[y], most[k] / np.maximum(whole[k], 1)))
+            if found:
+                out.update(_forest(found) if forest else (pair for f in found for pair in zip(f[0].tolist(), f[1].tolist(), strict=True)))
         columns = zip(*out, strict=True) if out else [[], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
@@ -367,21 +395,32 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     sizes = members.groupBy("tile").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("m")).alias("same"))
     chosen = stage.table(sizes.groupBy("size", "same").agg(F.min("tile").alias("tile")).select("tile", "size"), "tiles")
     members = stage.table(members.join(chosen, "tile"), "chosen")
-    known = placed(held.select(F.col("id").alias("m"), "n", "mark").join(members.select("m").distinct(), "m").dropDuplicates(["m"]), "m")
+    marked = held.select(F.col("id").alias("m"), "n", "mark").join(members.select("m").distinct(), "m").dropDuplicates(["m"])
+    marked = stage.table(marked, "marked")
     # a large tile is compared block by block; each pair of blocks goes to one bucket, beside others
     rows = members.withColumn("blocks", F.ceil(F.col("size") / TILE_BLOCK).cast("int"))
     total = rows.agg(F.sum("blocks")).first()[0] or 0
     own = F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("own", own).withColumn("other", other).join(known, "m")
-    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "m", "own", "c_m", "n", "mark")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("tile", "i", "j"), F.lit(max(1024, total // BUCKET_ROWS))))
-    across = rows.groupBy("bucket").applyInArrow(_tile_pairs(percent), "a long, b long")
-    across = stage.table(across.distinct(), "across")
-    more = stage.table(_links(across, held, n, percent), "more")
-    edges = part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-    whole = stage.table(components(edges, stage, "d"), "whole")
-    stage.drop("stars", "texts", "near", "links", "part", "members", "tiles", "chosen", "across", "more")
+    rows = rows.withColumn("own", own).withColumn("other", other)
+
+    def compared(part: DataFrame, forest: bool, name: str) -> DataFrame:
+        known = marked.join(part.select(F.col("id").alias("m"), F.col("component").alias("c_m")), "m", "left").withColumn("c_m", F.coalesce("c_m", "m"))
+        met = rows.join(known, "m").select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "m", "own", "c_m", "n", "mark")
+        met = met.withColumn("bucket", F.pmod(F.xxhash64("tile", "i", "j"), F.lit(max(1024, total // BUCKET_ROWS))))
+        across = stage.table(met.groupBy("bucket").applyInArrow(_tile_pairs(percent, forest), "a long, b long").distinct(), f"across{name}")
+        more = stage.table(_links(across, held, n, percent), f"more{name}")
+        edges = part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+        found = stage.table(components(edges, stage, f"d{name}"), f"whole{name}")
+        stage.drop(f"across{name}", f"more{name}")
+        return found
+
+    # first only as many pairs as join the components if they link, so a group of many components that link with each
+    # other is one before all pairs across what is left are compared
+    for turn in range(FORESTS):
+        part = compared(part, True, str(turn))
+    whole = compared(part, False, "")
+    stage.drop("stars", "texts", "near", "links", "part", "members", "tiles", "chosen", "marked", *[f"whole{t}" for t in range(FORESTS)])
 
     least = sets.join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = least.groupBy("component").agg(F.min("doc").alias("component_id"))
