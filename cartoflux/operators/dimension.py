@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartoflux.functions.arrays import list_column, matrix
+from cartoflux.functions.settle import settled
 from cartoflux.operators import neighbours
 from cartoflux.operators.som import principal_axes
 
@@ -281,6 +282,7 @@ def danco(points: DataFrame, near: DataFrame, k: int, most: int | None = None, c
     """
     spark, width = points.sparkSession, len(points.first()["features"])
     most, n = most or width, points.count()
+    near = settled(near)
     at = lambda r: F.max(F.when(F.col("rank") == r, F.col("distance")))
     rho = near.groupBy("id").agg(at(1).alias("a"), at(k + 1).alias("b")).filter("a > 0 AND b > a").select((F.col("a") / F.col("b")).alias("rho")).persist()
 

@@ -12,19 +12,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartoflux.functions.arrays import list_column, matrix
+from cartoflux.functions.settle import settled
 from cartoflux.operators.selection import percentiles
 from cartoflux.operators.som import principal_axes
 
-#: Points of a block; each task compares two blocks.
-BLOCK = 2048
+#: Points of a block; each task compares two blocks. A larger table has larger blocks: SPREAD of them keep all cores
+#: busy, and from then on they grow up to LARGEST points, so that the copies of blocks stay few.
+BLOCK, SPREAD, LARGEST = 2048, 8, 49_152
 #: Differences of components that are held at a time.
 HELD = 1 << 20
+#: Rows and columns of a piece of products; pairs whose exact distances are taken at a time.
+ROWS, COLUMNS, EXACT = 256, 8192, 1 << 14
 
 
-def block_pairs(points: DataFrame, *columns: str, once: bool = False):
+def block_pairs(points: DataFrame, *columns: str, once: bool = False, largest: int | None = None):
     """Points (id, features, further columns) in blocks, every block cogrouped with every other and itself; each
     two blocks in both orders, or ``once``."""
-    blocks = max(1, -(-points.count() // BLOCK))
+    n = points.count()
+    blocks = max(1, min(SPREAD, -(-n // BLOCK)), -(-n // (largest or LARGEST)))
     placed = points.select("id", "features", *columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     later = F.explode(F.sequence(F.col("block") if once else F.lit(0), F.lit(blocks - 1)))
     earlier = F.explode(F.sequence(F.lit(0), F.col("block") if once else F.lit(blocks - 1)))
@@ -34,46 +39,160 @@ def block_pairs(points: DataFrame, *columns: str, once: bool = False):
     return left.groupBy("p", "q").cogroup(right.groupBy("p", "q"))
 
 
-def apart(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, distances to all of y) for some rows of x at a time."""
-    if metric == "cosine":
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-    step = max(1, HELD // max(1, y.size)) if metric != "cosine" else 256
+def exactly(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (x[i], y[j]) from their differences."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), EXACT):
+        out[at : at + EXACT] = np.sqrt(((x[i[at : at + EXACT]] - y[j[at : at + EXACT]]) ** 2).sum(axis=1))
+    return out
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances to all of y) for some rows of x at a time, from products; those so small that the
+    products' rounding would show are taken from differences."""
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    step = max(1, HELD // max(1, len(y)))
     for at in range(0, len(x), step):
         rows = x[at : at + step]
-        yield at, 1 - rows @ y.T if metric == "cosine" else np.sqrt(((rows[:, None] - y[None]) ** 2).sum(axis=2))
+        d = rows @ y.T
+        d *= -2
+        d += xx[at : at + step, None]
+        d += yy
+        i, j = few_true(~(d > 1e-6 * (xx[at : at + step, None] + yy.max(initial=0))))  # also what is no number
+        np.sqrt(d, out=d, where=d > 0)
+        d[i, j] = exactly(rows, y, i, j)
+        yield at, d
+
+
+def few_true(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix that is false nearly everywhere: eight cells are looked at at once."""
+    flat = np.ascontiguousarray(mask).ravel()
+    whole = flat.size // 8 * 8
+    at = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    at = np.concatenate([at, np.arange(whole, flat.size)])
+    return np.divmod(at[flat[at]], max(1, mask.shape[1]))
+
+
+class Products:
+    """Pairs of rows of x and y whose distance may be at most a bound: products of single precision sieve them, with
+    room for their rounding, and exact distances are left to the caller. The rows of y are in order of ``ib``; pairs
+    of equal ids are out, as is what is not finite."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray):
+        self.count, width = len(y), x.shape[1]
+        finite = np.isfinite(y).all(axis=1)
+        middle = y[finite].mean(axis=0) if finite.any() else np.zeros(width)
+        with np.errstate(all="ignore"):
+            length = lambda m: np.sqrt((m * m).sum(axis=1))
+            offset = np.nanmax([length(x)[np.isfinite(x).all(axis=1)].max(initial=0), length(y)[finite].max(initial=0)])
+            x, y = x - middle, y - middle
+            self.xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            reach = np.sqrt(self.xx) + np.sqrt(yy[finite].max(initial=0))
+            single = np.nanmax(reach[np.isfinite(reach)], initial=0) < 1e15 and offset < 1e15
+            shift = 2.0**-48 * offset
+            self.slack = (width + 8) * 2.0 ** (-23 if single else -48) * reach**2 + 2 * shift * reach + shift**2
+            kind = np.float32 if single else np.float64
+            yy[~finite] = np.nan
+            self.x, self.y = np.column_stack([-2 * x, np.ones(len(x))]).astype(kind), np.column_stack([y, yy]).astype(kind)
+        self.low, self.high = np.searchsorted(ib, ia, "left"), np.searchsorted(ib, ia, "right")
+
+    def piece(self, at: int, column: int) -> np.ndarray:
+        """Square distances less the square lengths of x, about, of a piece; pairs of equal ids are nan."""
+        with np.errstate(all="ignore"):
+            a = self.x[at : at + ROWS] @ self.y[column : column + COLUMNS].T
+        low, high = self.low[at : at + ROWS], self.high[at : at + ROWS]
+        for more in range(int((high - low).max(initial=0))):
+            own = low + more
+            rows = np.flatnonzero((own < high) & (own >= column) & (own < column + a.shape[1]))
+            a[rows, own[rows] - column] = np.nan
+        return a
+
+    def below(self, at: int, column: int, a: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of x and y that a piece's pairs up to a bound on the distance have."""
+        with np.errstate(all="ignore"):
+            most = bound * bound - self.xx[at : at + ROWS] + self.slack[at : at + ROWS]
+            i, j = few_true(a <= most.astype(a.dtype)[:, None])
+        return at + i, column + j
+
+
+def nearest(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the k rows of y nearest to each row of x, some rows at a time; y is in order of ``ib``, the
+    ids, and of equal distances the smaller id goes first."""
+    products = Products(x, y, ia, ib)
+    for at in range(0, len(x), ROWS):
+        bound = np.full(len(x[at : at + ROWS]), np.inf)
+        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for column in range(0, len(y), COLUMNS):
+            a = products.piece(at, column)
+            if a.shape[1] > k and np.isinf(bound).any():  # the first piece's k-th: nothing beyond it is among the k
+                with np.errstate(all="ignore"):
+                    kth = np.partition(a, k - 1, axis=1)[:, k - 1] + products.xx[at : at + ROWS] + products.slack[at : at + ROWS]
+                    bound = np.minimum(bound, np.where(np.isnan(kth), np.inf, np.sqrt(np.maximum(kth, 0)) * (1 + 2.0**-50)))
+            more_i, more_j = products.below(at, column, a, bound)
+            found = exactly(x, y, more_i, more_j)
+            sound = np.isfinite(found)
+            i, j, d = np.concatenate([i, more_i[sound]]), np.concatenate([j, more_j[sound]]), np.concatenate([d, found[sound]])
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
+            last = rank == k - 1
+            bound[i[last] - at] = d[last]
+            i, j, d = i[rank < k], j[rank < k], d[rank < k]
+        yield i, j, d
+
+
+def by_cosine(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``nearest``, by one less the cosine."""
+    x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+    for at in range(0, len(x), 64):
+        d = 1 - x[at : at + 64] @ y.T
+        d[ia[at : at + 64, None] == ib[None]] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(d, near, 1)
+        rows, place = np.nonzero(np.isfinite(found))
+        yield at + rows, near[rows, place], found[rows, place]
+
+
+#: Points whose neighbours of all blocks are merged in one group.
+MERGED = 4096
 
 
 def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """(id, rank, neighbour, distance): each point's k nearest others, ties to the smaller id.
 
-    Exact, so every two blocks of points meet, once, in a task; each point's k nearest of the other block go on.
+    Exact, so every two blocks of points meet in a task, whose products single out the pairs that may be near enough;
+    only these have their distances taken. Each point's k nearest of a block go on, in packets of MERGED points.
     """
-
-    def nearest(d: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of a block by another that is in order of id: (id, neighbour, distance)."""
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(d, near, 1)
-        rows, at = np.nonzero(np.isfinite(found))
-        return ids[rows], others[near[rows, at]], found[rows, at]
+    packets = max(1, -(-points.count() // MERGED))
+    types = (pa.int64(), pa.int64(), pa.float64())
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
         if len(a) and len(b):
-            a, b = a.sort_by("id"), b.sort_by("id")
+            b = b.sort_by("id")
             width = len(a.column("features")[0])
             ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
-            d = np.concatenate([rows for _, rows in apart(matrix(a.column("features"), width), matrix(b.column("features"), width), metric)])
-            d[ia[:, None] == ib[None]] = np.inf
-            out.append(nearest(d, ia, ib))
-            if a.column("p")[0] != a.column("q")[0]:
-                out.append(nearest(d.T, ib, ia))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[]] * 3
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "neighbour", "distance"])
-
-    near = block_pairs(points, once=True).applyInArrow(pair, "id long, neighbour long, distance double")
-    w = W.partitionBy("id").orderBy("distance", "neighbour")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
+            x, y = matrix(a.column("features"), width), matrix(b.column("features"), width)
+            for i, j, d in (nearest if metric != "cosine" else by_cosine)(x, y, ia, ib, k):
+                out.append((ia[i], ib[j], d))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
+        packet = ((columns[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(packets)).astype(np.int64)
+        order = np.argsort(packet, kind="stable")
+        ends = np.flatnonzero(np.diff(packet[order], prepend=-1, append=-1)) if len(order) else np.zeros(1, np.int64)
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c[order], t)) for c, t in zip(columns, types, strict=True)]
+        return pa.table([pa.array(packet[order][ends[:-1]], pa.int64()), *lists], names=["packet", "id", "neighbour", "distance"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        ids, others, d = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("id", "neighbour", "distance"))
+        order = np.lexsort((others, d, ids))
+        ids, others, d = ids[order], others[order], d[order]
+        rank = np.arange(len(ids)) - np.searchsorted(ids, ids, "left") + 1
+        kept = rank <= k
+        return pa.table([ids[kept], rank[kept].astype(np.int32), others[kept], d[kept]], names=["id", "rank", "neighbour", "distance"])
+
+    typed = points.select(F.col("id").cast("long").alias("id"), "features")
+    near = block_pairs(typed).applyInArrow(pair, "packet long, id array<long>, neighbour array<long>, distance array<double>")
+    return near.groupBy("packet").applyInArrow(merge, "id long, rank int, neighbour long, distance double")
 
 
 def pointwise_mle(near: DataFrame, k: int) -> DataFrame:
@@ -87,6 +206,7 @@ def pointwise_mle(near: DataFrame, k: int) -> DataFrame:
 
 def ceiling_dimension(pointwise: DataFrame) -> DataFrame:
     """One row: interpolated percentiles, max and mean of pointwise estimates; p95 is the estimate."""
+    pointwise = settled(pointwise)
     found = percentiles(pointwise, "d", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
     return pointwise.agg(F.avg("d").alias("mean")).join(found, F.lit(True), "left").select("p50", "p90", "p95", F.col("hi").alias("largest"), "mean")
 
@@ -95,7 +215,7 @@ def two_nn(near: DataFrame, discard: float = 0.1) -> DataFrame:
     """One row (Facco et al. 2017): slope through the origin of -ln(1 - F) on ln(T2 / T1), without the top tenth."""
     pair = near.filter("rank <= 2").groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("t1"), F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("t2"))
     # a global rank: numbers within ranges of mu, plus those of the ranges before
-    mu = pair.filter("t1 > 0 AND t2 IS NOT NULL").select("id", (F.col("t2") / F.col("t1")).alias("mu"))
+    mu = settled(pair.filter("t1 > 0 AND t2 IS NOT NULL").select("id", (F.col("t2") / F.col("t1")).alias("mu")))
     ranked = _ranked(mu, "mu", "id")
     x, y = F.ln("mu"), -F.ln(1 - F.col("rn") / F.col("n"))
     kept = ranked.filter(F.col("rn") <= F.floor(F.col("n") * (1 - discard))).select(x.alias("x"), y.alias("y"))
@@ -134,14 +254,20 @@ def correlation_dimension(points: DataFrame, near: DataFrame, k1: int, k2: int)
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         counts = [0, 0]
         if len(a) and len(b):
+            b = b.sort_by("id")
             width = len(a.column("features")[0])
-            ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
-            for at, d in apart(matrix(a.column("features"), width), matrix(b.column("features"), width)):
-                d[ia[at : at + len(d), None] == ib[None]] = np.inf
-                counts = [c + int((d < r).sum()) for c, r in zip(counts, radii, strict=True)]
+            twice = 1 if a.column("p")[0] == a.column("q")[0] else 2
+            x, y = matrix(a.column("features"), width), matrix(b.column("features"), width)
+            products = Products(x, y, a.column("id").to_numpy(), b.column("id").to_numpy())
+            for at in range(0, len(x), ROWS):
+                for column in range(0, len(y), COLUMNS):
+                    piece = products.piece(at, column)
+                    d = exactly(x, y, *products.below(at, column, piece, np.full(len(piece), max(radii))))
+                    counts = [c + twice * int((d < r).sum()) for c, r in zip(counts, radii, strict=True)]
         return pa.table([pa.array([c], pa.int64()) for c in counts], names=["c1", "c2"])
 
-    both = block_pairs(points).applyInArrow(pair, "c1 long, c2 long").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    met = block_pairs(points, once=True).applyInArrow(pair, "c1 long, c2 long")
+    both = met.agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
     spread = F.ln(F.try_divide(F.lit(r2).cast("double"), F.lit(r1).cast("double")))
     return both.select(F.try_divide(F.ln(F.try_divide("c2", "c1")), spread).alias("dimension"))
 

@@ -32,3 +32,47 @@ def test_silhouette_has_no_greatest_number_of_points(spark, monkeypatch):
     assert clustering.silhouette(spark.createDataFrame(rows, schema).limit(0)).first()[0] is None
     assert clustering.silhouette(spark.createDataFrame([(1, [0.0], 5), (2, [1.0], 5)], schema)).first()[0] == -1
     assert clustering.silhouette(spark.createDataFrame([(1, [0.0], 5), (2, [0.0], 5)], schema)).first()[0] == 0
+
+
+def test_neighbours_come_from_products_not_from_all_differences(spark, monkeypatch):
+    """Of the pairs of all blocks, few have their differences taken; results are those of all differences, with copies,
+    ids that repeat, vectors far from the origin or of any size, and some that hold no number."""
+    monkeypatch.setattr(neighbours, "COLUMNS", 64)
+    rng = np.random.default_rng(3)
+    for scale, offset in ((1.0, 0.0), (1e-3, 1e3), (1e20, 0.0), (1e-20, 0.0)):
+        x = rng.normal(size=(400, 8)) * scale + offset
+        x[200:230] = x[7]
+        x[399], x[398, 2] = np.nan, np.inf
+        ids = np.arange(400)
+        ids[300:303] = 5
+        order = np.argsort(ids, kind="stable")
+        taken, whole = [], neighbours.exactly
+        monkeypatch.setattr(neighbours, "exactly", lambda a, b, i, j: taken.append(len(i)) or whole(a, b, i, j))  # noqa: B023
+        found = list(neighbours.nearest(x, x[order], ids, ids[order], 5))
+        monkeypatch.setattr(neighbours, "exactly", whole)
+        got = {}
+        for i, j, d in found:
+            for p, q, r in zip(i.tolist(), j.tolist(), d.tolist(), strict=True):
+                got.setdefault(p, []).append((r, ids[order][q]))
+        with np.errstate(all="ignore"):
+            d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        d[ids[:, None] == ids[None]] = np.inf
+        for i in range(400):
+            want = sorted((v, w) for v, w in zip(d[i].tolist(), ids.tolist(), strict=True) if np.isfinite(v))[:5]
+            assert got.get(i, []) == want
+        assert sum(taken) < 400 * 400 / 3
+
+
+def test_neighbours_of_many_blocks_are_merged_in_packets(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 60)
+    monkeypatch.setattr(neighbours, "LARGEST", 40)
+    monkeypatch.setattr(neighbours, "MERGED", 50)
+    x = np.random.default_rng(4).normal(size=(151, 3))
+    points = spark.createDataFrame([(i * 20, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :4]
+    want = sorted((i * 20, r + 1, int(j) * 20, d[i, j]) for i in range(151) for r, j in enumerate(near[i]))
+    assert sorted(map(tuple, neighbours.knn(points, 4).collect())) == want
+    assert neighbours.knn(points.limit(0), 4).count() == 0
+    assert neighbours.knn(points.limit(1), 4).count() == 0
