@@ -31,10 +31,14 @@ def words(title: Column, stop: Sequence[str]) -> Column:
     return F.filter(found, lambda w: (F.length(w) >= 2) & ~w.isin(*sorted(set(stop))))
 
 
-def grams(kept: Column) -> Column:
-    """Single words and pairs of neighbours, after stop words have gone."""
+def neighbours(kept: Column) -> Column:
+    """Pairs (first, second) of neighbours, after stop words have gone."""
     n = F.greatest(F.size(kept) - 1, F.lit(0))
-    return F.concat(kept, F.zip_with(F.slice(kept, F.lit(1), n), F.slice(kept, F.lit(2), n), lambda x, y: F.concat_ws(" ", x, y)))
+    return F.arrays_zip(F.slice(kept, F.lit(1), n).alias("first"), F.slice(kept, F.lit(2), n).alias("second"))
+
+
+#: Up to so many words or terms their list is broadcast; beyond it is joined.
+BROADCAST_TERMS = 200_000
 
 
 def term_scores(titles: DataFrame, by: str | None = None, most: int = 1000, stop: Sequence[str] | None = None) -> DataFrame:
@@ -44,12 +48,24 @@ def term_scores(titles: DataFrame, by: str | None = None, most: int = 1000, stop
     idf = ln((1 + n) / (1 + df)) + 1; the vocabulary is the ``most`` terms of highest count, ties by term.
     """
     keys = [by] if by else []
-    kept = titles.select(*keys, "id", words(F.col("title"), stop_words() if stop is None else stop).alias("kept"))
-    terms = kept.select(*keys, "id", F.explode(grams(F.col("kept"))).alias("term"))
-    # the vocabulary first, from counts that are added up before their shuffle: only its terms are then followed by title
-    totals = terms.groupBy(*keys, "term").agg(F.count("*").alias("total"))
-    ranked = totals.withColumn("rn", F.row_number().over(W.partitionBy(*keys or [F.lit(1)]).orderBy(F.desc("total"), "term"))).filter(F.col("rn") <= most)
-    tf = settled(terms.join(ranked.select(*keys, "term"), [*keys, "term"]).groupBy(*keys, "id", "term").agg(F.count("*").alias("tf")))
+    kept = settled(titles.select(*keys, "id", words(F.col("title"), stop_words() if stop is None else stop).alias("kept")))
+    own = kept.select(*keys, "id", F.explode("kept").alias("term"))
+    pairs = kept.select(*keys, "id", F.explode(neighbours(F.col("kept"))).alias("pair")).select(*keys, "id", "pair.first", "pair.second")
+    place = F.row_number().over(W.partitionBy(*keys or [F.lit(1)]).orderBy(F.desc("total"), "term"))
+    small = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+    # the vocabulary first, from counts that are added up before their shuffle: only its terms are then followed by title.
+    # No pair occurs more often than its words, so a pair of a word that is rarer than ``most`` words are is none of it
+    singles = settled(own.groupBy(*keys, "term").agg(F.count("*").alias("total")))
+    last = singles.withColumn("rn", place).filter(F.col("rn") == most).select(*keys, F.col("total").alias("least"))
+    known = singles.join(last, keys, "left") if keys else singles.join(F.broadcast(last), F.lit(True), "left")
+    common = small(settled(known.filter(F.col("total") >= F.coalesce("least", F.lit(0))).select(*keys, "term")))
+    for side in ("first", "second"):
+        pairs = pairs.join(common.withColumnRenamed("term", side), [*keys, side], "left_semi")
+    term = F.concat_ws(" ", "first", "second").alias("term")
+    totals = singles.unionByName(pairs.groupBy(*keys, "first", "second").agg(F.count("*").alias("total")).select(*keys, term, "total"))
+    ranked = small(settled(totals.withColumn("rn", place).filter(F.col("rn") <= most).select(*keys, "term")))
+    terms = own.unionByName(pairs.select(*keys, "id", term))
+    tf = settled(terms.join(ranked, [*keys, "term"], "left_semi").groupBy(*keys, "id", "term").agg(F.count("*").alias("tf")))
     sizes = titles.groupBy(*keys).agg(F.count("*").alias("n"))
     df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df"))
     df = (df.join(sizes, keys) if keys else df.join(F.broadcast(sizes), F.lit(True))).withColumn("idf", F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)

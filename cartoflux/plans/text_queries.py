@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartoflux.functions import text
+from cartoflux.functions.settle import settled
 from cartoflux.operators import keywords, semantic
 from cartoflux.plans import tables as t
 from cartoflux.sources import bibliographic as bib
@@ -241,8 +242,8 @@ def semantic_topics(spark, sf):
     from cartoflux.operators.neighbours import pca
 
     docs = t.read(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("concatenated_text"))
-    points = semantic.embed(docs)
+    points = settled(semantic.embed(docs))
     scores = pca(points, 2).select("id", F.col("scores")[0].alias("x"), F.col("scores")[1].alias("y"))
-    placed = semantic.fallback(points).join(scores, "id")
+    placed = settled(semantic.fallback(points).join(scores, "id"))
     titles = docs.select(F.col("row_id").alias("id"), F.col("concatenated_text").alias("title"))
     return semantic.topics(placed, titles, 20, 2)[0].select("path", "level", "label", "size")
