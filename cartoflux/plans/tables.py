@@ -19,9 +19,18 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+#: Lines of orders that a task joins, deduplicates and pairs; fewer tasks than FEW are left to Spark.
+LINES, FEW = 250_000, 8
+
+
 def _lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Lines with their order's year. What follows goes by order too, all of it in one stage whose sorts and sets are held
+    together, so its tasks grow in number, not in size, with the table."""
     orders = read(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
     lines = read(spark, sf, "lineitem").select("l_orderkey", *columns)
+    tasks = -(-lines.count() // LINES)
+    if tasks > FEW:
+        lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumnRenamed("o_orderkey", "doc_id")
 
 
