@@ -19,15 +19,16 @@ from cartoflux.operators.som import principal_axes
 #: Points of a block; each task compares two blocks. A larger table has larger blocks: SPREAD of them keep all cores
 #: busy, and from then on they grow up to LARGEST points, so that the copies of blocks stay few.
 BLOCK, SPREAD, LARGEST = 2048, 8, 49_152
-#: Differences of components that are held at a time.
-HELD = 1 << 20
+#: Rows and columns of the distances that are held at a time, so few that they stay in a core's cache.
+TILE = 512
 #: Rows and columns of a piece of products; pairs whose exact distances are taken at a time.
 ROWS, COLUMNS, EXACT = 256, 8192, 1 << 14
 
 
 def block_pairs(points: DataFrame, *columns: str, once: bool = False, largest: int | None = None):
     """Points (id, features, further columns) in blocks, every block cogrouped with every other and itself; each
-    two blocks in both orders, or ``once``."""
+    two blocks in both orders, or ``once``. Every pair of blocks is a task of its own: a pair is little to read but
+    much to compare, so what deals tasks by their bytes, or pairs by their hash, would leave cores idle."""
     n = points.count()
     blocks = max(1, min(SPREAD, -(-n // BLOCK)), -(-n // (largest or LARGEST)))
     placed = points.select("id", "features", *columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
@@ -36,7 +37,9 @@ def block_pairs(points: DataFrame, *columns: str, once: bool = False, largest: i
     own = [F.col(c).alias(c) for c in ("id", "features", *columns)]  # columns of each side's own, so the two can be told apart
     left = placed.select(*own, F.col("block").alias("p"), later.alias("q"))
     right = placed.select(*own, F.col("block").alias("q"), earlier.alias("p"))
-    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q"))
+    number, tasks = ("q * (q + 1) div 2 + p", blocks * (blocks + 1) // 2) if once else (f"p * {blocks} + q", blocks * blocks)
+    left, right = (side.withColumn("met", F.expr(number).cast("int")).repartitionById(tasks, "met") for side in (left, right))
+    return left.groupBy("met").cogroup(right.groupBy("met"))
 
 
 def exactly(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -47,21 +50,25 @@ def exactly(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
     return out
 
 
-def apart(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, distances to all of y) for some rows of x at a time, from products; those so small that the
-    products' rounding would show are taken from differences."""
+def apart(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row of x, first row of y, distances) of a tile at a time, from products; those so small that the
+    products' rounding would show are taken from differences. A tile is gone when the next one comes."""
     xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    step = max(1, HELD // max(1, len(y)))
-    for at in range(0, len(x), step):
-        rows = x[at : at + step]
-        d = rows @ y.T
-        d *= -2
-        d += xx[at : at + step, None]
-        d += yy
-        i, j = few_true(~(d > 1e-6 * (xx[at : at + step, None] + yy.max(initial=0))))  # also what is no number
-        np.sqrt(d, out=d, where=d > 0)
-        d[i, j] = exactly(rows, y, i, j)
-        yield at, d
+    most, held = yy.max(initial=0), np.empty((TILE, TILE))
+    rows = np.column_stack([-2 * x, xx, np.ones(len(x))])
+    columns = np.ascontiguousarray(np.column_stack([y, np.ones(len(y)), yy]).T)
+    for at in range(0, len(x), TILE):
+        short = 1e-6 * (xx[at : at + TILE, None] + most)
+        for column in range(0, len(y), TILE):
+            a, b = rows[at : at + TILE], columns[:, column : column + TILE]
+            d = np.matmul(a, b, out=held[: len(a), : b.shape[1]])
+            if d.min() > short.max():
+                np.sqrt(d, out=d)
+            else:
+                i, j = few_true(~(d > short))  # also what is no number
+                np.sqrt(d, out=d, where=d > 0)
+                d[i, j] = exactly(x, y, at + i, column + j)
+            yield at, column, d
 
 
 def few_true(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 
 from cartoflux.operators import clustering, neighbours
 
@@ -76,3 +78,30 @@ def test_neighbours_of_many_blocks_are_merged_in_packets(spark, monkeypatch):
     assert sorted(map(tuple, neighbours.knn(points, 4).collect())) == want
     assert neighbours.knn(points.limit(0), 4).count() == 0
     assert neighbours.knn(points.limit(1), 4).count() == 0
+
+
+def test_every_pair_of_blocks_is_a_task_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    points = spark.createDataFrame([(i, [float(i)]) for i in range(150)], "id long, features array<double>")
+
+    def met(a, b):
+        return pa.table([pa.array([TaskContext.get().partitionId()]), a.column("p")[:1].combine_chunks(), b.column("q")[:1].combine_chunks()], names=["task", "p", "q"])
+
+    for once, pairs in ((True, [(p, q) for p in range(8) for q in range(p, 8)]), (False, [(p, q) for p in range(8) for q in range(8)])):
+        found = neighbours.block_pairs(points, once=once).applyInArrow(met, "task long, p int, q int").collect()
+        assert sorted((r.p, r.q) for r in found) == pairs
+        assert len({r.task for r in found}) == len(pairs)
+
+
+def test_distances_come_in_tiles(monkeypatch):
+    """Tiles stay small, and distances from products are those of differences, with copies, far vectors and no numbers."""
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    x = np.random.default_rng(5).normal(size=(70, 4))
+    y = np.random.default_rng(6).normal(size=(45, 4))
+    y[3:9], x[60], y[44] = x[5], 1e6, np.nan
+    with np.errstate(all="ignore"):
+        want, found = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2)), np.full((70, 45), -1.0)
+        for at, column, d in neighbours.apart(x, y):
+            assert d.shape[0] <= 16 and d.shape[1] <= 16
+            found[at : at + d.shape[0], column : column + d.shape[1]] = d
+    assert np.allclose(found, want, rtol=1e-9, atol=0, equal_nan=True)
