@@ -95,6 +95,7 @@ class UnigramCodec:
         self.cache = WordCache(self.viterbi, most)
         self.texts = [p.replace(MARKER, " ") for p in vocabulary.pieces]
         self.bytes_of = {i: b for b, i in vocabulary.bytes_.items()}
+        self.coded = [bytes((self.bytes_of[i],)) if i in self.bytes_of else t.encode() for i, t in enumerate(self.texts)]
         self.base, self.check, self.value = (np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
         self.codes = np.zeros(0x110000, np.int32)
         for c, code in self.trie.codes.items():
@@ -141,6 +142,19 @@ class UnigramCodec:
     def _cost(self, pieces: np.ndarray) -> np.ndarray:
         return np.where(pieces < 0, self.lowest, self.scores[pieces])
 
+    @staticmethod
+    def _back(back: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces, first): each row's best path in its last places, from place ``first`` on; all rows go a step at a time."""
+        ids, place, first = np.zeros((len(back), back.shape[1] - 1), "<i4"), lengths.copy(), np.full(len(back), back.shape[1] - 1)
+        at = np.flatnonzero(place)
+        while len(at):
+            step = back[at, place[at]]
+            first[at] -= 1
+            ids[at, first[at]] = step[:, 1]
+            place[at] = step[:, 0]
+            at = at[step[:, 0] > 0]
+        return ids, first
+
     def paths(self, listed: list[str]) -> list[bytes]:
         """``viterbi`` of each of the chunks."""
         out: list[bytes] = [b""] * len(listed)
@@ -159,17 +173,23 @@ class UnigramCodec:
                 at = at[better]
                 best[at, end] = total[better]
                 back[at, end, 0], back[at, end, 1] = start, pieces[better]
-            for row, steps in zip(rows.tolist(), back.tolist(), strict=True):
-                chunk, ids = listed[short[row]], []
+            ids, first = self._back(back, (codes >= 0).sum(axis=1))
+            taken = np.arange(ids.shape[1]) >= first[:, None]
+            bare = (taken & (ids < 0)).any(axis=1)
+            whole, ends = ids[taken].tobytes(), 4 * np.cumsum(ids.shape[1] - first)
+            for row, low, high in zip(rows.tolist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                out[short[row]] = whole[low:high]
+            for i in np.flatnonzero(bare).tolist():
+                chunk, listed_ids, steps = listed[short[rows[i]]], [], back[i].tolist()
                 place = len(chunk)
                 while place:
                     start, piece = steps[place]
                     if piece >= 0:
-                        ids.append(piece)
+                        listed_ids.append(piece)
                     else:
-                        ids.extend(bytes_.get(b, unknown) for b in reversed(chunk[start:place].encode()))
+                        listed_ids.extend(bytes_.get(b, unknown) for b in reversed(chunk[start:place].encode()))
                     place = start
-                out[short[row]] = np.array(ids[::-1], "<i4").tobytes()
+                out[short[rows[i]]] = np.array(listed_ids[::-1], "<i4").tobytes()
         return out
 
     def expected(self, listed: list[str], n: np.ndarray) -> np.ndarray:
@@ -256,7 +276,7 @@ class UnigramCodec:
         if bytes_of.keys().isdisjoint(listed):
             text = "".join(map(self.texts.__getitem__, listed))
         else:
-            text = b"".join(bytes((bytes_of[i],)) if i in bytes_of else self.texts[i].encode() for i in listed).decode("utf-8", "replace")
+            text = b"".join(map(self.coded.__getitem__, listed)).decode("utf-8", "replace")
         return text[1:]
 
 

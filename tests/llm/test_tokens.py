@@ -168,3 +168,20 @@ def test_estimated_scores(spark, vocabulary):
     assert likely[1] > likely[0]
     found = encode_decode(docs, MODEL).collect()
     assert all(r.decoded == (t or "").replace("▁", " ") for r, t in zip(sorted(found, key=lambda r: r.doc_id), [r.text for r in docs.orderBy("doc_id").collect()], strict=True))
+
+
+def test_paths_are_walked_back_together():
+    """A step back is one for all chunks, however many these are; chunks of other lengths and empty ones end by themselves."""
+    back = np.zeros((3, 5, 2), np.int32)
+    back[0, 4], back[0, 3], back[0, 1] = (3, 7), (1, 8), (0, 9)  # pieces 9, 8, 7 of 1, 2 and 1 characters
+    back[1, 2] = (0, 5)
+    ids, first = UnigramCodec._back(back, np.array([4, 2, 0]))
+    assert [r[f:].tolist() for r, f in zip(ids, first, strict=True)] == [[9, 8, 7], [5], []]
+
+
+def test_bytes_of_pieces_are_made_once(vocabulary):
+    codec = UnigramCodec(vocabulary)
+    text = "naïve \u4e2d\U0001f600 x\ud7a3 plain"
+    assert all(codec.coded[i] == bytes((b,)) for i, b in codec.bytes_of.items())
+    assert codec.decode(codec.encode(text)) == text
+    assert codec.paths(["\U0001f600a", "", " plain"]) == [codec.viterbi(c) for c in ("\U0001f600a", "", " plain")]
