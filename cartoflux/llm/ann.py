@@ -282,14 +282,16 @@ def nearest(
     # equal vectors are one, with their k + 1 smallest ids, repeated ones as often as there are rows
     ranked = own.withColumn("rn", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("rn") <= k + 1)
     distinct = ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    distinct = stage.table(distinct.select(F.element_at("ids", 1).alias("vid"), F.col("embedding").alias("vector"), "ids"), "distinct")
+    # vid numbers the vectors in order of their smallest ids, as an id may be that of several
+    distinct = distinct.select(F.element_at("ids", 1).alias("first"), F.col("embedding").alias("vector"), "ids").orderBy("first", "vector")
+    distinct = stage.table(distinct.withColumn("vid", F.monotonically_increasing_id()), "distinct")
 
     asked = sound(queries).filter(F.size("embedding") == width).select(F.col("vec_id").alias("query_id"), "embedding")
     asked = asked.join(distinct.select("vid", "vector"), F.col("embedding") == F.col("vector")).select("query_id", "vid", "vector")
     asked = stage.table(asked, "asked")
 
     count = distinct.count()
-    fitted = distinct.orderBy(F.xxhash64("vid"), "vid").limit(sample).select("vector").toArrow()
+    fitted = distinct.orderBy(F.xxhash64("first"), "vid").limit(sample).select("vector").toArrow()
     points = _matrix(fitted.column("vector")) if len(fitted) else np.empty((0, width))
     depth = max(0, min(round(np.log2(max(1, count) / leaf_rows)), int(np.log2(max(1, len(points)) / 16)) if len(points) else 0))
     forest = Forest(points, trees, depth)
