@@ -23,21 +23,36 @@ BLOCK, SPREAD, LARGEST = 2048, 8, 49_152
 TILE = 512
 #: Rows and columns of a piece of products; pairs whose exact distances are taken at a time.
 ROWS, COLUMNS, EXACT = 256, 8192, 1 << 14
+#: Pairs that are held before they are cut to each row's nearest.
+HELD = 1 << 22
 
 
-def block_pairs(points: DataFrame, *columns: str, once: bool = False, largest: int | None = None):
+def blocks_of(n: int, largest: int | None = None) -> int:
+    return max(1, min(SPREAD, -(-n // BLOCK)), -(-n // (largest or LARGEST)))
+
+
+def in_blocks(points: DataFrame, blocks: int, *columns: str) -> DataFrame:
+    return points.select("id", "features", *columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+
+
+def block_pairs(points: DataFrame, *columns: str, once: bool = False, own: bool = True, largest: int | None = None, n: int | None = None):
     """Points (id, features, further columns) in blocks, every block cogrouped with every other and itself; each
-    two blocks in both orders, or ``once``. Every pair of blocks is a task of its own: a pair is little to read but
-    much to compare, so what deals tasks by their bytes, or pairs by their hash, would leave cores idle."""
-    n = points.count()
-    blocks = max(1, min(SPREAD, -(-n // BLOCK)), -(-n // (largest or LARGEST)))
-    placed = points.select("id", "features", *columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    later = F.explode(F.sequence(F.col("block") if once else F.lit(0), F.lit(blocks - 1)))
-    earlier = F.explode(F.sequence(F.lit(0), F.col("block") if once else F.lit(blocks - 1)))
-    own = [F.col(c).alias(c) for c in ("id", "features", *columns)]  # columns of each side's own, so the two can be told apart
-    left = placed.select(*own, F.col("block").alias("p"), later.alias("q"))
-    right = placed.select(*own, F.col("block").alias("q"), earlier.alias("p"))
-    number, tasks = ("q * (q + 1) div 2 + p", blocks * (blocks + 1) // 2) if once else (f"p * {blocks} + q", blocks * blocks)
+    two blocks in both orders, or ``once``, then without itself unless ``own``. Every pair of blocks is a task of its
+    own: a pair is little to read but much to compare, so what deals tasks by their bytes, or pairs by their hash, would
+    leave cores idle."""
+    blocks = blocks_of(points.count() if n is None else n, largest)
+    placed = in_blocks(points, blocks, *columns)
+    apart = 0 if own else 1
+    first, last = (placed, placed) if own else (placed.filter(f"block < {blocks - 1}"), placed.filter("block > 0"))
+    later = F.explode(F.sequence(F.col("block") + apart if once else F.lit(0), F.lit(blocks - 1)))
+    earlier = F.explode(F.sequence(F.lit(0), F.col("block") - apart if once else F.lit(blocks - 1)))
+    sides = [F.col(c).alias(c) for c in ("id", "features", *columns)]  # columns of each side's own, so the two can be told apart
+    left = first.select(*sides, F.col("block").alias("p"), later.alias("q"))
+    right = last.select(*sides, F.col("block").alias("q"), earlier.alias("p"))
+    if once:
+        number, tasks = (f"q * (q + {1 - 2 * apart}) div 2 + p", blocks * (blocks + 1 - 2 * apart) // 2)
+    else:
+        number, tasks = f"p * {blocks} + q", blocks * blocks
     left, right = (side.withColumn("met", F.expr(number).cast("int")).repartitionById(tasks, "met") for side in (left, right))
     return left.groupBy("met").cogroup(right.groupBy("met"))
 
@@ -101,12 +116,16 @@ class Products:
             kind = np.float32 if single else np.float64
             yy[~finite] = np.nan
             self.x, self.y = np.column_stack([-2 * x, np.ones(len(x))]).astype(kind), np.column_stack([y, yy]).astype(kind)
-        self.low, self.high = np.searchsorted(ib, ia, "left"), np.searchsorted(ib, ia, "right")
+        self.low, self.high, self.held = np.searchsorted(ib, ia, "left"), np.searchsorted(ib, ia, "right"), None
 
     def piece(self, at: int, column: int) -> np.ndarray:
-        """Square distances less the square lengths of x, about, of a piece; pairs of equal ids are nan."""
+        """Square distances less the square lengths of x, about, of a piece; pairs of equal ids are nan. A piece is gone
+        when the next one comes."""
+        x, y = self.x[at : at + ROWS], self.y[column : column + COLUMNS]
+        if self.held is None or self.held.shape != (len(x), len(y)):
+            self.held = np.empty((len(x), len(y)), x.dtype)
         with np.errstate(all="ignore"):
-            a = self.x[at : at + ROWS] @ self.y[column : column + COLUMNS].T
+            a = np.matmul(x, y.T, out=self.held)
         low, high = self.low[at : at + ROWS], self.high[at : at + ROWS]
         for more in range(int((high - low).max(initial=0))):
             own = low + more
@@ -122,6 +141,26 @@ class Products:
         return at + i, column + j
 
 
+    def below_either(self, at: int, column: int, a: np.ndarray, bound_x: np.ndarray, bound_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pairs up to the bound of one of the two rows; the piece is used up."""
+        own = slice(at, at + ROWS)
+        with np.errstate(all="ignore"):
+            most = bound_x[own] ** 2 - self.xx[own] + self.slack[own]
+            mask = a <= most.astype(a.dtype)[:, None]
+            other = (bound_y[column : column + COLUMNS] ** 2).astype(a.dtype)
+            a += (self.xx[own] - self.slack[own]).astype(a.dtype)[:, None]
+            mask |= a <= other * a.dtype.type(1 + 4 * np.finfo(a.dtype).eps)
+            i, j = few_true(mask)
+        return at + i, column + j
+
+
+def least_of_sixteen(a: np.ndarray) -> np.ndarray:
+    """The least of each sixteen cells of a row, nan aside: the k-th of these is no less than the k-th of all, and there
+    are fewer to search."""
+    width = a.shape[1] // 16
+    return np.fmin.reduce(a[:, : 16 * width].reshape(len(a), 16, width), axis=1)
+
+
 def nearest(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, distance) of the k rows of y nearest to each row of x, some rows at a time; y is in order of ``ib``, the
     ids, and of equal distances the smaller id goes first."""
@@ -132,8 +171,9 @@ def nearest(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, k: int
         for column in range(0, len(y), COLUMNS):
             a = products.piece(at, column)
             if a.shape[1] > k and np.isinf(bound).any():  # the first piece's k-th: nothing beyond it is among the k
+                least = least_of_sixteen(a)
                 with np.errstate(all="ignore"):
-                    kth = np.partition(a, k - 1, axis=1)[:, k - 1] + products.xx[at : at + ROWS] + products.slack[at : at + ROWS]
+                    kth = np.partition(least if least.shape[1] > 4 * k else a, k - 1, axis=1)[:, k - 1] + products.xx[at : at + ROWS] + products.slack[at : at + ROWS]
                     bound = np.minimum(bound, np.where(np.isnan(kth), np.inf, np.sqrt(np.maximum(kth, 0)) * (1 + 2.0**-50)))
             more_i, more_j = products.below(at, column, a, bound)
             found = exactly(x, y, more_i, more_j)
@@ -148,6 +188,58 @@ def nearest(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, k: int
         yield i, j, d
 
 
+def fewest(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each i the k pairs (i, j) of the least distance, of equal ones those of the least j."""
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+    return i[kept], j[kept], d[kept]
+
+
+class Within:
+    """Pairs (i, j, distance) that may be among the k nearest of i; cut to these where they become many."""
+
+    def __init__(self, bound: np.ndarray, k: int):
+        self.bound, self.k, self.held, self.parts = bound, k, 0, []
+
+    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray):
+        near = (d <= self.bound[i]) & np.isfinite(d)
+        self.parts.append((i[near], j[near], d[near]))
+        self.held += int(near.sum())
+        if self.held > HELD:
+            self.parts = [self.take()]
+            i, _, d = self.parts[0]
+            last = np.flatnonzero(np.append(i[1:] != i[:-1], True))
+            full = np.bincount(i, minlength=len(self.bound))[i[last]] == self.k
+            self.bound[i[last[full]]] = np.minimum(self.bound[i[last[full]]], d[last[full]])
+            self.held = len(i)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [np.concatenate(c) for c in zip(*self.parts, strict=True)] if self.parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        self.parts, self.held = [], 0
+        return fewest(*found, self.k)
+
+
+def nearest_across(x: np.ndarray, y: np.ndarray, bound_x: np.ndarray, bound_y: np.ndarray, k: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """(whether from y to x, i, j, distance) of the rows of y that may be among the k nearest of each row of x, and of those
+    of x for y: each product serves both. The rows are in order of their ids, x and y have none in common, and what
+    is beyond a row's bound is not among its nearest."""
+    none = np.zeros(0, np.int64)
+    products = Products(x, y, none, none)
+    bound_x, bound_y = bound_x.astype(float), bound_y.astype(float)
+    back = Within(bound_y, k)
+    for at in range(0, len(x), ROWS):
+        there = Within(bound_x, k)
+        for column in range(0, len(y), COLUMNS):
+            a = products.piece(at, column)
+            i, j = products.below_either(at, column, a, bound_x, bound_y)
+            d = exactly(x, y, i, j)
+            there.add(i, j, d)
+            back.add(j, i, d)
+        yield (False, *there.take())
+    yield (True, *back.take())
+
+
 def by_cosine(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """As ``nearest``, by one less the cosine."""
     x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
@@ -164,30 +256,63 @@ def by_cosine(x: np.ndarray, y: np.ndarray, ia: np.ndarray, ib: np.ndarray, k: i
 MERGED = 4096
 
 
+_PACKETS = "packet long, id array<long>, neighbour array<long>, distance array<double>"
+
+
+def in_packets(packets: int, ids: np.ndarray, others: np.ndarray, d: np.ndarray) -> dict[str, pa.Array]:
+    """Neighbours by the packet of their point."""
+    packet = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(packets)).astype(np.int64)
+    order = np.argsort(packet, kind="stable")
+    ends = np.flatnonzero(np.diff(packet[order], prepend=-1, append=-1)) if len(order) else np.zeros(1, np.int64)
+    types = (pa.int64(), pa.int64(), pa.float64())
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c[order], t)) for c, t in zip((ids, others, d), types, strict=True)]
+    return dict(zip(("packet", "id", "neighbour", "distance"), (pa.array(packet[order][ends[:-1]], pa.int64()), *lists), strict=True))
+
+
+def _joined(found: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+
 def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """(id, rank, neighbour, distance): each point's k nearest others, ties to the smaller id.
 
-    Exact, so every two blocks of points meet in a task, whose products single out the pairs that may be near enough;
-    only these have their distances taken. Each point's k nearest of a block go on, in packets of MERGED points.
+    Exact. Each block's points first find their k nearest of their own block, whose k-th bounds what another block can
+    add; then every two blocks meet once in a task, and a product serves both sides. Only pairs that may be near enough
+    have their distances taken. What is found goes on in packets of MERGED points.
     """
-    packets = max(1, -(-points.count() // MERGED))
-    types = (pa.int64(), pa.int64(), pa.float64())
+    n = points.count()
+    packets = max(1, -(-n // MERGED))
+    blocks = blocks_of(n)
+
+    def own(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        ids = table.column("id").to_numpy()
+        x = matrix(table.column("features"), len(table.column("features")[0]))
+        i, j, d = _joined(list((nearest if metric != "cosine" else by_cosine)(x, x, ids, ids, k)))
+        count = np.bincount(i, minlength=len(ids))
+        ends = np.concatenate([[0], np.cumsum(count)])
+        bound = np.full(len(ids), np.inf)
+        bound[count == k] = d[ends[1:][count == k] - 1]
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c)) for c in (ids[j], d)]
+        return table.select(["id", "features"]).append_column("bound", pa.array(bound)).append_column("neighbours", lists[0]).append_column("distances", lists[1])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = batch.column(1).value_lengths().to_numpy()
+            found = [batch.column(c).flatten().to_numpy() for c in (1, 2)]
+            yield pa.RecordBatch.from_pydict(in_packets(packets, np.repeat(batch.column(0).to_numpy(), count), *found))
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
         if len(a) and len(b):
-            b = b.sort_by("id")
-            width = len(a.column("features")[0])
-            ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
-            x, y = matrix(a.column("features"), width), matrix(b.column("features"), width)
-            for i, j, d in (nearest if metric != "cosine" else by_cosine)(x, y, ia, ib, k):
-                out.append((ia[i], ib[j], d))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
-        packet = ((columns[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(packets)).astype(np.int64)
-        order = np.argsort(packet, kind="stable")
-        ends = np.flatnonzero(np.diff(packet[order], prepend=-1, append=-1)) if len(order) else np.zeros(1, np.int64)
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c[order], t)) for c, t in zip(columns, types, strict=True)]
-        return pa.table([pa.array(packet[order][ends[:-1]], pa.int64()), *lists], names=["packet", "id", "neighbour", "distance"])
+            a, b = a.sort_by("id"), b.sort_by("id")
+            (ia, x, bound_x), (ib, y, bound_y) = ((t.column("id").to_numpy(), matrix(t.column("features"), len(t.column("features")[0])), t.column("bound").to_numpy()) for t in (a, b))
+            if metric != "cosine":
+                for back, i, j, d in nearest_across(x, y, bound_x, bound_y, k):
+                    out.append((ib[i], ia[j], d) if back else (ia[i], ib[j], d))
+            else:
+                out += [(ia[i], ib[j], d) for i, j, d in by_cosine(x, y, ia, ib, k)] + [(ib[i], ia[j], d) for i, j, d in by_cosine(y, x, ib, ia, k)]
+        return pa.table(in_packets(packets, *_joined(out)))
 
     def merge(table: pa.Table) -> pa.Table:
         ids, others, d = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("id", "neighbour", "distance"))
@@ -197,8 +322,12 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
         kept = rank <= k
         return pa.table([ids[kept], rank[kept].astype(np.int32), others[kept], d[kept]], names=["id", "rank", "neighbour", "distance"])
 
-    typed = points.select(F.col("id").cast("long").alias("id"), "features")
-    near = block_pairs(typed).applyInArrow(pair, "packet long, id array<long>, neighbour array<long>, distance array<double>")
+    placed = in_blocks(points.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features")), blocks)
+    found = placed.repartitionById(blocks, "block").groupBy("block").applyInArrow(own, "id long, features array<double>, bound double, neighbours array<long>, distances array<double>")
+    found = settled(found) if blocks > 1 else found
+    near = found.select("id", "neighbours", "distances").mapInArrow(listed, _PACKETS)
+    if blocks > 1:
+        near = near.unionByName(block_pairs(found, "bound", once=True, own=False, n=n).applyInArrow(pair, _PACKETS))
     return near.groupBy("packet").applyInArrow(merge, "id long, rank int, neighbour long, distance double")
 
 

@@ -105,3 +105,28 @@ def test_distances_come_in_tiles(monkeypatch):
             assert d.shape[0] <= 16 and d.shape[1] <= 16
             found[at : at + d.shape[0], column : column + d.shape[1]] = d
     assert np.allclose(found, want, rtol=1e-9, atol=0, equal_nan=True)
+
+
+def test_a_product_of_two_blocks_serves_both(spark, monkeypatch):
+    """Two blocks meet once, and what is beyond a point's k nearest of its own block has no distance taken."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(300, 6)), rng.normal(size=(280, 6))
+    x[:40], y[:40], y[50, 2], x[60, 1] = x[0], x[0], np.nan, np.inf
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    bound_x, bound_y = np.sort(np.where(np.isfinite(d), d, np.inf), axis=1)[:, 6], np.sort(np.where(np.isfinite(d), d, np.inf), axis=0)[6]
+    monkeypatch.setattr(neighbours, "COLUMNS", 64)
+    for held in (1 << 22, 300):
+        monkeypatch.setattr(neighbours, "HELD", held)
+        taken, whole = [], neighbours.exactly
+        monkeypatch.setattr(neighbours, "exactly", lambda a, b, i, j: taken.append(len(i)) or whole(a, b, i, j))  # noqa: B023
+        found = list(neighbours.nearest_across(x, y, bound_x, bound_y, 5))
+        monkeypatch.setattr(neighbours, "exactly", whole)
+        for back, m in ((False, d), (True, d.T)):
+            got = {(int(i), int(j)) for b, *rest in found if b == back for i, j in zip(*rest[:2], strict=True)}
+            want = {(i, int(j)) for i, row in enumerate(m) for j in np.lexsort((np.arange(len(row)), row))[:5] if np.isfinite(row[j])}
+            assert got == want
+        assert sum(taken) < d.size / 8
+    monkeypatch.setattr(neighbours, "BLOCK", 60)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 3)))], "id long, features array<double>")
+    met = neighbours.block_pairs(points, once=True, own=False).applyInArrow(lambda a, b: pa.table({"p": a.column("p").slice(0, 1), "q": a.column("q").slice(0, 1)}), "p int, q int")
+    assert sorted(map(tuple, met.collect())) == [(p, q) for p in range(5) for q in range(p + 1, 5)]
