@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoflux.llm.common import Staging, documents
+from cartoflux.llm.common import TEXTS, Staging, documents
 from cartoflux.llm.components import components
 
 #: What op4 is asked for; the pipeline's stage takes five words and 80 instead.
@@ -362,7 +362,7 @@ def _links(near: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: the smallest doc_id that links lead to."""
     spark = docs.sparkSession
-    stage = Staging(spark, "jaccard")
+    stage = Staging(spark, "jaccard", TEXTS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     buckets = max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = texts.mapInArrow(_scanner(n, percent, buckets), _BLOCKS).groupBy("bucket").applyInArrow(_gather, _ROWS)

@@ -1,11 +1,13 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from cartoflux.llm.suffix_dedup import Shape, deduplicated, multikey_quicksort, suffix_dedup
+from cartoflux.llm.common import CLEANUP, Staging
+from cartoflux.llm.suffix_dedup import Shape, deduplicated, multikey_quicksort, op1_suffix_dedup, suffix_dedup
 
 SMALL = Shape(length=40, window=25, gram=4)
 
@@ -88,3 +90,26 @@ def test_multikey_quicksort():
     order = multikey_quicksort(rows)
     assert sorted(order) == list(range(5000))
     assert [tuple(r) for r in rows[order]] == sorted(tuple(r) for r in rows)
+
+
+def test_the_query_has_the_texts_that_are_kept(spark, tmp_path):
+    """After the columns of the contract stands what is kept of the text, so a reader need not go by its digest."""
+    shared = " ".join(f"word{i}" for i in range(90))
+    rows = [(1, "own start " + shared), (2, shared + " own end"), (3, None), (4, "é" * 20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r.text for i, r in found.items()} == {1: "own start ", 2: " own end", 3: "", 4: "é" * 20}
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in found.values())
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    """A staged table leaves no shuffle files behind, and the session's setting is as before."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()))
+    before, was = kept(), spark.conf.get(CLEANUP)
+    staged = Staging(spark, "shuffled").table(spark.range(100_000).repartition(4, "id"), "rows")
+    for _ in range(50):  # they go in another thread
+        if kept() <= before:
+            break
+        time.sleep(0.1)
+    assert kept() <= before and staged.count() == 100_000 and spark.conf.get(CLEANUP) == was
