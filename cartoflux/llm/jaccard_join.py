@@ -252,12 +252,14 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 
 #: Rounds in which a tile's components are joined by best pairs, before all pairs across them are compared.
 FORESTS = 2
+#: Pairs, and bytes of signatures, that are compared at a time; pairs that are held before they are thinned out.
+PAIRS, MARK_BYTES, HELD = 16_384, 1 << 21, 1 << 16
 
 
-def _forest(pairs: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int]]:
-    """Of pairs (a, b, component of a, of b, share by the bound) those that would join components, best first: no more
-    than there are components."""
-    a, b, of_a, of_b, share = (np.concatenate(c) for c in zip(*pairs, strict=True))
+def _forest(pairs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of pairs (a, b, component of a, of b, share by the bound) those that would join components, best first: fewer
+    than there are components. What is left of some pairs may be thinned out again with others."""
+    columns = [np.concatenate(c) for c in zip(*pairs, strict=True)]
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -266,11 +268,22 @@ def _forest(pairs: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int]]:
             x = up
         return x
 
-    for k in np.argsort(-share, kind="stable").tolist():
-        x, y = top(int(of_a[k])), top(int(of_b[k]))
+    kept, order = [], np.argsort(-columns[4], kind="stable")
+    for k, of_a, of_b in zip(order.tolist(), columns[2][order].tolist(), columns[3][order].tolist(), strict=True):
+        x, y = top(of_a), top(of_b)
         if x != y:
             root[x] = y
-            yield int(a[k]), int(b[k])
+            kept.append(k)
+    return tuple(c[kept] for c in columns)
+
+
+def _once(pairs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate([np.empty(0, np.int64), *(p[c] for p in pairs)]) for c in (0, 1))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
 
 def _tile_pairs(percent: int, forest: bool):
@@ -284,12 +297,15 @@ def _tile_pairs(percent: int, forest: bool):
         listed = table.column("mark").to_pylist()
         new = (np.diff(tile) != 0) | (np.diff(first) != 0) | (np.diff(second) != 0)
         cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]
-        out: set[tuple[int, int]] = set()
+        out: list[tuple[np.ndarray, ...]] = []
         for low, high in zip(cuts, cuts[1:], strict=False):
+            if high == low:
+                continue
             i, j = first[low], second[low]
-            marks = folded(listed[low:high], min(map(len, listed[low:high]))) if high > low else None
+            marks = folded(listed[low:high], min(map(len, listed[low:high])))
+            step = max(1, min(PAIRS, MARK_BYTES // (8 * marks.shape[1])))
             left, right = low + np.flatnonzero(own[low:high] == i), low + np.flatnonzero(own[low:high] == j)
-            found = []
+            found, held = [], 0
             for at in range(0, len(left), 64):
                 rows = left[at : at + 64]
                 # signatures are compared only for pairs whose sizes and components leave a link possible
@@ -297,17 +313,21 @@ def _tile_pairs(percent: int, forest: bool):
                 near = (100 * small >= percent * np.maximum(sizes[rows, None], sizes[None, right])) & (part[rows, None] != part[None, right])
                 near &= (i != j) | (ids[rows, None] > ids[None, right])
                 a, b = np.nonzero(near)
-                for part_at in range(0, len(a), 16_384):
-                    x, y = rows[a[part_at : part_at + 16_384]], right[b[part_at : part_at + 16_384]]
+                for part_at in range(0, len(a), step):
+                    x, y = rows[a[part_at : part_at + step]], right[b[part_at : part_at + step]]
                     most = overlap_bound(marks[x - low], marks[y - low], sizes[x], sizes[y])
                     whole = sizes[x] + sizes[y] - most
                     k = np.flatnonzero(100 * most >= percent * whole)
                     x, y = x[k], y[k]
-                    found.append((np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), part[x], part[y], most[k] / np.maximum(whole[k], 1)))
+                    pair = (np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]))
+                    found.append((*pair, part[x], part[y], most[k] / np.maximum(whole[k], 1)) if forest else pair)
+                    held += len(k)
+                    if forest and held > HELD:
+                        found = [_forest(found)]
+                        held = len(found[0][0])
             if found:
-                out.update(_forest(found) if forest else (pair for f in found for pair in zip(f[0].tolist(), f[1].tolist(), strict=True)))
-        columns = zip(*out, strict=True) if out else [[], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+                out += [_forest(found)] if forest else found
+        return pa.table([pa.array(c, pa.int64()) for c in _once(out)], names=["a", "b"])
 
     return compare
 
