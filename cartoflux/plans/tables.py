@@ -23,26 +23,32 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 LINES, FEW = 250_000, 8
 
 
-def _lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """Lines with their order's year. What follows goes by order too, all of it in one stage whose sorts and sets are held
-    together, so its tasks grow in number, not in size, with the table."""
+def _line_terms(spark: SparkSession, sf: str, key: str, names: DataFrame) -> DataFrame:
+    """(doc_id, year, term): the terms of an order's lines; names: (key, term). What follows goes by order too, all of it
+    in one stage whose sorts and sets are held together, so its tasks grow in number, not in size, with the table; and
+    where the names are too many to be sent to each executor, so do those that join them."""
     orders = read(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
-    lines = read(spark, sf, "lineitem").select("l_orderkey", *columns)
+    lines = read(spark, sf, "lineitem").select("l_orderkey", key)
     tasks = -(-lines.count() // LINES)
-    if tasks > FEW:
-        lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumnRenamed("o_orderkey", "doc_id")
+    if tasks <= FEW:
+        named = lines.join(names, F.col(key) == F.col("key"))
+    elif names.count() <= LINES:
+        named = lines.repartition(tasks, "l_orderkey").join(F.broadcast(names), F.col(key) == F.col("key"))
+        orders = orders.repartition(tasks, "o_orderkey")
+    else:
+        named = lines.repartition(tasks, key).join(names.repartition(tasks, "key"), F.col(key) == F.col("key"))
+        named, orders = named.select("l_orderkey", "term").repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
+    dated = named.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return dated.select(F.col("o_orderkey").alias("doc_id"), "year", "term").distinct()
 
 
 def brand_terms(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, year, term): brands of an order's parts."""
-    part = read(spark, sf, "part").select("p_partkey", F.lower("p_brand").alias("term"))
-    return _lines(spark, sf, "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey")).select("doc_id", "year", "term").distinct()
+    return _line_terms(spark, sf, "l_partkey", read(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.lower("p_brand").alias("term")))
 
 
 def author_terms(spark: SparkSession, sf: str) -> DataFrame:
-    supplier = read(spark, sf, "supplier").select("s_suppkey", F.lower("s_name").alias("term"))
-    return _lines(spark, sf, "l_suppkey").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("doc_id", "year", "term").distinct()
+    return _line_terms(spark, sf, "l_suppkey", read(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.lower("s_name").alias("term")))
 
 
 def reference_terms(spark: SparkSession, sf: str) -> DataFrame:
