@@ -199,8 +199,8 @@ def graph_dimension(points: DataFrame, k: int, levels: int = 4) -> DataFrame:
 
 # angles beside distances
 
-#: Points of a calibration set, nodes of the divergence's quadrature and of a full turn.
-CALIBRATION, NODES, TURN = 1000, 200, 512
+#: Points of a part of a calibration set, tasks at most; nodes of the divergence's quadrature and of a full turn.
+PART, TASKS, NODES, TURN = 8192, 8192, 200, 512
 
 
 def concentration(r: float) -> float:
@@ -252,33 +252,69 @@ def angle_divergence(nu_a: float, tau_a: float, nu_b: float, tau_b: float) -> fl
     return log_bessel(tau_b) - log_bessel(tau_a) + mean * (tau_a - tau_b * math.cos(nu_a - nu_b))
 
 
-def local_statistics(x: np.ndarray, k: int, most: float) -> tuple[float, float, float]:
-    """(d, nu, tau) of a set of points held in memory: a calibration set."""
-    d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * x @ x.T, 0))
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-    found = np.take_along_axis(d, near, 1)
-    rho = found[:, 0] / found[:, k]
-    rho = rho[(rho > 0) & (rho < 1)]
+def in_ball(n: int, d: int, seed: int, part: int = 0) -> np.ndarray:
+    """n points spread evenly in the unit ball of d dimensions; each part has its own."""
+    rng = np.random.default_rng([seed, d, part] if part else [seed, d])
+    x = rng.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True) * rng.random((n, 1)) ** (1 / d)
+
+
+def nearest_in_parts(ends: list[int], part: Callable[[int], np.ndarray], own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, vectors) of the k nearest others of each point of part ``own``, in order, among all parts. ``part``
+    makes the points between two ends; beside the own ones those of one part are held at a time."""
+    x = part(own)
+    ids, none = np.arange(len(x)), np.zeros(0, np.int64)
+    held = neighbours.Within(np.full(len(x), np.inf), k)
+    for p in [own, *(p for p in range(len(ends) - 1) if p != own)]:  # the own part first: its k-th bound what others add
+        if p == own:
+            i, j, d = (np.concatenate(c) for c in zip(*neighbours.nearest(x, x, ids, ids, k), strict=True))
+            held.add(i, j + ends[own], d)
+        else:
+            y = part(p)
+            products = neighbours.Products(x, y, none, none)
+            for at in range(0, len(x), neighbours.ROWS):
+                for column in range(0, len(y), neighbours.COLUMNS):
+                    i, j = products.below(at, column, products.piece(at, column), held.bound[at : at + neighbours.ROWS])
+                    held.add(i, j + ends[p], neighbours.exactly(x, y, i, j))
+        held.parts = [held.take()]
+        i, _, d = held.parts[0]
+        last = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i, "left") == k - 1)
+        held.bound[i[last]] = d[last]
+    _, j, d = held.take()
+    vectors = np.empty((len(j), x.shape[1]))
+    for p in range(len(ends) - 1):
+        here = (j >= ends[p]) & (j < ends[p + 1])
+        if here.any():
+            vectors[here] = part(p)[j[here] - ends[p]]
+    return d.reshape(len(x), k), vectors.reshape(len(x), k, x.shape[1])
+
+
+def seen(x: np.ndarray, d: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shares of the first in the (k + 1)-th distance, and (nu, tau) of the angles of each point."""
+    with np.errstate(all="ignore"):
+        rho = d[:, 0] / d[:, k]
+    angles = [angles_at(x[i], d[i], vectors[i, :k]) for i in range(len(x))]
+    return rho[(rho > 0) & (rho < 1)], np.array([a for a in angles if a[0] is not None]).reshape(-1, 2)
+
+
+def most_likely_share(rho: np.ndarray, k: int, most: float) -> float:
     ln, n = float(np.log(rho).sum()), len(rho)
-    fitted = most_likely(lambda ds: [n * math.log(k * v) + (v - 1) * ln + (k - 1) * float(np.log1p(-(rho**v)).sum()) for v in ds], most)
-    seen = [angles_at(x[i], found[i], x[near[i, :k]]) for i in range(len(x))]
-    return fitted, float(np.mean([s[0] for s in seen])), float(np.mean([s[1] for s in seen]))
+    return most_likely(lambda ds: [n * math.log(k * v) + (v - 1) * ln + (k - 1) * float(np.log1p(-(rho**v)).sum()) for v in ds], most)
 
 
-def in_ball(n: int, d: int, seed: int) -> np.ndarray:
-    """n points spread evenly in the unit ball of d dimensions."""
-    rng = np.random.default_rng([seed, d])
-    x = rng.normal(size=(n, d))
-    return x / np.linalg.norm(x, axis=1, keepdims=True) * rng.random((n, 1)) ** (1 / d)
+def local_statistics(x: np.ndarray, k: int, most: float) -> tuple[float, float, float]:
+    """(d, nu, tau) of a set of points held in memory."""
+    rho, angles = seen(x, *nearest_in_parts([0, len(x)], lambda _: x, 0, k + 1), k)
+    return most_likely_share(rho, k, most), *angles.mean(axis=0).tolist()
 
 
-def danco(points: DataFrame, near: DataFrame, k: int, most: int | None = None, calibration: int = CALIBRATION, seed: int = 42) -> DataFrame:
+def danco(points: DataFrame, near: DataFrame, k: int, most: int | None = None, calibration: int | None = None, seed: int = 42) -> DataFrame:
     """(dimension, divergence) for each whole dimension up to the points' width (Ceruti et al. 2014): how far the
     distances and angles of the points' neighbours are from those of points spread evenly in a ball of that dimension.
 
-    ``near`` holds k + 1 neighbours. A task makes the calibration set of one dimension, of at most ``calibration``
-    points; no more than the points' own number.
+    ``near`` holds k + 1 neighbours. Calibration sets have as many points as there are, unless ``calibration`` names
+    fewer. They are made anew, part by part, wherever they are looked at: a task finds the neighbours of one part of one
+    dimension's set, so none holds a set, and all that is kept of a point is a share.
     """
     spark, width = points.sparkSession, len(points.first()["features"])
     most, n = most or width, points.count()
@@ -294,18 +330,29 @@ def danco(points: DataFrame, near: DataFrame, k: int, most: int | None = None, c
     fitted = most_likely(likelihood, limit)
     rho.unpersist()
     angles = _by_neighbourhood(neighbourhoods(points, near, k), angles_at, ("nu", "tau")).agg(F.avg("nu").alias("nu"), F.avg("tau").alias("tau")).first()
-    size = max(k + 2, min(n, calibration))
+    size = max(k + 2, n if calibration is None else min(n, calibration))
+    parts = max(1, min(-(-size // PART), size // (k + 2)))
+    ends = [size * p // parts for p in range(parts + 1)]
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, out = batch.column(0).to_pylist(), []
-            for d in dims:
-                own, nu, tau = local_statistics(in_ball(size, d, seed), k, limit)
-                out.append(distance_divergence(fitted, own, k) + angle_divergence(angles["nu"], angles["tau"], nu, tau))
-            yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array(out, pa.float64())], names=["dimension", "divergence"])
-
-    dims = spark.range(1, most + 1, numPartitions=min(most, 64)).select(F.col("id").cast("int").alias("dimension"))
-    return dims.mapInArrow(calibrate, "dimension int, divergence double")
+            for number in batch.column(0).to_pylist():
+                d, own = number // parts + 1, number % parts
+                part = lambda p, d=d: in_ball(ends[p + 1] - ends[p], d, seed, p)
+                shares, turned = seen(part(own), *nearest_in_parts(ends, part, own, k + 1), k)
+                row = {"dimension": d, "part": own, "rho": shares.tolist(), "n": len(turned), "nu": float(turned[:, 0].sum()), "tau": float(turned[:, 1].sum())}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("dimension", pa.int32()), ("part", pa.int32()), ("rho", pa.list_(pa.float64())), ("n", pa.int64()), ("nu", pa.float64()), ("tau", pa.float64())]))
+
+    def judge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part").combine_chunks()
+        own = most_likely_share(table.column("rho").combine_chunks().flatten().to_numpy(), k, limit)
+        n, nu, tau = (sum(table.column(c).to_pylist()) for c in ("n", "nu", "tau"))
+        value = distance_divergence(fitted, own, k) + angle_divergence(angles["nu"], angles["tau"], nu / n, tau / n)
+        return pa.table({"dimension": pa.array(table.column("dimension")[:1].to_pylist(), pa.int32()), "divergence": pa.array([value], pa.float64())})
+
+    tasks = spark.range(0, most * parts, 1, numPartitions=min(most * parts, TASKS))
+    made = settled(tasks.mapInArrow(calibrate, "dimension int, part int, rho array<double>, n long, nu double, tau double"))
+    return made.groupBy("dimension").applyInArrow(judge, "dimension int, divergence double")
 
 
 def danco_dimension(points: DataFrame, near: DataFrame, k: int, **more) -> DataFrame:

@@ -121,3 +121,23 @@ def test_danco(spark):
 def test_names(spark, name):
     found = neighbours.estimate_dimension(frame(spark, flat(2, 4, 250)), name, 10)
     assert 1.2 < found < 3.2, found
+
+
+def test_calibration_sets_are_as_large_as_the_table(spark):
+    x = flat(2, 3, 1200)
+    points = frame(spark, x)
+    got = {r["dimension"]: r["divergence"] for r in dimension.danco(points, neighbours.knn(points, 9), 8).collect()}
+    own, nu, tau = dimension.local_statistics(x, 8, 7.0)
+    for d in (1, 2, 3):
+        other = dimension.local_statistics(dimension.in_ball(1200, d, 42), 8, 7.0)
+        want = dimension.distance_divergence(own, other[0], 8) + dimension.angle_divergence(nu, tau, *other[1:])
+        assert math.isclose(got[d], want, rel_tol=1e-6, abs_tol=1e-8)
+
+
+def test_sets_in_parts():
+    x = np.random.default_rng(9).normal(size=(500, 4))
+    ends = [0, 130, 131, 300, 500]
+    near, d = nearest(x, 6)
+    for own in range(4):
+        found, vectors = dimension.nearest_in_parts(ends, lambda p: x[ends[p] : ends[p + 1]], own, 6)
+        assert np.allclose(found, d[ends[own] : ends[own + 1]]) and np.allclose(vectors, x[near[ends[own] : ends[own + 1]]])
