@@ -43,3 +43,24 @@ def test_few_points(spark):
     x = np.random.default_rng(5).normal(size=(9, 2))
     got, want = (sorted(map(tuple, found.collect())) for found in (descent.approximate_knn(frame(spark, x), 3), neighbours.knn(frame(spark, x), 3)))
     assert np.allclose(got, want)
+
+
+def test_slices(spark, monkeypatch):
+    """Points in slices of a round find what they find at once."""
+    x = np.random.default_rng(6).normal(size=(900, 8)).astype(np.float32).astype(float)
+    whole = sorted(map(tuple, descent.approximate_knn(frame(spark, x), 6, rounds=2).collect()))
+    monkeypatch.setattr(descent, "SLICE", 900 * 60 * 92 // 4)
+    assert sorted(map(tuple, descent.approximate_knn(frame(spark, x), 6, rounds=2).collect())) == whole
+    assert recall(spark, x + 1e-9 * x[::-1], 6) >= 0.95  # of double precision
+
+
+def test_graphs_that_were_followed_go(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    folder, before = spark.conf.get("spark.checkpoint.dir", None), spark.conf.isModifiable("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}") if before else None
+    x = np.random.default_rng(7).normal(size=(1000, 8))
+    assert descent.approximate_knn(frame(spark, x), 6, rounds=4).count() == 6000
+    if before:
+        spark.conf.set("spark.checkpoint.dir", folder) if folder else spark.conf.unset("spark.checkpoint.dir")
+    held = [f for f in tmp_path.rglob("*.parquet")] + [f for f in tmp_path.rglob("part-*") if f.is_file() and f.suffix != ".parquet"]
+    assert sum(f.stat().st_size for f in held) < 1000 * 30 * 24 + 1000 * 8 * 8  # one graph and the points
