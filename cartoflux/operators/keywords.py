@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cartoflux.functions.settle import settled
 from cartoflux.functions.text import title_case
+from cartoflux.llm.common import Staging
 
 #: Words of no use in keywords, Spanish ones and those of any paper.
 DOMAIN_WORDS = (
@@ -46,32 +46,41 @@ def term_scores(titles: DataFrame, by: str | None = None, most: int = 1000, stop
     ``stop`` (``stop_words`` unless given) are left out.
 
     idf = ln((1 + n) / (1 + df)) + 1; the vocabulary is the ``most`` terms of highest count, ties by term.
+
+    Terms of the vocabulary go by their place in it, and every table that is as large as the titles is dropped, with
+    the shuffle files that made it, once the next one is written.
     """
     keys = [by] if by else []
-    kept = settled(titles.select(*keys, "id", words(F.col("title"), stop_words() if stop is None else stop).alias("kept")))
+    stage = Staging(titles.sparkSession, "terms")
+    settled = stage.table
+    kept = settled(titles.select(*keys, "id", words(F.col("title"), stop_words() if stop is None else stop).alias("kept")), "kept")
     own = kept.select(*keys, "id", F.explode("kept").alias("term"))
     pairs = kept.select(*keys, "id", F.explode(neighbours(F.col("kept"))).alias("pair")).select(*keys, "id", "pair.first", "pair.second")
     place = F.row_number().over(W.partitionBy(*keys or [F.lit(1)]).orderBy(F.desc("total"), "term"))
     small = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
     # the vocabulary first, from counts that are added up before their shuffle: only its terms are then followed by title.
     # No pair occurs more often than its words, so a pair of a word that is rarer than ``most`` words are is none of it
-    singles = settled(own.groupBy(*keys, "term").agg(F.count("*").alias("total")))
+    singles = settled(own.groupBy(*keys, "term").agg(F.count("*").alias("total")), "singles")
     last = singles.withColumn("rn", place).filter(F.col("rn") == most).select(*keys, F.col("total").alias("least"))
     known = singles.join(last, keys, "left") if keys else singles.join(F.broadcast(last), F.lit(True), "left")
-    common = small(settled(known.filter(F.col("total") >= F.coalesce("least", F.lit(0))).select(*keys, "term")))
+    common = small(settled(known.filter(F.col("total") >= F.coalesce("least", F.lit(0))).select(*keys, "term"), "common"))
     for side in ("first", "second"):
         pairs = pairs.join(common.withColumnRenamed("term", side), [*keys, side], "left_semi")
     term = F.concat_ws(" ", "first", "second").alias("term")
     totals = singles.unionByName(pairs.groupBy(*keys, "first", "second").agg(F.count("*").alias("total")).select(*keys, term, "total"))
-    ranked = small(settled(totals.withColumn("rn", place).filter(F.col("rn") <= most).select(*keys, "term")))
+    ranked = small(settled(totals.withColumn("place", place.cast("int")).filter(F.col("place") <= most).select(*keys, "term", "place"), "ranked"))
     terms = own.unionByName(pairs.select(*keys, "id", term))
-    tf = settled(terms.join(ranked, [*keys, "term"], "left_semi").groupBy(*keys, "id", "term").agg(F.count("*").alias("tf")))
-    sizes = titles.groupBy(*keys).agg(F.count("*").alias("n"))
-    df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    tf = settled(terms.filter("id IS NOT NULL").join(ranked, [*keys, "term"]).groupBy(*keys, "id", "place").agg(F.count("*").alias("tf")), "tf")
+    sizes = settled(kept.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
+    stage.drop("kept", "singles", "common")
+    df = tf.groupBy(*keys, "place").agg(F.count("*").alias("df"))
     df = (df.join(sizes, keys) if keys else df.join(F.broadcast(sizes), F.lit(True))).withColumn("idf", F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighted = tf.join(df.select(*keys, "term", "idf"), [*keys, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    lengths = weighted.groupBy(*keys, "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(lengths, [*keys, "id"]).groupBy(*keys, "term").agg(F.sum(F.col("w") / F.col("norm")).alias("score"))
+    df = small(settled(df.select(*keys, "place", "idf"), "df"))
+    weighted = tf.join(df, [*keys, "place"]).withColumn("w", F.col("tf") * F.col("idf"))
+    whole = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*keys, "id")))
+    scores = settled(weighted.withColumn("norm", whole).groupBy(*keys, "place").agg(F.sum(F.col("w") / F.col("norm")).alias("score")), "scores")
+    stage.drop("tf")
+    return scores.join(ranked, [*keys, "place"]).select(*keys, "term", "score")
 
 
 def top_keywords(titles: DataFrame, k: int = 5, by: str | None = None, strict: bool = True, looked_at: int = 200, stop: Sequence[str] | None = None) -> DataFrame:

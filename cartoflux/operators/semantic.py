@@ -199,7 +199,9 @@ def topics(placed: DataFrame, titles: DataFrame, min_size: int, levels: int = 2,
     every = first.unionByName(sub_clusters(first.join(xy, "id"), min_size, levels))
     every = settled(every)
     centres = medians(every.join(xy, "id").select(F.col("path").alias("cluster"), "x", "y")).withColumnRenamed("cluster", "path")
-    words = top_keywords(every.join(titles, "id").select("path", "id", "title"), 5, by="path")
+    # a title goes once to its clusters of all levels
+    paths = every.groupBy("id").agg(F.collect_list("path").alias("paths"))
+    words = top_keywords(paths.join(titles, "id").select(F.explode("paths").alias("path"), "id", "title"), 5, by="path")
     level = F.size(F.split("path", r"\."))
     number = F.element_at(F.split("path", r"\."), -1)
     plain = F.when(level == 1, F.concat(F.lit("Tema "), number)).otherwise(F.concat(F.lit("Sub-tema "), number))

@@ -42,3 +42,17 @@ def test_pairs_of_rare_words_are_no_terms(spark):
                         want[g, t] = want.get((g, t), 0) + c[t] * idf[t] / norm
         assert got.keys() == want.keys()
         assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_words_are_dropped(spark, tmp_path):
+    """Of tables as large as the titles none is left when the scores are there."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    name, free = "spark.checkpoint.dir", spark.conf.isModifiable("spark.checkpoint.dir")
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, f"file://{tmp_path}") if free else None
+    rng = np.random.default_rng(8)
+    titles = spark.createDataFrame([(i, " ".join(f"w{v}" for v in rng.integers(0, 400, 200))) for i in range(500)], "id long, title string")
+    assert keywords.term_scores(titles, most=50, stop=[]).count() == 50
+    if free:
+        spark.conf.set(name, was) if was else spark.conf.unset(name)
+    assert sum(f.stat().st_size for f in tmp_path.rglob("part-*")) < 20_000
